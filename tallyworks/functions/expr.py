@@ -1,7 +1,8 @@
 """Small column expressions shared by all reports.
 
 Money is kept as DECIMAL, so sums do not depend on row order. It is rounded half-up while still a
-decimal and only then turned into a double. Ratios are computed on doubles.
+decimal and only then turned into a double. Ratios are computed on doubles and rounded from their
+exact binary value, so 134057.705, which is stored as slightly less, becomes 134057.7.
 """
 
 from __future__ import annotations
@@ -18,13 +19,36 @@ def money(total, digits: int = 2) -> Column:
     return F.round(as_column(total), digits).cast("double")
 
 
+def round_half_even(value, digits: int) -> Column:
+    """The nearest double with so many digits, from the exact binary value; ties go to even."""
+    text = F.regexp_replace(F.format_number(as_column(value), digits), ",", "")
+    return text.cast("double") + 0.0  # minus zero becomes zero
+
+
+def round_half_up(value, digits: int) -> Column:
+    """As ``round_half_even``, but ties go away from zero, as ROUND does in SQL.
+
+    A double is a tie only when it is a whole number of 1 / 2^(digits + 1).
+    """
+    value = as_column(value)
+    eighths = value * float(2 ** (digits + 1))
+    tie = eighths == F.rint(eighths)
+    return F.when(tie, F.round(value, digits) + 0.0).otherwise(round_half_even(value, digits))
+
+
+def round_scaled(value, digits: int) -> Column:
+    """Scale, round half to even, scale back: how numeric array libraries round a column."""
+    scale = float(10**digits)
+    return F.rint(as_column(value) * scale) / scale + 0.0
+
+
 def ratio(numerator, denominator) -> Column:
     """Null when the denominator is zero (SQL reports)."""
     return F.try_divide(as_column(numerator).cast("double"), as_column(denominator).cast("double"))
 
 
 def pct(numerator, denominator, digits: int = 2) -> Column:
-    return F.round(ratio(numerator, denominator) * 100, digits)
+    return round_half_up(ratio(numerator, denominator) * 100, digits)
 
 
 def divide_or_zero(numerator, denominator) -> Column:
@@ -34,16 +58,18 @@ def divide_or_zero(numerator, denominator) -> Column:
 
 def guarded_pct(numerator, denominator, digits: int = 2) -> Column:
     """Zero unless the denominator is positive (service reports)."""
-    return F.when(as_column(denominator) > 0, pct(numerator, denominator, digits)).otherwise(0.0)
+    value = round_half_even(ratio(numerator, denominator) * 100, digits)
+    return F.when(as_column(denominator) > 0, value).otherwise(0.0)
 
 
 def guarded_ratio(numerator, denominator, digits: int = 2) -> Column:
-    return F.when(as_column(denominator) > 0, F.round(ratio(numerator, denominator), digits)).otherwise(0.0)
+    value = round_half_even(ratio(numerator, denominator), digits)
+    return F.when(as_column(denominator) > 0, value).otherwise(0.0)
 
 
 def growth_pct(current, previous, digits: int = 2) -> Column:
     current, previous = as_column(current), as_column(previous)
-    return F.round(F.try_divide(current - previous, previous) * 100, digits)
+    return round_half_up(F.try_divide(current - previous, previous) * 100, digits)
 
 
 def mean(column) -> Column:
@@ -75,7 +101,7 @@ def line_flags() -> dict[str, Column]:
         "order_status": F.when(F.col("is_returned"), "Returned").otherwise("Completed"),
         "is_profitable": F.col("profit") > 0,
         "is_discounted": F.col("discount") > 0,
-        "profit_margin": F.bround(ratio("profit", "sales"), 4),
+        "profit_margin": round_scaled(ratio("profit", "sales"), 4),
     }
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyworks.functions.expr import divide_or_zero, mean, money
+from tallyworks.functions.expr import divide_or_zero, mean, money, round_half_up
 
 
 def total_sales() -> Column:
@@ -17,7 +17,7 @@ def total_profit() -> Column:
 
 
 def profit_margin() -> Column:
-    return F.round(divide_or_zero(F.sum("profit"), F.sum("sales")), 6)
+    return round_half_up(divide_or_zero(F.sum("profit"), F.sum("sales")), 6)
 
 
 def total_quantity() -> Column:
@@ -33,7 +33,7 @@ def total_customers() -> Column:
 
 
 def average_order_value() -> Column:
-    return F.round(divide_or_zero(F.sum("sales"), F.count_distinct("order_id")), 2)
+    return round_half_up(divide_or_zero(F.sum("sales"), F.count_distinct("order_id")), 2)
 
 
 def total_cost() -> Column:
@@ -41,19 +41,19 @@ def total_cost() -> Column:
 
 
 def average_discount() -> Column:
-    return F.round(mean("discount"), 6)
+    return round_half_up(mean("discount"), 6)
 
 
 def weighted_discount() -> Column:
-    return F.round(divide_or_zero(F.sum(F.col("sales") * F.col("discount")), F.sum("sales")), 6)
+    return round_half_up(divide_or_zero(F.sum(F.col("sales") * F.col("discount")), F.sum("sales")), 6)
 
 
 def average_ship_days() -> Column:
-    return F.round(mean("shipping_days"), 6)
+    return round_half_up(mean("shipping_days"), 6)
 
 
 def sales_per_customer() -> Column:
-    return F.round(divide_or_zero(F.sum("sales"), F.count_distinct("customer_id")), 2)
+    return round_half_up(divide_or_zero(F.sum("sales"), F.count_distinct("customer_id")), 2)
 
 
 def loss_sales() -> Column:
@@ -65,7 +65,7 @@ def unprofitable_loss() -> Column:
 
 
 def loss_line_rate() -> Column:
-    return F.round(divide_or_zero(F.count_if(F.col("profit") < 0), F.count(F.lit(1))), 6)
+    return round_half_up(divide_or_zero(F.count_if(F.col("profit") < 0), F.count(F.lit(1))), 6)
 
 
 def heavy_discount_sales(threshold: str) -> Column:
@@ -75,7 +75,7 @@ def heavy_discount_sales(threshold: str) -> Column:
 
 def delayed_order_rate(days: int = 5) -> Column:
     late = F.count_distinct(F.when(F.col("shipping_days") > days, F.col("order_id")))
-    return F.round(divide_or_zero(late, F.count_distinct("order_id")), 6)
+    return round_half_up(divide_or_zero(late, F.count_distinct("order_id")), 6)
 
 
 # Measures that need nothing but the order lines.

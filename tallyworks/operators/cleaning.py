@@ -8,29 +8,10 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.functions.expr import calendar_columns, guarded_pct, line_flags, money
+from tallyworks.functions.expr import calendar_columns, guarded_pct, line_flags, money, round_half_even, round_scaled
 from tallyworks.operators.ranking import with_position
 from tallyworks.sources import schema
 
-# Shapes of a date, and the patterns tried for each. Month comes before day unless that is impossible.
-DATE_SHAPES = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}$", ["yyyy-M-d H:mm"]),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{2}:\d{2}$", ["yyyy-M-d H:mm:ss"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", ["M/d/yyyy H:mm", "d/M/yyyy H:mm"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", ["M/d/yyyy H:mm:ss", "d/M/yyyy H:mm:ss"]),
-    (r"^\d{8}$", ["yyyyMMdd"]),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", ["M/d/yy", "d/M/yy"]),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"]),
-    (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", ["MMM d, yyyy"]),
-    (r"^[A-Z][a-z]{3,} \d{1,2}, \d{4}$", ["MMMM d, yyyy"]),
-    (r"^\d{1,2}[ -][A-Z][a-z]{2}[ -]\d{4}$", ["d MMM yyyy"]),
-    (r"^\d{1,2} [A-Z][a-z]{3,} \d{4}$", ["d MMMM yyyy"]),
-]
-
 DELIVERY_DAYS = 3  # assumed where the ship date is missing or before the order
 
 
@@ -64,14 +45,42 @@ def conform(raw: DataFrame) -> DataFrame:
 
 
 def parse_when(text: Column) -> Column:
-    """A time from text in any known shape; null when it is none. A shape decides before any parsing."""
-    text = F.regexp_replace(F.trim(text), r"^(\d{4}-\d{1,2}-\d{1,2})T", "$1 ")
-    text = F.regexp_replace(text, r"^(\d{1,2})-([A-Z][a-z]{2})-(\d{4})$", "$1 $2 $3")
-    parsed = F.lit(None).cast("timestamp")
-    for shape, patterns in reversed(DATE_SHAPES):
-        tries = F.coalesce(*[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
-        parsed = F.when(text.rlike(shape), tries).otherwise(parsed)
-    return parsed
+    """A time from text in any known shape; null when it is none.
+
+    Numeric shapes are rewritten to year-month-day and cast. Month comes before day, unless that is
+    impossible. Only names of months need a pattern.
+    """
+    text = F.trim(text)
+    day_month = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})\b"
+    two_digits = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})$"
+    four_digits = F.regexp_replace(F.regexp_replace(text, two_digits, "$1/$2/20$3"), r"/20([7-9]\d)$", "/19$1")
+
+    def cast(value: Column) -> Column:
+        return value.try_cast("timestamp_ntz")
+
+    def named(value: Column) -> Column:
+        tries = [F.try_to_timestamp(value, F.lit(p)) for p in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")]
+        return F.coalesce(*tries).cast("timestamp_ntz")
+
+    return (
+        F.when(text.rlike(r"^\d{4}-"), cast(text))
+        .when(
+            text.rlike(day_month),
+            F.coalesce(
+                cast(F.regexp_replace(text, day_month, "$3-$1-$2")), cast(F.regexp_replace(text, day_month, "$3-$2-$1"))
+            ),
+        )
+        .when(text.rlike(r"^\d{4}/"), cast(F.regexp_replace(text, "/", "-")))
+        .when(text.rlike(r"^\d{8}$"), cast(F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")))
+        .when(
+            text.rlike(two_digits),
+            F.coalesce(
+                cast(F.regexp_replace(four_digits, day_month, "$3-$1-$2")),
+                cast(F.regexp_replace(four_digits, day_month, "$3-$2-$1")),
+            ),
+        )
+        .when(text.rlike(r"[A-Za-z]{3}"), named(F.regexp_replace(text, r"[-, ]+", " ")))
+    )
 
 
 def parse_number(text: Column) -> Column:
@@ -105,12 +114,12 @@ def clean(raw: DataFrame, returned_orders: DataFrame | None = None) -> DataFrame
         raise ValueError("the order date column is missing")
 
     ordered = parse_when(F.col("order_date").cast("string"))
-    shipped = parse_when(F.col("ship_date").cast("string")) if "ship_date" in have else F.lit(None).cast("timestamp")
+    shipped = parse_when(F.col("ship_date").cast("string")) if "ship_date" in have else F.lit(None).cast("timestamp_ntz")
     default = F.col("_ordered") + F.expr(f"INTERVAL {DELIVERY_DAYS} DAYS")
     lines = (
-        lines.withColumn("_ordered", ordered.cast("timestamp_ntz"))
+        lines.withColumn("_ordered", ordered)
         .filter(F.col("_ordered").isNotNull())
-        .withColumn("_shipped", shipped.cast("timestamp_ntz"))
+        .withColumn("_shipped", shipped)
         .withColumn(
             "_shipped",
             F.when(F.col("_shipped").isNull() | (F.col("_shipped") < F.col("_ordered")), default).otherwise(
@@ -134,7 +143,7 @@ def clean(raw: DataFrame, returned_orders: DataFrame | None = None) -> DataFrame
     lines = lines.withColumn("sales", sales).filter(F.col("sales") > 0).withColumn("quantity", quantity.cast("bigint"))
 
     gross = F.col("sales").cast("double")
-    price = F.bround(gross / F.col("quantity"), 2)
+    price = round_scaled(gross / F.col("quantity"), 2)
     if "unit_price" in have:
         price = F.coalesce(F.col("unit_price").cast("string").try_cast("double"), price)
     if "discount" in have:
@@ -146,9 +155,9 @@ def clean(raw: DataFrame, returned_orders: DataFrame | None = None) -> DataFrame
         profit = number("profit", 0.0)
     elif "cost" in have:
         cost = F.coalesce(F.col("cost").cast("string").try_cast("double"), gross * 0.85)
-        profit = _amount(F.bround(gross - cost, 2), 0.0)
+        profit = _amount(round_scaled(gross - cost, 2), 0.0)
     else:
-        profit = _amount(F.bround(gross * 0.15, 2), 0.0)
+        profit = _amount(round_scaled(gross * 0.15, 2), 0.0)
     freight = F.greatest(number("shipping_cost", 0.0), nothing) if "shipping_cost" in have else nothing
 
     lines = lines.withColumns(
@@ -316,7 +325,7 @@ def quality_report(lines: DataFrame) -> DataFrame:
         return lines.agg(F.count_distinct(column)).scalar()
 
     def share(part: str, digits: int = 1) -> Column:
-        return F.round(F.try_divide(F.col(part).cast("double"), F.col("rows").cast("double")) * 100, digits)
+        return round_half_even(F.try_divide(F.col(part).cast("double"), F.col("rows").cast("double")) * 100, digits)
 
     counted = whole.withColumns(
         {

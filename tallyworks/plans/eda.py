@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.functions.expr import growth_pct, mean, money, pct, ratio
+from tallyworks.functions.expr import growth_pct, mean, money, pct, ratio, round_half_up
 from tallyworks.operators.ranking import amount_of_top, from_the_top, percentiles_of, value_histogram
 
 RATE = 4  # digits kept in printed rates
@@ -42,10 +42,10 @@ def overview(lines: DataFrame) -> DataFrame:
         money("profit_sum").alias("total_profit"),
         "total_quantity",
         "total_orders",
-        F.round(ratio("sales_sum", "total_orders"), 2).alias("average_order_value"),
+        round_half_up(ratio("sales_sum", "total_orders"), 2).alias("average_order_value"),
         pct("profit_sum", "sales_sum").alias("profit_margin"),
-        F.round(F.col("discount_mean") * 100, 2).alias("average_discount"),
-        F.round("days_mean", 2).alias("average_shipping_days"),
+        round_half_up(F.col("discount_mean") * 100, 2).alias("average_discount"),
+        round_half_up("days_mean", 2).alias("average_shipping_days"),
     )
 
 
@@ -185,8 +185,8 @@ def customers(lines: DataFrame, k: int = 10) -> DataFrame:
         .withColumn("profit_sum", all_profit)
         .select(
             F.col("customers").alias("total_customers"),
-            F.round(ratio("sales_sum", "customers"), 2).alias("avg_sales_per_customer"),
-            F.round(ratio("profit_sum", "customers"), 2).alias("avg_profit_per_customer"),
+            round_half_up(ratio("sales_sum", "customers"), 2).alias("avg_sales_per_customer"),
+            round_half_up(ratio("profit_sum", "customers"), 2).alias("avg_profit_per_customer"),
             pct("top_k", "sales_sum").alias(f"top{k}_contribution_pct"),
             money("top_k").alias(f"top{k}_sales"),
             F.col("fifth_count").alias("top20pct_customers"),
@@ -229,7 +229,7 @@ def state_lists(lines: DataFrame, k: int = 5) -> DataFrame:
             "region",
             *_money_columns(),
             _margin(),
-            F.round(F.col("discount_mean") * 100, RATE).alias("avg_discount_pct"),
+            round_half_up(F.col("discount_mean") * 100, RATE).alias("avg_discount_pct"),
         )
 
     return (
@@ -248,7 +248,7 @@ def discount_exact(lines: DataFrame) -> DataFrame:
             "transaction_count",
             money("sales_sum").alias("total_sales"),
             money("profit_sum").alias("total_profit"),
-            F.round(ratio("profit_sum", "transaction_count"), RATE).alias("avg_profit_per_order"),
+            round_half_up(ratio("profit_sum", "transaction_count"), RATE).alias("avg_profit_per_order"),
             _margin(),
         )
         .orderBy("discount")
@@ -263,10 +263,10 @@ def discount_rounded(lines: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("sales_count"),
             *_sums(),
-            F.round(mean("sales"), RATE).alias("sales_mean"),
-            F.round(mean("profit"), RATE).alias("profit_mean"),
+            round_half_up(mean("sales"), RATE).alias("sales_mean"),
+            round_half_up(mean("profit"), RATE).alias("profit_mean"),
             # Line margins carry four digits, so as decimals their sum does not depend on row order.
-            F.round(mean(F.col("profit_margin").cast("decimal(12,4)")), RATE).alias("margin_mean"),
+            round_half_up(mean(F.col("profit_margin").cast("decimal(12,4)")), RATE).alias("margin_mean"),
         )
         .select(
             "discount_pct",
@@ -293,7 +293,7 @@ def correlation_matrix(lines: DataFrame, columns: list[str] | None = None) -> Da
 
     def cell(a: str, b: str) -> Column:
         name = f"{a}~{b}" if (a, b) in upper else f"{b}~{a}"
-        value = F.lit(1.0) if a == b else F.round(F.col(f"`{name}`"), 6)
+        value = F.lit(1.0) if a == b else round_half_up(F.col(f"`{name}`"), 6)
         return F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), value.alias("correlation"))
 
     return row.select(F.explode(F.array(*[cell(a, b) for a in names for b in names])).alias("cell")).select("cell.*")
@@ -310,7 +310,7 @@ def shipping(lines: DataFrame) -> DataFrame:
         )
         .select(
             "ship_mode",
-            F.round("days_mean", RATE).alias("avg_shipping_days"),
+            round_half_up("days_mean", RATE).alias("avg_shipping_days"),
             "min_shipping_days",
             "max_shipping_days",
             money("sales_sum").alias("total_sales"),
@@ -353,10 +353,10 @@ def iqr_outliers(lines: DataFrame, columns: list[str] | None = None) -> DataFram
         .select(
             F.col("column").alias("column_name"),
             "outliers",
-            F.round("lower", 2).alias("lower_bound"),
-            F.round("upper", 2).alias("upper_bound"),
-            F.round("min_value", 2).alias("min_value"),
-            F.round("max_value", 2).alias("max_value"),
+            round_half_up("lower", 2).alias("lower_bound"),
+            round_half_up("upper", 2).alias("upper_bound"),
+            round_half_up("min_value", 2).alias("min_value"),
+            round_half_up("max_value", 2).alias("max_value"),
         )
     )
 

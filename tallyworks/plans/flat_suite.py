@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.functions.expr import growth_pct, labelled, mean, money, pct, ratio
+from tallyworks.functions.expr import growth_pct, labelled, mean, money, pct, ratio, round_half_up
 from tallyworks.operators.ranking import from_the_top, top_by_dense_rank, top_by_rank, value_histogram
 
 PRODUCT = ["product_name", "category", "sub_category"]
@@ -57,10 +57,10 @@ def core_kpis(lines: DataFrame) -> DataFrame:
         "total_quantity_sold",
         "total_orders",
         "unique_customers",
-        F.round(ratio("sales_sum", "total_orders"), 2).alias("average_order_value"),
+        round_half_up(ratio("sales_sum", "total_orders"), 2).alias("average_order_value"),
         _margin(),
-        F.round(F.col("discount_mean") * 100, 2).alias("average_discount_pct"),
-        F.round("days_mean", 2).alias("average_shipping_days"),
+        round_half_up(F.col("discount_mean") * 100, 2).alias("average_discount_pct"),
+        round_half_up("days_mean", 2).alias("average_shipping_days"),
     )
 
 
@@ -225,7 +225,7 @@ def bottom_products(lines: DataFrame, k: int = 10) -> DataFrame:
             "total_quantity",
             money("sales_sum").alias("total_sales"),
             money("profit_sum").alias("total_loss"),
-            F.round(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
+            round_half_up(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
             _margin(),
             "loss_rank",
         )
@@ -242,7 +242,7 @@ def high_sales_negative_profit(lines: DataFrame, floor: int = 3000) -> DataFrame
             *PRODUCT,
             money("sales_sum").alias("total_sales"),
             money("profit_sum").alias("total_loss"),
-            F.round(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
+            round_half_up(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
             _margin(),
             "transaction_count",
         )
@@ -350,7 +350,7 @@ def state_profitability_ranking(lines: DataFrame, k: int = 5) -> DataFrame:
             money("sales_sum").alias("total_sales"),
             money("profit_sum").alias("total_profit"),
             _margin(),
-            F.round(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
+            round_half_up(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
             "state_group",
         )
         .orderBy(F.col("total_profit").desc(), "state")
@@ -373,7 +373,7 @@ def segment_performance(lines: DataFrame) -> DataFrame:
             money("sales_sum").alias("total_sales"),
             money("profit_sum").alias("total_profit"),
             _margin(),
-            F.round(ratio("sales_sum", "orders"), 2).alias("average_order_value"),
+            round_half_up(ratio("sales_sum", "orders"), 2).alias("average_order_value"),
         )
         .orderBy(F.col("total_sales").desc(), "segment")
     )
@@ -391,7 +391,7 @@ def ship_mode_performance(lines: DataFrame) -> DataFrame:
         .select(
             "ship_mode",
             F.col("orders").alias("total_orders"),
-            F.round("days_mean", 2).alias("avg_shipping_days"),
+            round_half_up("days_mean", 2).alias("avg_shipping_days"),
             "min_shipping_days",
             "max_shipping_days",
             money("sales_sum").alias("total_sales"),
@@ -422,7 +422,7 @@ def discount_bands(lines: DataFrame) -> DataFrame:
             money("sales_sum").alias("total_sales"),
             money("profit_sum").alias("total_profit"),
             _margin(),
-            F.round(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
+            round_half_up(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
         )
     )
 
@@ -481,7 +481,7 @@ def rolling_3m_average(lines: DataFrame) -> DataFrame:
         .select(
             "year_month",
             "monthly_sales",
-            F.round(F.avg("monthly_sales").over(last_three), 2).alias("rolling_3m_avg_sales"),
+            round_half_up(F.avg("monthly_sales").over(last_three), 2).alias("rolling_3m_avg_sales"),
         )
         .orderBy("year_month")
     )
@@ -498,7 +498,7 @@ def loss_making_states(lines: DataFrame) -> DataFrame:
             money("sales_sum").alias("total_sales"),
             money("profit_sum").alias("net_profit_loss"),
             _margin(),
-            F.round(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
+            round_half_up(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
         )
         .orderBy("net_profit_loss", "state")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.functions.expr import labelled
+from tallyworks.functions.expr import labelled, round_half_even
 from tallyworks.operators.filters import EVERYTHING, FilterContext
 
 # Fixed values of the method.
@@ -81,10 +81,10 @@ def forecast(
     spread = model.select("spread").scalar()
     past = history.select(
         F.col("year_month").alias("period"),
-        F.round("actual", 2).alias("actual"),
-        F.round("fitted", 2).alias("forecast"),
-        F.round(F.greatest(floor, F.col("fitted") - Z * spread), 2).alias("lower_bound"),
-        F.round(F.col("fitted") + Z * spread, 2).alias("upper_bound"),
+        round_half_even("actual", 2).alias("actual"),
+        round_half_even("fitted", 2).alias("forecast"),
+        round_half_even(F.greatest(floor, F.col("fitted") - Z * spread), 2).alias("lower_bound"),
+        round_half_even(F.col("fitted") + Z * spread, 2).alias("upper_bound"),
     )
 
     step = F.col("step")
@@ -102,9 +102,9 @@ def forecast(
                 "period"
             ),
             F.lit(None).cast("double").alias("actual"),
-            F.round("expected", 2).alias("forecast"),
-            F.round(F.greatest(floor, F.col("expected") - F.col("margin")), 2).alias("lower_bound"),
-            F.round(F.col("expected") + F.col("margin"), 2).alias("upper_bound"),
+            round_half_even("expected", 2).alias("forecast"),
+            round_half_even(F.greatest(floor, F.col("expected") - F.col("margin")), 2).alias("lower_bound"),
+            round_half_even(F.col("expected") + F.col("margin"), 2).alias("upper_bound"),
         )
     )
     return past.unionByName(future).orderBy("period")
@@ -116,7 +116,7 @@ def forecast_summary(
     """Model name, number of months and errors; a baseline with zero errors when months are too few."""
     months = filters.apply(lines).agg(F.count_distinct("year_month").alias("historical_count"))
     errors = _model(_history(lines, metric, filters)).select(
-        F.struct(F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"))
+        F.struct(round_half_even("mae", 2).alias("mae"), round_half_even("rmse", 2).alias("rmse"))
     )
     enough = F.col("historical_count") >= MIN_MONTHS
     return months.withColumn("errors", errors.scalar()).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.functions.expr import divide_or_zero, money
+from tallyworks.functions.expr import divide_or_zero, money, round_half_up
 from tallyworks.functions.measures import LINE_MEASURES
 from tallyworks.plans.star import StarTables
 
@@ -22,7 +22,7 @@ def repeat_customers(lines: DataFrame, by: list[str]) -> DataFrame:
         .groupBy(*by)
         .agg(F.count_if(F.col("orders") > 1).alias("repeat_customers"), F.count(F.lit(1)).alias("customers"))
         .select(
-            *by, "repeat_customers", F.round(divide_or_zero("repeat_customers", "customers"), 6).alias("repeat_rate")
+            *by, "repeat_customers", round_half_up(divide_or_zero("repeat_customers", "customers"), 6).alias("repeat_rate")
         )
     )
 
@@ -63,7 +63,7 @@ def on_time_rate(star: StarTables, by: list[str]) -> DataFrame:
     return (
         star.fact.join(targets, "ship_mode_id", "left")
         .groupBy(*by)
-        .agg(F.round(divide_or_zero(in_time, F.count(F.lit(1))), 6).alias("on_time_rate"))
+        .agg(round_half_up(divide_or_zero(in_time, F.count(F.lit(1))), 6).alias("on_time_rate"))
     )
 
 
@@ -81,7 +81,7 @@ def monthly_time_intelligence(lines: DataFrame) -> DataFrame:
     )
 
     def growth(value: str):
-        return F.round(divide_or_zero(F.col(value) - F.col(f"{value}_before"), f"{value}_before"), 6)
+        return round_half_up(divide_or_zero(F.col(value) - F.col(f"{value}_before"), f"{value}_before"), 6)
 
     return looked.select(
         "year_month",
@@ -128,7 +128,7 @@ def sales_3m_average(lines: DataFrame, calendar: DataFrame) -> DataFrame:
         offered.join(ends, "year_month")
         .filter(in_window)
         .groupBy("year_month")
-        .agg(F.round(divide_or_zero(F.sum("sales"), F.count(F.lit(1))), 2).alias("sales_3m_daily_avg"))
+        .agg(round_half_up(divide_or_zero(F.sum("sales"), F.count(F.lit(1))), 2).alias("sales_3m_daily_avg"))
     )
     last_three = Window.orderBy("year_month").rowsBetween(-2, 0)  # one row per calendar month
     monthly = (
@@ -136,7 +136,7 @@ def sales_3m_average(lines: DataFrame, calendar: DataFrame) -> DataFrame:
         .agg(F.sum("sales").alias("sales"))
         .select(
             "year_month",
-            F.round(
+            round_half_up(
                 divide_or_zero(F.sum("sales").over(last_three), F.count(F.lit(1)).over(last_three)), 2
             ).alias("sales_3m_monthly_avg"),
         )
@@ -158,6 +158,6 @@ def measure_reconcile(star: StarTables) -> DataFrame:
     percent = {"profit_margin_pct": "profit_margin", "average_discount_pct": "avg_discount_simple"}
     return star.fact.agg(
         *[LINE_MEASURES[measure]().alias(name) for name, measure in names.items()],
-        *[F.round(LINE_MEASURES[measure]() * 100, 2).alias(name) for name, measure in percent.items()],
-        F.round(LINE_MEASURES["avg_ship_days"](), 2).alias("average_shipping_days"),
+        *[round_half_up(LINE_MEASURES[measure]() * 100, 2).alias(name) for name, measure in percent.items()],
+        round_half_up(LINE_MEASURES["avg_ship_days"](), 2).alias("average_shipping_days"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.functions.expr import labelled, mean, money, pct, quantile_bin, ratio
+from tallyworks.functions.expr import labelled, mean, money, pct, quantile_bin, ratio, round_half_up, round_scaled
 from tallyworks.operators.ranking import percentiles_of, value_histogram, with_position
 from tallyworks.session import shared_folder
 
@@ -101,8 +101,8 @@ def rfm_quintiles(lines: DataFrame) -> DataFrame:
         "total_quantity",
         "first_order_date",
         "last_order_date",
-        F.round(ratio("monetary", "frequency"), 2).alias("aov"),
-        pct("total_profit", "monetary").alias("profit_margin_pct"),
+        round_scaled(ratio("monetary", "frequency"), 2).alias("aov"),
+        round_scaled(ratio("total_profit", "monetary") * 100, 2).alias("profit_margin_pct"),
         "r_score",
         "f_score",
         "m_score",
@@ -152,10 +152,10 @@ def segment_summary(rfm: DataFrame) -> DataFrame:
             F.count("customer_id").alias("customer_count"),
             F.sum("monetary").alias("sales_sum"),
             F.sum("total_profit").alias("profit_sum"),
-            F.round(mean("monetary"), 2).alias("avg_sales"),
-            F.round(mean("total_profit"), 2).alias("avg_profit"),
-            F.round(mean("frequency"), 4).alias("avg_frequency"),
-            F.round(mean("recency"), 4).alias("avg_recency"),
+            round_half_up(mean("monetary"), 2).alias("avg_sales"),
+            round_half_up(mean("total_profit"), 2).alias("avg_profit"),
+            round_half_up(mean("frequency"), 4).alias("avg_frequency"),
+            round_half_up(mean("recency"), 4).alias("avg_recency"),
         )
         .withColumn("all", totals)
         .select(

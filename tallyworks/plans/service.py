@@ -9,7 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.functions.expr import guarded_pct, guarded_ratio, labelled, mean, money, quantile_bin, ratio, whole
+from tallyworks.functions.expr import (
+    guarded_pct,
+    guarded_ratio,
+    labelled,
+    mean,
+    money,
+    quantile_bin,
+    ratio,
+    round_half_even,
+    round_scaled,
+    whole,
+)
 from tallyworks.operators.filters import EVERYTHING, FilterContext, contains_any
 from tallyworks.operators.grain import per_order
 from tallyworks.operators.ranking import amount_of_top, from_the_top, value_histogram, with_position
@@ -66,8 +77,8 @@ def kpi_summary(lines: DataFrame, filters: FilterContext = EVERYTHING) -> DataFr
         _zeroed_money("returned_sales").alias("returned_revenue"),
         whole("gaining").alias("profitable_orders"),
         whole("losing").alias("loss_orders"),
-        F.coalesce(F.round(ratio("discount", "lines") * 100, 2), F.lit(0.0)).alias("avg_discount"),
-        F.coalesce(F.round(ratio("shipping_cost", "lines"), 2), F.lit(0.0)).alias("avg_shipping_cost"),
+        F.coalesce(round_half_even(ratio("discount", "lines") * 100, 2), F.lit(0.0)).alias("avg_discount"),
+        F.coalesce(round_half_even(ratio("shipping_cost", "lines"), 2), F.lit(0.0)).alias("avg_shipping_cost"),
     )
 
 
@@ -100,10 +111,10 @@ def sales_trend(lines: DataFrame, filters: FilterContext = EVERYTHING) -> DataFr
             "units",
             F.when(
                 F.col("previous") > 0,
-                F.round(F.try_divide(F.col("revenue") - F.col("previous"), F.col("previous")) * 100, 2),
+                round_half_even(F.try_divide(F.col("revenue") - F.col("previous"), F.col("previous")) * 100, 2),
             ).alias("yoy_growth"),
-            F.round(F.avg("revenue").over(in_order.rowsBetween(-2, 0)), 2).alias("rolling_3m_revenue"),
-            F.round(F.sum("revenue").over(in_order.rowsBetween(Window.unboundedPreceding, 0)), 2).alias(
+            round_scaled(F.avg("revenue").over(in_order.rowsBetween(-2, 0)), 2).alias("rolling_3m_revenue"),
+            round_scaled(F.sum("revenue").over(in_order.rowsBetween(Window.unboundedPreceding, 0)), 2).alias(
                 "running_total_revenue"
             ),
         )
@@ -206,7 +217,7 @@ def _product_columns() -> list[Column | str]:
         "profit",
         "quantity",
         _margin(),
-        F.coalesce(F.round(F.col("discount_mean") * 100, 2), F.lit(0.0)).alias("avg_discount"),
+        F.coalesce(round_half_even(F.col("discount_mean") * 100, 2), F.lit(0.0)).alias("avg_discount"),
     ]
 
 
@@ -377,9 +388,9 @@ def rfm_quartiles(lines: DataFrame, filters: FilterContext = EVERYTHING) -> Data
             F.count(F.lit(1)).alias("customer_count"),
             money(F.sum("monetary")).alias("total_revenue"),
             money(F.sum("profit")).alias("total_profit"),
-            F.round(mean("recency"), 1).alias("avg_recency_days"),
-            F.round(mean("frequency"), 1).alias("avg_frequency"),
-            F.round(mean("monetary"), 2).alias("avg_monetary"),
+            round_half_even(mean("recency"), 1).alias("avg_recency_days"),
+            round_half_even(mean("frequency"), 1).alias("avg_frequency"),
+            round_half_even(mean("monetary"), 2).alias("avg_monetary"),
         )
         .withColumn("share_of_customers", guarded_pct("customer_count", "customers"))
         .drop("customers")
@@ -412,8 +423,8 @@ def shipping(lines: DataFrame, filters: FilterContext = EVERYTHING) -> DataFrame
             F.count_distinct("order_id").alias("order_count"),
             _zeroed_money(F.sum("sales")).alias("total_revenue"),
             _zeroed_money(F.sum("profit")).alias("total_profit"),
-            F.coalesce(F.round(mean("shipping_cost"), 2), F.lit(0.0)).alias("avg_shipping_cost"),
-            F.coalesce(F.round(mean("shipping_days"), 1), F.lit(0.0)).alias("avg_shipping_days"),
+            F.coalesce(round_half_even(mean("shipping_cost"), 2), F.lit(0.0)).alias("avg_shipping_cost"),
+            F.coalesce(round_half_even(mean("shipping_days"), 1), F.lit(0.0)).alias("avg_shipping_days"),
         )
         .withColumn("ship_mode", F.coalesce("ship_mode", F.lit("Standard")))
         .orderBy(F.col("total_revenue").desc(), "ship_mode")
@@ -554,7 +565,7 @@ def _number(value: str, digits: int) -> Column:
 
 
 def _plain(value: str, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.col(value))
+    return F.regexp_replace(F.format_number(F.col(value), digits), ",", "")
 
 
 def _sentence(place: int, title: Column, description: Column, topic: str, status: Column) -> list[Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyworks.functions.expr import growth_pct, mean, money, ntile_bin, pct, ratio
+from tallyworks.functions.expr import growth_pct, mean, money, ntile_bin, pct, ratio, round_half_up
 from tallyworks.operators.ranking import top_by_dense_rank, with_position
 from tallyworks.plans import flat_suite
 from tallyworks.plans.star import StarTables
@@ -49,7 +49,7 @@ def star_kpis(star: StarTables) -> DataFrame:
         "total_orders",
         "total_units_sold",
         "unique_customers",
-        F.round(ratio("sales_sum", "total_orders"), 2).alias("average_order_value"),
+        round_half_up(ratio("sales_sum", "total_orders"), 2).alias("average_order_value"),
     )
 
 
@@ -77,7 +77,7 @@ def star_rolling_3m(star: StarTables) -> DataFrame:
     return (
         star.fact.groupBy(F.date_format("order_date", "yyyy-MM").alias("year_month"))
         .agg(money(F.sum("sales")).alias("monthly_revenue"), money(F.sum("profit")).alias("monthly_profit"))
-        .withColumn("rolling_3m_avg_revenue", F.round(F.avg("monthly_revenue").over(last_three), 2))
+        .withColumn("rolling_3m_avg_revenue", round_half_up(F.avg("monthly_revenue").over(last_three), 2))
         .orderBy("year_month")
     )
 
@@ -148,7 +148,7 @@ def star_loss_products(star: StarTables, k: int = 10) -> DataFrame:
             *PRODUCT,
             money("sales_sum").alias("total_sales"),
             money("profit_sum").alias("total_loss"),
-            F.round(F.col("discount_mean") * 100, 1).alias("avg_discount_pct"),
+            round_half_up(F.col("discount_mean") * 100, 1).alias("avg_discount_pct"),
             "transaction_count",
         )
         .orderBy("total_loss", "product_id")
@@ -168,7 +168,7 @@ def discount_bracket_tiers(star: StarTables) -> DataFrame:
             money("sales_sum").alias("total_sales"),
             money("profit_sum").alias("total_profit"),
             _margin(),
-            F.round(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
+            round_half_up(F.col("discount_mean") * 100, 2).alias("avg_discount_pct"),
         )
     )
 
@@ -184,7 +184,7 @@ def deep_discount_audit(star: StarTables, threshold: str = "0.50") -> DataFrame:
             "deep_discount_orders",
             money("sales_sum").alias("deep_discount_sales"),
             money("profit_sum").alias("total_loss_incurred"),
-            F.round(F.col("discount_mean") * 100, 1).alias("avg_discount_given"),
+            round_half_up(F.col("discount_mean") * 100, 1).alias("avg_discount_given"),
         )
         .orderBy("total_loss_incurred", "category")
     )
@@ -217,7 +217,7 @@ def star_loss_states(star: StarTables, k: int = 10) -> DataFrame:
             money("sales_sum").alias("total_sales"),
             money("profit_sum").alias("net_profit"),
             _margin(),
-            F.round(F.col("discount_mean") * 100, 1).alias("avg_discount_pct"),
+            round_half_up(F.col("discount_mean") * 100, 1).alias("avg_discount_pct"),
             F.col("orders").alias("total_orders"),
         )
         .orderBy("net_profit", "state", "region")
@@ -256,7 +256,7 @@ def customer_ltv(star: StarTables, k: int = 15) -> DataFrame:
             "total_units_bought",
             money("sales_sum").alias("lifetime_spend"),
             money("profit_sum").alias("lifetime_profit"),
-            F.round(ratio("sales_sum", "orders"), 2).alias("avg_order_value"),
+            round_half_up(ratio("sales_sum", "orders"), 2).alias("avg_order_value"),
         )
         .orderBy(F.col("lifetime_spend").desc(), "customer_id")
         .limit(k)
@@ -317,7 +317,7 @@ def star_segment_performance(star: StarTables) -> DataFrame:
             money("sales_sum").alias("total_revenue"),
             money("profit_sum").alias("total_profit"),
             _margin(),
-            F.round(ratio("sales_sum", "orders"), 2).alias("average_order_value"),
+            round_half_up(ratio("sales_sum", "orders"), 2).alias("average_order_value"),
         )
         .orderBy(F.col("total_revenue").desc(), "segment")
     )
@@ -386,7 +386,7 @@ def acquisition_cohorts(star: StarTables) -> DataFrame:
             "new_customers_acquired",
             money("revenue").alias("total_cohort_revenue"),
             money("profit").alias("total_cohort_profit"),
-            F.round(ratio("revenue", "new_customers_acquired"), 2).alias("revenue_per_acquired_customer"),
+            round_half_up(ratio("revenue", "new_customers_acquired"), 2).alias("revenue_per_acquired_customer"),
         )
         .orderBy("cohort_year")
     )

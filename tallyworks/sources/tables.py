@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.functions.expr import calendar_columns, line_flags, ratio
+from tallyworks.functions.expr import calendar_columns, line_flags, ratio, round_scaled
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,7 +86,7 @@ def join_order_lines(spark: SparkSession, folder: str) -> DataFrame:
             ((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 5 == 0)).alias("is_returned"),
         )
         .withColumn("ship_date", F.date_add("order_date", F.col("shipping_days")))
-        .withColumn("unit_price", F.round(ratio("sales", "quantity"), 2))
+        .withColumn("unit_price", round_scaled(ratio("sales", "quantity"), 2))
     )
 
 
