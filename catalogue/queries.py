@@ -242,7 +242,7 @@ def all_queries() -> dict[str, Query]:
     )
     found["order_ledger_info"] = on_lines(service.order_ledger_info, search=" Blue B", page=3, page_size=50)
 
-    found["rfm_quartile_scores"] = on_lines(lambda lines: service.rfm_quartile_scores(lines).drop("customers"))
+    found["rfm_quartile_scores"] = on_lines(service.rfm_quartile_scores)
     found["rfm_quintiles"] = on_rfm(lambda table: table.drop("rfm_segment"))
     found["rfm_segments_9"] = on_rfm(lambda table: table.select("customer_id", "rfm_score", "rfm_segment"))
     found["rfm_segments_7"] = on_lines(rfm.rfm_seven_segments)

@@ -93,7 +93,7 @@ def parse_number(text: Column) -> Column:
 
 def _text(name: str, replacement: str) -> Column:
     value = F.trim(F.col(name).cast("string"))
-    return F.when(value.isNull() | value.isin(schema.NULL_TOKENS), replacement).otherwise(value)
+    return F.when(~value.isin(schema.NULL_TOKENS), value).otherwise(replacement)  # a null is not "not in"
 
 
 def _amount(value: Column, missing: float, kind: str = schema.MONEY) -> Column:

@@ -72,12 +72,10 @@ def value_histogram(df: DataFrame, columns: list[str], value_type: str = "decima
     count, ``amount_upto`` and ``amount_total`` are running and full sums. Equal values are combined
     before the shuffle, so a value held by a third of all rows costs one row.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast(value_type).alias("value")) for c in columns]
-    )
+    # Columns travel as small numbers and get their names back at the end.
+    values = F.array(*[F.col(c).cast(value_type) for c in columns])
     counted = (
-        df.select(F.explode(pairs).alias("pair"))
-        .select("pair.column", "pair.value")
+        df.select(F.posexplode(values).alias("column", "value"))
         .filter(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -101,7 +99,7 @@ def value_histogram(df: DataFrame, columns: list[str], value_type: str = "decima
         .withColumn("_amount_upto", F.sum("amount").over(within))
         .join(F.broadcast(earlier), ["_part", "column"])
         .select(
-            "column",
+            F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column") + 1).alias("column"),
             "value",
             "rows",
             "total",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions.expr import growth_pct, mean, money, pct, ratio, round_half_up
 from tallyworks.operators.ranking import amount_of_top, from_the_top, percentiles_of, value_histogram
+from tallyworks.sources.schema import MONEY
 
 RATE = 4  # digits kept in printed rates
 
@@ -331,7 +332,7 @@ def iqr_outliers(lines: DataFrame, columns: list[str] | None = None) -> DataFram
     Both the quartiles and the counts come from the histogram of distinct values, so the lines are
     read once.
     """
-    histogram = value_histogram(lines, columns or OUTLIER_COLUMNS)
+    histogram = value_histogram(lines, columns or OUTLIER_COLUMNS, MONEY)
     quartiles = percentiles_of(histogram, {"q1": 0.25, "q3": 0.75})
     fences = quartiles.select(
         "column",

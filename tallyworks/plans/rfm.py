@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions.expr import labelled, mean, money, pct, quantile_bin, ratio, round_half_up, round_scaled
 from tallyworks.operators.ranking import percentiles_of, value_histogram, with_position
-from tallyworks.session import shared_folder
 
 FIFTHS = {"e1": 0.2, "e2": 0.4, "e3": 0.6, "e4": 0.8}
 
 
-def _edges(customers: DataFrame, column: str) -> Column:
+def _edges(histogram: DataFrame, column: str) -> Column:
     """The four inner edges of a value's quintiles, as a one-row lookup.
 
     A customer's level is one more than the number of edges below its value, so equal edges simply
     leave a level empty.
     """
-    edges = percentiles_of(value_histogram(customers, [column]), FIFTHS)
+    edges = percentiles_of(histogram.filter(F.col("column") == column), FIFTHS)
     return edges.select(F.array(*FIFTHS)).scalar()
 
 
@@ -60,9 +59,8 @@ def seven_segments(r: Column, f: Column, m: Column) -> Column:
 
 
 def customer_base(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per customer. Checkpointed: every score reads it, and it is far smaller than the lines."""
-    shared_folder(lines.sparkSession)
-    base = lines.groupBy(*keys).agg(
+    """One row per customer."""
+    return lines.groupBy(*keys).agg(
         F.count_distinct("order_id").alias("frequency"),
         F.sum("sales").alias("monetary"),
         F.sum("profit").alias("total_profit"),
@@ -70,18 +68,19 @@ def customer_base(lines: DataFrame, keys: list[str]) -> DataFrame:
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),
     )
-    return base.checkpoint()
 
 
 def _scored(base: DataFrame, days_after: int) -> DataFrame:
-    newest = base.agg(F.date_add(F.max("last_order_date"), days_after)).scalar()
-    dated = base.withColumn("recency", F.datediff(newest, "last_order_date"))
-    placed = with_position(dated, [F.col("frequency"), F.col("customer_id")], "f_place", total="customers")
+    # The positions come from a checkpoint, which everything below reads instead of the lines.
+    placed = with_position(base, [F.col("frequency"), F.col("customer_id")], "f_place", total="customers")
+    newest = placed.agg(F.date_add(F.max("last_order_date"), days_after)).scalar()
+    placed = placed.withColumn("recency", F.datediff(newest, "last_order_date"))
+    histogram = value_histogram(placed, ["recency", "monetary"])
     return placed.withColumns(
         {
-            "r_score": F.lit(6) - _level(F.col("recency"), _edges(placed, "recency")),
+            "r_score": F.lit(6) - _level(F.col("recency"), _edges(histogram, "recency")),
             "f_score": quantile_bin("f_place", "customers", 5),
-            "m_score": _level(F.col("monetary").cast("double"), _edges(placed, "monetary")),
+            "m_score": _level(F.col("monetary").cast("double"), _edges(histogram, "monetary")),
         }
     ).drop("f_place", "customers")
 

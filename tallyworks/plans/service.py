@@ -337,8 +337,7 @@ def quartile_segment(r: Column, f: Column) -> Column:
     )
 
 
-def rfm_quartile_scores(lines: DataFrame, filters: FilterContext = EVERYTHING) -> DataFrame:
-    """Quartile scores per customer; no rows when there are fewer than four customers."""
+def _placed_buyers(lines: DataFrame, filters: FilterContext, by_spend: bool) -> DataFrame:
     buyers = (
         filters.apply(lines)
         .groupBy("customer_id")
@@ -352,7 +351,8 @@ def rfm_quartile_scores(lines: DataFrame, filters: FilterContext = EVERYTHING) -
     key = F.col("customer_id")
     placed = with_position(buyers, [F.col("last_order").desc(), key], "r_place", total="customers")
     placed = with_position(placed, [F.col("frequency"), key], "f_place")
-    placed = with_position(placed, [F.col("monetary"), key], "m_place")
+    if by_spend:
+        placed = with_position(placed, [F.col("monetary"), key], "m_place")
     newest = placed.agg(F.max("last_order")).scalar()
     return (
         placed.filter(F.col("customers") >= 4)
@@ -361,9 +361,17 @@ def rfm_quartile_scores(lines: DataFrame, filters: FilterContext = EVERYTHING) -
                 "recency": F.datediff(newest, "last_order"),
                 "r_score": F.lit(5) - quantile_bin("r_place", "customers", 4),
                 "f_score": quantile_bin("f_place", "customers", 4),
-                "m_score": quantile_bin("m_place", "customers", 4),
             }
         )
+        .withColumn("segment", quartile_segment(F.col("r_score"), F.col("f_score")))
+    )
+
+
+def rfm_quartile_scores(lines: DataFrame, filters: FilterContext = EVERYTHING) -> DataFrame:
+    """Quartile scores per customer; no rows when there are fewer than four customers."""
+    return (
+        _placed_buyers(lines, filters, by_spend=True)
+        .withColumn("m_score", quantile_bin("m_place", "customers", 4))
         .select(
             "customer_id",
             "recency",
@@ -374,15 +382,15 @@ def rfm_quartile_scores(lines: DataFrame, filters: FilterContext = EVERYTHING) -
             "f_score",
             "m_score",
             (F.col("r_score") * 100 + F.col("f_score") * 10 + F.col("m_score")).alias("rfm_score"),
-            quartile_segment(F.col("r_score"), F.col("f_score")).alias("segment"),
-            "customers",
+            "segment",
         )
     )
 
 
 def rfm_quartiles(lines: DataFrame, filters: FilterContext = EVERYTHING) -> DataFrame:
+    """Customers, money and averages per segment. The spend score plays no part in the segments."""
     return (
-        rfm_quartile_scores(lines, filters)
+        _placed_buyers(lines, filters, by_spend=False)
         .groupBy("segment", "customers")
         .agg(
             F.count(F.lit(1)).alias("customer_count"),

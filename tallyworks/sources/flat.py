@@ -19,9 +19,14 @@ _segmentations: dict[tuple[str, str], str] = {}
 _lock = threading.RLock()
 
 
-def write_flat(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by year. The rebalance splits a hot year and merges small pieces into full files."""
-    lines.hint("rebalance", "year").write.mode(mode).partitionBy("year").parquet(path)
+def write_flat(lines: DataFrame, path: str, mode: str = "overwrite", laid_out: bool = False) -> None:
+    """Parquet by year. The rebalance splits a hot year and merges small pieces into full files.
+
+    Lines that are already laid out by year are written as they are.
+    """
+    if not laid_out:
+        lines = lines.hint("rebalance", "year")
+    lines.write.mode(mode).partitionBy("year").parquet(path)
 
 
 def read_flat(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -47,7 +52,7 @@ def order_lines(spark: SparkSession, folder: str) -> DataFrame:
         if key not in _written:
             path = _place(spark, "order-lines", key)
             lines = derive_order_lines(spark, folder)
-            write_flat(lines, path)
+            write_flat(lines, path, laid_out=True)
             _written[key] = (path, lines.schema)
     return read_flat(spark, *_written[key])
 
