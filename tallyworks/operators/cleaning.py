@@ -101,6 +101,15 @@ def _amount(value: Column, missing: float, kind: str = schema.MONEY) -> Column:
     return F.coalesce(value.try_cast(kind), F.lit(str(missing)).cast(kind))
 
 
+def _sales(have: set[str]) -> Column:
+    """Sales as given, else quantity times price, else a fixed amount."""
+    if "sales" in have:
+        return _amount(parse_number(F.col("sales")), 0.0)
+    if {"quantity", "unit_price"} <= have:
+        return _amount(parse_number(F.col("quantity")) * parse_number(F.col("unit_price")), 0.0)
+    return F.lit("100").cast(schema.MONEY)
+
+
 def clean(raw: DataFrame, returned_orders: DataFrame | None = None) -> DataFrame:
     """Cleaned order lines of a raw table whose columns may be text under any known header.
 
@@ -133,14 +142,8 @@ def clean(raw: DataFrame, returned_orders: DataFrame | None = None) -> DataFrame
     def number(name: str, missing: float) -> Column:
         return _amount(parse_number(F.col(name)), missing)
 
-    if "sales" in have:
-        sales = number("sales", 0.0)
-    elif {"quantity", "unit_price"} <= have:
-        sales = _amount(parse_number(F.col("quantity")) * parse_number(F.col("unit_price")), 0.0)
-    else:
-        sales = F.lit("100").cast(schema.MONEY)
     quantity = F.floor(F.greatest(number("quantity", 1.0), one)) if "quantity" in have else F.lit(1)
-    lines = lines.withColumn("sales", sales).filter(F.col("sales") > 0).withColumn("quantity", quantity.cast("bigint"))
+    lines = lines.withColumn("sales", _sales(have)).filter(F.col("sales") > 0).withColumn("quantity", quantity.cast("bigint"))
 
     gross = F.col("sales").cast("double")
     price = round_scaled(gross / F.col("quantity"), 2)
@@ -276,7 +279,7 @@ def cleaning_statistics(raw: DataFrame) -> DataFrame:
     """Row counts before and after cleaning, by reason, without building the cleaned rows."""
     lines = conform(raw)
     undated = parse_when(F.col("order_date").cast("string")).isNull()
-    unsold = _amount(parse_number(F.col("sales")), 0.0) <= 0 if "sales" in lines.columns else F.lit(False)
+    unsold = _sales(set(lines.columns)) <= 0
     return lines.agg(
         F.count(F.lit(1)).alias("initial_rows"),
         F.count_if(undated).alias("invalid_dates"),

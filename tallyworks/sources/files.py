@@ -16,8 +16,8 @@ ENCODINGS = ["utf-8", "ISO-8859-1"]
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless its reading leaves replacement characters. Stops at the first bad line."""
-    bad = spark.read.text(path).filter(F.col("value").contains("�")).limit(1)
+    """UTF-8 unless a line is not valid UTF-8; the search stops at the first such line."""
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     return ENCODINGS[0] if bad.isEmpty() else ENCODINGS[1]
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tallyworks.operators.cleaning import clean
+from tallyworks.operators.cleaning import clean, cleaning_statistics
 from tallyworks.sources import schema as formats
 from tallyworks.sources.sinks import record_load
 
@@ -33,17 +32,15 @@ def start_ingest(
     """
 
     def load(batch: DataFrame, number: int) -> None:
-        before, after = Observation(), Observation()
-        seen = batch.observe(before, F.count(F.lit(1)).alias("rows"))
-        kept = clean(seen, returned_orders).observe(after, F.count(F.lit(1)).alias("rows"))
-        kept.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        clean(batch, returned_orders).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        counts = cleaning_statistics(batch).first()
         record_load(
             batch.sparkSession,
             f"{audit_path}/batch={number}",
             f"batch-{number}",
             0,
-            before.get["rows"],
-            after.get["rows"],
+            counts["initial_rows"],
+            counts["final_valid_rows"],
             mode="overwrite",
         )
 
