@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,10 @@ from tallyworks.functions.measures import LINE_MEASURES
 from tallyworks.operators import cleaning
 from tallyworks.operators.filters import FilterContext
 from tallyworks.plans import eda, flat_suite, forecast, measures, rfm, service, star, star_suite
-from tallyworks.sources.flat import customer_rfm, order_lines, star_tables
+from tallyworks.session import shared_folder
+from tallyworks.sources import sinks
+from tallyworks.sources.flat import customer_rfm, order_lines, read_flat, star_tables
+from tallyworks.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -198,6 +202,52 @@ def _padded(spark: SparkSession, folder: str) -> DataFrame:
     return codes.withColumn("postal_code", cleaning.pad_postal_code(F.col("raw_code")))
 
 
+def _scratch(spark: SparkSession, kind: str) -> str:
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def _load_and_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Replace, then append the same raw table; the audit rows and the stored totals must agree."""
+    lines = order_lines(spark, folder)
+    raw, returned, place = raw_order_lines(lines), returns_ledger(lines), _scratch(spark, "load")
+    for number, replace in enumerate((True, False), 1):
+        sinks.load_order_lines(
+            raw, f"{place}/table", f"{place}/audit", f"load-{number}", replace=replace, returned_orders=returned
+        )
+    stored = read_flat(spark, f"{place}/table").agg(
+        F.struct(F.count(F.lit(1)).alias("rows"), F.sum("sales").cast("double").alias("sales"))
+    )
+    return (
+        sinks.latest_loads(spark, f"{place}/audit")
+        .withColumn("stored", stored.scalar())
+        .select(
+            "filename",
+            "total_rows",
+            "valid_rows",
+            "invalid_rows",
+            "status",
+            F.col("stored.rows").alias("stored_rows"),
+            F.col("stored.sales").alias("stored_sales"),
+        )
+    )
+
+
+def _stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw files arrive in a folder, a stream cleans and appends them; totals of what it stored."""
+    lines, place = order_lines(spark, folder), _scratch(spark, "stream")
+    raw = raw_order_lines(lines)
+    sinks.write_csv(raw, f"{place}/inbox")
+    arriving = ingest.stream_order_files(spark, f"{place}/inbox", raw.schema)
+    ingest.start_ingest(
+        arriving, f"{place}/table", f"{place}/audit", f"{place}/progress", returns_ledger(lines)
+    ).awaitTermination()
+    return plain(
+        ingest.read_ingested(spark, f"{place}/table")
+        .groupBy("year", "order_status")
+        .agg(F.count(F.lit(1)).alias("lines"), F.sum("sales").alias("sales"), F.sum("quantity").alias("quantity"))
+    )
+
+
 CLEANING: dict[str, Query] = {
     "clean_order_lines": lambda spark, folder: plain(_cleaned(spark, folder)),
     "clean_stats": lambda spark, folder: cleaning.cleaning_statistics(raw_order_lines(order_lines(spark, folder))),
@@ -218,6 +268,8 @@ CLEANING: dict[str, Query] = {
         .agg(F.count(F.lit(1)).alias("lines"), F.sum("sales").alias("sales"))
     ),
     "surrogate_row_ids": _row_ids,
+    "load_and_audit": _load_and_audit,
+    "stream_ingest": _stream_ingest,
     "postal_codes_padded": _padded,
 }
 
@@ -240,6 +292,7 @@ def all_queries() -> dict[str, Query]:
     found["order_ledger_search"] = on_lines(
         service.order_ledger_page, search=" Blue B", sort_by="sales", sort_desc=False, page=3, page_size=50
     )
+    found["order_ledger_deep_page"] = on_lines(service.order_ledger_page, page=501, page_size=100)
     found["order_ledger_info"] = on_lines(service.order_ledger_info, search=" Blue B", page=3, page_size=50)
 
     found["rfm_quartile_scores"] = on_lines(service.rfm_quartile_scores)

@@ -93,8 +93,13 @@ SQL = {
            FROM repaired""",
         KEPT,
     ),
-    "domain_checks": """SELECT CAST(0 AS BIGINT) AS non_positive_sales, CAST(0 AS BIGINT) AS quantity_below_one,
-      CAST(0 AS BIGINT) AS discount_out_of_range, CAST(0 AS BIGINT) AS negative_shipping_days""",
+    "domain_checks": query(
+        """SELECT COUNT(*) FILTER (NOT sales > 0) AS non_positive_sales, COUNT(*) FILTER (NOT quantity >= 1) AS quantity_below_one,
+             COUNT(*) FILTER (NOT discount BETWEEN 0 AND 1) AS discount_out_of_range,
+             COUNT(*) FILTER (NOT shipping_days >= 0) AS negative_shipping_days
+           FROM clean""",
+        KEPT,
+    ),
     "dq_report": report("sales"),
     "dq_report_cleaned": report("clean", KEPT),
     "duplicate_profile": query(
@@ -119,6 +124,19 @@ SQL = {
             FROM clean GROUP BY is_returned, order_status""",
         KEPT,
     ),
+    "load_and_audit": query(
+        f"""SELECT CONCAT('load-', i) AS filename, (SELECT COUNT(*) FROM repaired) AS total_rows,
+              (SELECT COUNT(*) FROM clean) AS valid_rows,
+              (SELECT COUNT(*) FROM repaired) - (SELECT COUNT(*) FROM clean) AS invalid_rows, 'SUCCESS' AS status,
+              2 * (SELECT COUNT(*) FROM clean) AS stored_rows, {double('2 * (SELECT SUM(sales) FROM clean)')} AS stored_sales
+            FROM RANGE(1, 3) t(i)""",
+        KEPT,
+    ),
+    "stream_ingest": query(
+        f"""SELECT year, order_status, COUNT(*) AS lines, {double('SUM(sales)')} AS sales, {whole('SUM(quantity)')} AS quantity
+            FROM clean GROUP BY year, order_status""",
+        KEPT,
+    ),
     "surrogate_row_ids": query(f"""
       SELECT CAST(order_date AS VARCHAR) AS order_date, order_id, product_id, quantity, {double('sales')} AS sales,
         ROW_NUMBER() OVER (ORDER BY sales.order_date, order_id, product_id, quantity, sales.sales) AS row_id

@@ -233,6 +233,7 @@ SQL = {
     "filtered_discount_impact": impact(SELECTION),
     "order_ledger_page": ledger("TRUE", "sales.order_date DESC", "order_date", 20, 0),
     "order_ledger_search": ledger(FOUND, "sales.sales", "sales", 50, 100),
+    "order_ledger_deep_page": ledger("TRUE", "sales.order_date DESC", "order_date", 100, 50_000),
     "order_ledger_info": query(f"""
       SELECT COUNT(*) AS total_records, 3 AS page, 50 AS page_size,
         CAST(GREATEST(1, CEIL(COUNT(*) / 50)) AS INTEGER) AS total_pages

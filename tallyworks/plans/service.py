@@ -35,6 +35,8 @@ GAPPED_BANDS = [
     ("Severe (> 50%)", 0.501, 1.00),
 ]
 
+TOP_K_ROWS = 10_000  # a page that ends later is cut out of the numbered rows
+
 LEDGER_SORTS = ["order_date", "sales", "profit", "quantity", "customer_name", "country"]
 
 
@@ -509,18 +511,25 @@ def order_ledger_page(
     sort_by: str = "order_date",
     sort_desc: bool = True,
 ) -> DataFrame:
-    """One page of order lines. Ties in the sort column are broken by the whole row."""
+    """One page of order lines. Ties in the sort column are broken by the whole row.
+
+    Early pages are a top-k. A deep page would make every task and the driver hold all rows before
+    it, so there rows are numbered over the cluster and the page is cut out by number.
+    """
     metric = sort_by if sort_by in LEDGER_SORTS else "order_date"
     first = F.col(metric).desc() if sort_desc else F.col(metric).asc()
     rest = [c for c in LEDGER_COLUMNS if c != metric]
-    return (
+    skipped = (page - 1) * page_size
+    order = [first, *[F.col(c) for c in rest]]
+    found = (
         _ledger(lines, filters, search)
         .withColumn("ship_mode", F.coalesce("ship_mode", F.lit("Standard")))
         .select(*LEDGER_COLUMNS)
-        .orderBy(first, *rest)
-        .offset((page - 1) * page_size)
-        .limit(page_size)
     )
+    if skipped + page_size <= TOP_K_ROWS:
+        return found.orderBy(*order).offset(skipped).limit(page_size)
+    numbered = with_position(found, order, "place").filter(F.col("place").between(skipped + 1, skipped + page_size))
+    return numbered.orderBy("place").drop("place")
 
 
 def order_ledger_info(

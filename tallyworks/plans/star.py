@@ -24,11 +24,12 @@ FACT_COLUMNS = [
 
 
 def _first_by(lines: DataFrame, key: str, attributes: list[str]) -> DataFrame:
-    """One row per key with the attributes of its earliest order line.
+    """One row per key with the attributes it had first; on the same day, the least attributes win.
 
-    Equal (key, attributes) rows are merged first, so a hot key reaches the second step as few rows.
+    Equal (key, attributes) rows are merged first, by hash and on the map side, so a hot key reaches
+    the second step as few rows.
     """
-    seen = lines.groupBy(key, *attributes).agg(F.min(F.struct("order_date", "order_id")).alias("seen"))
+    seen = lines.groupBy(key, *attributes).agg(F.min("order_date").alias("seen"))
     first = F.min_by(F.struct(*attributes), F.struct("seen", *attributes)).alias("first")
     return seen.groupBy(key).agg(first).select(key, "first.*")
 

@@ -18,6 +18,8 @@ def build_session(app_name: str = "tallyworks", master: str | None = None, **con
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Checkpoints of finished queries are removed with them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # HotSpot does not compile methods above 8000 bytes; wide projections are split instead.
         "spark.sql.codegen.hugeMethodLimit": "8000",
         # Windows-1252 order files are rejected by name without this.

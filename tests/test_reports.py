@@ -122,6 +122,14 @@ def test_pages(spark):
     }
 
 
+def test_deep_pages_equal_top_k_pages(spark, monkeypatch):
+    lines = make_lines(spark, [{"order_id": f"O{i:02d}", "sales": i % 7} for i in range(90)])
+    early = rows_of(service.order_ledger_page(lines, page=4, page_size=20, sort_by="sales"))
+    monkeypatch.setattr(service, "TOP_K_ROWS", 0)
+    assert rows_of(service.order_ledger_page(lines, page=4, page_size=20, sort_by="sales")) == early
+    assert len(rows_of(service.order_ledger_page(lines, page=5, page_size=20))) == 10
+
+
 def reference_forecast(y, horizon, positive):
     """The method on plain arrays."""
     n = len(y)
