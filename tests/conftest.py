@@ -16,6 +16,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "6g",
+            "spark.sql.maxMetadataStringLength": "10000",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
