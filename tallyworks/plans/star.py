@@ -6,6 +6,7 @@ import dataclasses
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyworks.functions.expr import money
 
@@ -127,19 +128,29 @@ def build_star(lines: DataFrame, rfm: DataFrame | None = None) -> StarTables:
     )
 
 
-def write_star(star: StarTables, path: str) -> None:
-    """One Parquet table per dimension, and the fact by order year."""
+def write_star(star: StarTables, path: str) -> dict[str, StructType]:
+    """One Parquet table per dimension, and the fact by order year. Returns the stored schemas."""
+    schemas = {}
     for field in dataclasses.fields(star):
         table = getattr(star, field.name)
-        writer = table.write.mode("overwrite")
         if field.name == "fact":
             table = table.withColumn("order_year", F.year("order_date"))
-            writer = table.hint("rebalance", "order_year").write.mode("overwrite").partitionBy("order_year")
-        writer.parquet(f"{path}/{field.name}")
-
-
-def read_star(spark: SparkSession, path: str) -> StarTables:
-    return StarTables(**{f.name: spark.read.parquet(f"{path}/{f.name}") for f in dataclasses.fields(StarTables)})
+            table.hint("rebalance", "order_year").write.mode("overwrite").partitionBy("order_year").parquet(
+                f"{path}/fact"
+            )
+        else:
+            table.write.mode("overwrite").parquet(f"{path}/{field.name}")
+        schemas[field.name] = table.schema
+    return schemas
+
+
+def read_star(spark: SparkSession, path: str, schemas: dict[str, StructType] | None = None) -> StarTables:
+    """Known schemas spare the jobs that read them from files."""
+    tables = {}
+    for field in dataclasses.fields(StarTables):
+        reader = spark.read.schema(schemas[field.name]) if schemas else spark.read
+        tables[field.name] = reader.parquet(f"{path}/{field.name}")
+    return StarTables(**tables)
 
 
 def sales_by_ship_month(star: StarTables) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -13,9 +14,7 @@ from tallyworks.plans.star import StarTables, build_star, read_star, write_star
 from tallyworks.session import shared_folder
 from tallyworks.sources.tables import derive_order_lines
 
-_written: dict[tuple[str, str], tuple[str, StructType]] = {}
-_stars: dict[tuple[str, str], str] = {}
-_segmentations: dict[tuple[str, str], str] = {}
+_stored: dict[tuple[str, str, str], tuple[str, dict[str, StructType]]] = {}
 _lock = threading.RLock()
 
 
@@ -35,45 +34,51 @@ def read_flat(spark: SparkSession, path: str, schema: StructType | None = None)
     return reader.parquet(path)
 
 
-def _place(spark: SparkSession, kind: str, key: tuple[str, str]) -> str:
-    name = hashlib.md5(key[1].encode()).hexdigest()[:12]
-    return f"{shared_folder(spark)}/{kind}-{key[0]}-{name}"
+def _once(
+    spark: SparkSession, kind: str, folder: str, write: Callable[[str], dict[str, StructType]]
+) -> tuple[str, dict[str, StructType]]:
+    """Path and schemas of a table derived from ``folder``, written by the first caller.
+
+    It lies in the shared folder and belongs to one application, so it survives lost executors and never
+    outlives a change of the source tables.
+    """
+    key = (spark.sparkContext.applicationId, kind, folder)
+    with _lock:
+        if key not in _stored:
+            path = f"{shared_folder(spark)}/{kind}-{key[0]}-{hashlib.md5(folder.encode()).hexdigest()[:12]}"
+            _stored[key] = (path, write(path))
+    return _stored[key]
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Flat order lines of the trade tables in ``folder``.
+    """Flat order lines of the trade tables in ``folder``: joined once, then scanned by column and year."""
 
-    The joins run once; their result is a Parquet table in the shared folder, so reports scan only
-    the columns and years they need and survive lost executors. The table belongs to one
-    application, so it never outlives a change of the source tables.
-    """
-    key = (spark.sparkContext.applicationId, folder)
-    with _lock:
-        if key not in _written:
-            path = _place(spark, "order-lines", key)
-            lines = derive_order_lines(spark, folder)
-            write_flat(lines, path, laid_out=True)
-            _written[key] = (path, lines.schema)
-    return read_flat(spark, *_written[key])
+    def write(path: str) -> dict[str, StructType]:
+        lines = derive_order_lines(spark, folder)
+        write_flat(lines, path, laid_out=True)
+        return {"": lines.schema}
+
+    path, schemas = _once(spark, "order-lines", folder, write)
+    return read_flat(spark, path, schemas[""])
 
 
 def customer_rfm(spark: SparkSession, folder: str) -> DataFrame:
-    """The customer segmentation table, stored once per application in the same way."""
-    key = (spark.sparkContext.applicationId, folder)
-    with _lock:
-        if key not in _segmentations:
-            path = _place(spark, "customer-rfm", key)
-            rfm_quintiles(order_lines(spark, folder)).write.mode("overwrite").parquet(path)
-            _segmentations[key] = path
-    return spark.read.parquet(_segmentations[key])
+    """The customer segmentation over the same lines."""
+
+    def write(path: str) -> dict[str, StructType]:
+        table = rfm_quintiles(order_lines(spark, folder))
+        table.write.mode("overwrite").parquet(path)
+        return {"": table.schema}
+
+    path, schemas = _once(spark, "customer-rfm", folder, write)
+    return spark.read.schema(schemas[""]).parquet(path)
 
 
 def star_tables(spark: SparkSession, folder: str) -> StarTables:
-    """The star schema over the same order lines, stored once per application in the same way."""
-    key = (spark.sparkContext.applicationId, folder)
-    with _lock:
-        if key not in _stars:
-            path = _place(spark, "star", key)
-            write_star(build_star(order_lines(spark, folder), customer_rfm(spark, folder)), path)
-            _stars[key] = path
-    return read_star(spark, _stars[key])
+    """The star schema over the same lines."""
+
+    def write(path: str) -> dict[str, StructType]:
+        star = build_star(order_lines(spark, folder), customer_rfm(spark, folder))
+        return write_star(star, path)
+
+    return read_star(spark, *_once(spark, "star", folder, write))
