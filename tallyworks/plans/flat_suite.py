@@ -335,14 +335,17 @@ def _state_totals(lines: DataFrame) -> DataFrame:
 
 
 def state_profitability_ranking(lines: DataFrame, k: int = 5) -> DataFrame:
-    states = _state_totals(lines)
-    top = states.orderBy(F.col("profit_sum").desc(), "state", "region").limit(k)
-    bottom = states.orderBy("profit_sum", "state", "region").limit(k)
+    best = Window.orderBy(F.col("profit_sum").desc(), "state", "region")  # one row per state
+    worst = Window.orderBy("profit_sum", "state", "region")
     return (
-        top.withColumn("state_group", F.lit(f"Top {k} Profitable"))
-        .unionByName(
-            bottom.join(top, ["state", "region"], "left_anti").withColumn("state_group", F.lit(f"Bottom {k} Deficit"))
+        _state_totals(lines)
+        .withColumn("from_top", F.row_number().over(best))
+        .withColumn("from_bottom", F.row_number().over(worst))
+        .withColumn(
+            "state_group",
+            F.when(F.col("from_top") <= k, f"Top {k} Profitable").when(F.col("from_bottom") <= k, f"Bottom {k} Deficit"),
         )
+        .filter(F.col("state_group").isNotNull())
         .select(
             "state",
             "region",

@@ -132,7 +132,7 @@ def sales_3m_average(lines: DataFrame, calendar: DataFrame) -> DataFrame:
     )
     last_three = Window.orderBy("year_month").rowsBetween(-2, 0)  # one row per calendar month
     monthly = (
-        lines.groupBy("year_month")
+        days.groupBy(F.date_format("order_date", "yyyy-MM").alias("year_month"))
         .agg(F.sum("sales").alias("sales"))
         .select(
             "year_month",
