@@ -1,7 +1,7 @@
 """Load an order file into the order-line table.
 
 spark-submit jobs/load_orders.py --source orders.csv --table warehouse/lines --audit warehouse/loads \
-    [--returns returns.csv] [--append] [--encoding utf-8] [--star warehouse/star]
+    [--returns returns.csv] [--append] [--encoding utf-8] [--number-rows] [--star warehouse/star]
 """
 
 from __future__ import annotations
@@ -28,18 +28,22 @@ def main() -> None:
     options.add_argument("--returns", help="ledger of returned orders")
     options.add_argument("--encoding", help="found from the data unless given")
     options.add_argument("--append", action="store_true", help="keep the lines already stored")
+    options.add_argument("--number-rows", action="store_true", help="add row_id 1..n, which sorts the whole table")
     options.add_argument("--star", help="also write the star schema there")
     chosen = options.parse_args()
 
-    spark = build_session("load_orders")
+    # Large tables want large files: the rebalance before the write aims at this size.
+    spark = build_session("load_orders", **{"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m"})
     returned = files.read_returns_csv(spark, chosen.returns) if chosen.returns else None
     result = sinks.load_order_lines(
         files.read_orders_csv(spark, chosen.source, chosen.encoding),
         chosen.table,
         chosen.audit,
         os.path.basename(chosen.source),
+        files.size_in_bytes(spark, chosen.source),
         replace=not chosen.append,
         returned_orders=returned,
+        number_rows=chosen.number_rows,
     )
     print(result)
     lines = read_flat(spark, chosen.table)

@@ -110,12 +110,12 @@ def _sales(have: set[str]) -> Column:
     return F.lit("100").cast(schema.MONEY)
 
 
-def clean(raw: DataFrame, returned_orders: DataFrame | None = None) -> DataFrame:
+def clean(raw: DataFrame, returned_orders: DataFrame | None = None, number_rows: bool = False) -> DataFrame:
     """Cleaned order lines of a raw table whose columns may be text under any known header.
 
-    Rows without a readable order date or with sales that are not positive are dropped. Where a
-    running default is needed, ``row_id`` must already be there or is numbered here.
-    ``returned_orders`` holds ids of returned orders in ``order_id``.
+    Rows without a readable order date or with sales that are not positive are dropped.
+    ``returned_orders`` holds ids of returned orders in ``order_id``. ``number_rows`` adds ``row_id`` 1..n,
+    which sorts the whole table over the cluster; it is also added where a running default needs it.
     """
     lines = conform(raw)
     have = set(lines.columns)
@@ -180,7 +180,7 @@ def clean(raw: DataFrame, returned_orders: DataFrame | None = None) -> DataFrame
         if name in have:
             texts[name] = _text(name, schema.NULL_ID)
     lines = lines.withColumns(texts)
-    if missing and "row_id" not in have:
+    if (missing or number_rows) and "row_id" not in have:
         lines = assign_row_ids(lines)
     for name in missing:
         pattern, cycle = schema.RUNNING_DEFAULTS[name]

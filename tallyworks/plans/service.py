@@ -54,15 +54,21 @@ def _margin() -> Column:
 
 def kpi_summary(lines: DataFrame, filters: FilterContext = EVERYTHING) -> DataFrame:
     """Fourteen figures in one pass. Profitable and loss orders are decided per line, so an order can be both."""
-    chosen = filters.apply(lines).withColumn("returned_sales", F.when(F.col("is_returned"), F.col("sales")))
+    chosen = filters.apply(lines).withColumns(
+        {
+            "returned_sales": F.when(F.col("is_returned"), F.col("sales")),
+            "discount_known": F.col("discount").isNotNull().cast("int"),
+            "cost_known": F.col("shipping_cost").isNotNull().cast("int"),
+        }
+    )
+    summed = ("sales", "profit", "quantity", "discount", "shipping_cost", "returned_sales", "discount_known", "cost_known")
     orders = per_order(
         chosen,
         [],
-        {c: c for c in ("sales", "profit", "quantity", "discount", "shipping_cost", "returned_sales")},
+        {c: c for c in summed},
         {"returned": F.col("is_returned"), "gaining": F.col("profit") > 0, "losing": F.col("profit") <= 0},
     ).agg(
-        *[F.sum(c).alias(c) for c in ("sales", "profit", "quantity", "discount", "shipping_cost", "returned_sales")],
-        *[F.sum(c).alias(c) for c in ("returned", "gaining", "losing", "lines")],
+        *[F.sum(c).alias(c) for c in (*summed, "returned", "gaining", "losing")],
         F.count(F.lit(1)).alias("orders"),
     )
     customers = chosen.agg(F.count_distinct("customer_id")).scalar()
@@ -79,8 +85,8 @@ def kpi_summary(lines: DataFrame, filters: FilterContext = EVERYTHING) -> DataFr
         _zeroed_money("returned_sales").alias("returned_revenue"),
         whole("gaining").alias("profitable_orders"),
         whole("losing").alias("loss_orders"),
-        F.coalesce(round_half_even(ratio("discount", "lines") * 100, 2), F.lit(0.0)).alias("avg_discount"),
-        F.coalesce(round_half_even(ratio("shipping_cost", "lines"), 2), F.lit(0.0)).alias("avg_shipping_cost"),
+        F.coalesce(round_half_even(ratio("discount", "discount_known") * 100, 2), F.lit(0.0)).alias("avg_discount"),
+        F.coalesce(round_half_even(ratio("shipping_cost", "cost_known"), 2), F.lit(0.0)).alias("avg_shipping_cost"),
     )
 
 
@@ -518,13 +524,14 @@ def order_ledger_page(
     """
     metric = sort_by if sort_by in LEDGER_SORTS else "order_date"
     first = F.col(metric).desc() if sort_desc else F.col(metric).asc()
-    rest = [c for c in LEDGER_COLUMNS if c != metric]
+    columns = [*(["row_id"] if "row_id" in lines.columns else []), *LEDGER_COLUMNS]
+    rest = [c for c in columns if c != metric]
     skipped = (page - 1) * page_size
     order = [first, *[F.col(c) for c in rest]]
     found = (
         _ledger(lines, filters, search)
         .withColumn("ship_mode", F.coalesce("ship_mode", F.lit("Standard")))
-        .select(*LEDGER_COLUMNS)
+        .select(*columns)
     )
     if skipped + page_size <= TOP_K_ROWS:
         return found.orderBy(*order).offset(skipped).limit(page_size)

@@ -48,6 +48,11 @@ def read_returns_csv(spark: SparkSession, path: str) -> DataFrame:
     return ledger.select(F.col("`Order ID`").alias("order_id")).filter("order_id IS NOT NULL").distinct()
 
 
+def size_in_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files at a path, from their listing; no content is read."""
+    return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+
+
 def read_table_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A dump of one star-schema table. The types are given; nothing is guessed."""
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)

@@ -18,13 +18,15 @@ def load_order_lines(
     file_size_bytes: int = 0,
     replace: bool = True,
     returned_orders: DataFrame | None = None,
+    number_rows: bool = False,
 ) -> dict:
     """Clean and store a raw table, replacing or extending the old one, and log the load.
 
     Rows are counted by their own aggregate, which reads two columns. Counters that ride along with a
     write would count rows again when a lost task or a sampling pass repeats them.
     """
-    write_flat(clean(raw, returned_orders), table_path, mode="overwrite" if replace else "append")
+    lines = clean(raw, returned_orders, number_rows)
+    write_flat(lines, table_path, mode="overwrite" if replace else "append")
     counts = cleaning_statistics(raw).first()
     total, valid = counts["initial_rows"], counts["final_valid_rows"]
     record_load(raw.sparkSession, audit_path, filename, file_size_bytes, total, valid)

@@ -7,6 +7,7 @@ from catalogue.raw_lines import raw_order_lines
 from tallyworks.plans import service, star
 from tallyworks.sources import files, sinks
 from tallyworks.sources.flat import read_flat
+from tallyworks.sources.views import register_views
 from tallyworks.streaming import ingest
 from tests.helpers import make_lines, rows_of
 
@@ -88,6 +89,25 @@ def test_reports_as_csv(spark, folder):
     assert files.read_orders_csv(spark, f"{folder}/shipping").first()["ship_mode"] == "First Class"
 
 
+def test_numbered_rows_and_sizes(spark, folder):
+    path = put(f"{folder}/o.csv", "Order ID,Order Date,Sales\nb,2011-01-04,1\na,2011-01-03,1\nc,2011-01-05,1\n")
+    sinks.load_order_lines(files.read_orders_csv(spark, path), f"{folder}/t", f"{folder}/a", "o", number_rows=True)
+    assert sorted(r.row_id for r in read_flat(spark, f"{folder}/t").collect()) == [1, 2, 3]
+    page = service.order_ledger_page(read_flat(spark, f"{folder}/t"), page_size=2)
+    assert page.columns[0] == "row_id" and [r.order_id for r in page.collect()] == ["c", "b"]
+    assert files.size_in_bytes(spark, path) == __import__("os").path.getsize(path)
+
+
+def test_views(spark):
+    lines = make_lines(spark, [{"order_id": "a"}, {"order_id": "b", "product_id": "P2", "category": "Tools"}])
+    register_views(lines, star.build_star(lines))
+    by_category = spark.sql(
+        "SELECT category, SUM(sales) AS s FROM fact_sales JOIN dim_products USING (product_id) GROUP BY category"
+    )
+    assert {r.category: float(r.s) for r in by_category.collect()} == {"Office": 10, "Tools": 10}
+    assert spark.table("sales_transactions").count() == 2
+
+
 def test_star_tables_on_disk(spark, folder):
     lines = make_lines(spark, [{"order_id": str(i)} for i in range(3)])
     star.write_star(star.build_star(lines), folder)
