@@ -37,7 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
     A temporary folder is made only where nothing is set and the session is local.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if named:
         if not current:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tallyworks.plans.star import StarTables
+from tallyworks.sources.schema import STAR_SCHEMAS
+
 # Cell texts that mean "missing" in an order file.
 MISSING_CELLS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -53,6 +56,11 @@ def size_in_bytes(spark: SparkSession, path: str) -> int:
     return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
 
 
+def read_star_csv(spark: SparkSession, path: str) -> StarTables:
+    """A star schema stored as one CSV folder per table."""
+    return StarTables(**{name: read_table_csv(spark, f"{path}/{name}", types) for name, types in STAR_SCHEMAS.items()})
+
+
 def read_table_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A dump of one star-schema table. The types are given; nothing is guessed."""
     return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)

@@ -85,6 +85,27 @@ CLEAN_COLUMNS = [
     "year", "quarter", "month", "month_name", "week", "day", "day_of_week", "year_month",
 ]
 
+# Types of the star schema tables in CSV form, in column order.
+STAR_SCHEMAS = {
+    "fact": (
+        "order_id string, order_date date, ship_date date, ship_mode string, customer_id string, postal_code string, "
+        "product_id string, sales decimal(18,4), quantity bigint, discount decimal(7,4), profit decimal(18,4), "
+        "shipping_days int, profit_margin double, ship_mode_id int, order_date_key int, ship_date_key int"
+    ),
+    "customer": (
+        "customer_id string, customer_name string, segment string, recency int, frequency bigint, "
+        "monetary decimal(28,4), r_score int, f_score int, m_score int, rfm_score string, rfm_segment string"
+    ),
+    "product": "product_id string, category string, sub_category string, product_name string",
+    "geography": "postal_code string, city string, state string, region string, country string",
+    "shipping": "ship_mode_id int, ship_mode string, sla_target_days int, delivery_tier string",
+    "date": (
+        "date date, date_key int, year int, quarter string, year_quarter string, month_number int, month string, "
+        "month_short string, year_month string, week_number int, day int, day_of_week string, day_of_week_num int, "
+        "is_weekend int"
+    ),
+}
+
 AUDIT_SCHEMA = (
     "filename string, file_size_bytes bigint, total_rows bigint, valid_rows bigint, invalid_rows bigint, "
     "status string, error_summary string, uploaded_at timestamp"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.operators.cleaning import clean, cleaning_statistics
+from tallyworks.plans.star import StarTables
 from tallyworks.sources import schema
 from tallyworks.sources.flat import write_flat
 
@@ -52,6 +55,12 @@ def write_csv(result: DataFrame, path: str) -> None:
     result.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_star_csv(star: StarTables, path: str) -> None:
+    """One CSV folder per star schema table."""
+    for field in dataclasses.fields(star):
+        write_csv(getattr(star, field.name), f"{path}/{field.name}")
+
+
 def write_reports(reports: dict[str, DataFrame], path: str) -> None:
     """One CSV folder per named report."""
     for name, result in reports.items():

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogue.raw_lines import raw_order_lines
-from tallyworks.plans import service, star
+from tallyworks.plans import rfm, service, star, star_suite
 from tallyworks.sources import files, sinks
 from tallyworks.sources.flat import read_flat
 from tallyworks.sources.views import register_views
@@ -118,6 +118,19 @@ def test_star_tables_on_disk(spark, folder):
     assert again.exceptAll(tables.shipping).count() == 0
 
 
+def test_star_as_csv(spark, folder):
+    rows = [{"order_id": str(i), "customer_id": f"C{i % 3}", "sales": i + 1, "profit": -i} for i in range(9)]
+    lines = make_lines(spark, rows)
+    tables = star.build_star(lines, rfm.rfm_quintiles(lines))
+    sinks.write_star_csv(tables, folder)
+    back = files.read_star_csv(spark, folder)
+    for name in ("fact", "customer", "product", "geography", "shipping", "date"):
+        ours, theirs = getattr(tables, name), getattr(back, name)
+        assert ours.columns == theirs.columns
+        assert {tuple(map(str, r)) for r in ours.collect()} == {tuple(map(str, r)) for r in theirs.collect()}
+    assert rows_of(star_suite.star_kpis(back)) == rows_of(star_suite.star_kpis(tables))
+
+
 def test_stream_loads_new_files_once(spark, folder):
     inbox, table, audit, marks = (f"{folder}/{n}" for n in ("inbox", "table", "audit", "marks"))
     __import__("os").mkdir(inbox)
