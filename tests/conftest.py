@@ -17,6 +17,9 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "6g",
             "spark.sql.maxMetadataStringLength": "10000",
+            # Tiny inputs: compiling stages would take most of the time.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },
