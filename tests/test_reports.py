@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tallyworks.operators.filters import FilterContext
 from tallyworks.plans import eda, flat_suite, forecast, measures, rfm, service, star, star_suite
