@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyworks.llm.decontaminate import contamination
 from tallyworks.llm.jaccard_join import jaccard_components
 from tallyworks.llm.shared import table
+from tallyworks.llm.toxicity import toxic_documents
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+def op2_toxicity_mil(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_toxicity_mil": op2_toxicity_mil,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
