@@ -47,7 +47,7 @@ BLOCK = 512  # members of a cloud compared at once
 class JoinSettings:
     words: int = 5
     percent: int = 75  # Jaccard similarity, in whole percent
-    sketch_bits: int = 23  # counters of the sketch: raise with the corpus, one byte each is broadcast
+    sketch_bits: int = 24  # counters of the sketch: raise with the corpus, one byte each is broadcast
     wanted_bits: int = 23  # bits of the filter that picks documents for the later passes
 
     def prefix(self, n: int) -> int:
@@ -250,20 +250,19 @@ def _meet(settings: JoinSettings):
 
 
 def _blobs(settings: JoinSettings, wanted):
-    """The whole sets of wanted documents, one row per class and task."""
+    """The whole sets of wanted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            signs, blobs = [], []
+            ids, signs, blobs = [], [], []
             for doc_id, tokens in _sets(_picked(batch, wanted), settings):
-                sig = _signature(tokens)
-                if len(tokens) and doc_id is not None and sig not in seen:
-                    seen.add(sig)
-                    signs.append(sig)
+                if len(tokens) and doc_id is not None:
+                    ids.append(doc_id)
+                    signs.append(_signature(tokens))
                     blobs.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signs, pa.int64()), pa.array(blobs, pa.binary())], ["sig", "tokens"]
+                [pa.array(ids, pa.int64()), pa.array(signs, pa.int64()), pa.array(blobs, pa.binary())],
+                ["doc_id", "sig", "tokens"],
             )
 
     return run
@@ -401,7 +400,7 @@ def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettin
     )
     rows = profile.where("chunk is null").select("doc_id", "n", "sig")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    threshold = 32 + 4 * (total >> settings.sketch_bits)
+    threshold = 16 + 3 * (total >> settings.sketch_bits)
     parts = profile.where("chunk is not null").select("chunk", "counts").repartition("chunk")
     levels = np.zeros((CHUNKS, (1 << settings.sketch_bits) // CHUNKS), np.uint8)
     for row in parts.mapInArrow(_merge(threshold), "chunk int, levels binary").toLocalIterator():
@@ -431,7 +430,10 @@ def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettin
     both = pairs.join(second.where("kind = 0").select("a", "b").distinct(), ["a", "b"])
     chosen = stored(both.unionAll(stars).distinct(), "chosen")
     wanted = _wanted(spark, documents_of(ends(chosen)), settings)
-    blobs = stored(texts.mapInArrow(_blobs(settings, wanted), "sig long, tokens binary").dropDuplicates(["sig"]), "sets")
+    blobs = texts.mapInArrow(_blobs(settings, wanted), "doc_id long, sig long, tokens binary")
+    # The filter lets a few other documents pass; the class's own document brings its set.
+    chosen_classes = classes.join(ends(chosen).distinct(), "sig", "left_semi")
+    blobs = stored(blobs.join(chosen_classes, ["doc_id", "sig"], "left_semi").select("sig", "tokens"), "sets")
     sides = [blobs.select(F.col("sig").alias(end), F.col("tokens").alias(f"{end}_tokens")) for end in ("a", "b")]
     links = stored(
         chosen.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_tokens", "b_tokens")

@@ -34,11 +34,14 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
 def stored(frame: DataFrame, kind: str) -> DataFrame:
     """The frame written to the shared folder and read back.
 
-    This cuts the lineage; a lost executor costs a read of the files, not the work behind them.
+    This cuts the lineage; a lost executor costs a read of the files, not the work behind them. Spark
+    deletes the shuffle files behind the frame once the driver's JVM has collected their handles, so that
+    is asked for here: they would otherwise pile up over the steps of one query.
     """
     spark = frame.sparkSession
     path = scratch_path(spark, kind)
     frame.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 
