@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyworks.llm.decontaminate import contamination
 from tallyworks.llm.jaccard_join import jaccard_components
+from tallyworks.llm.mixing import mixture
 from tallyworks.llm.shared import table
 from tallyworks.llm.toxicity import toxic_documents
 
@@ -20,6 +21,10 @@ def op2_toxicity_mil(spark: SparkSession, folder: str) -> DataFrame:
     return toxic_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(table(spark, folder, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -27,5 +32,6 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity_mil": op2_toxicity_mil,
+    "op4_source_mixing": op4_source_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
