@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyworks.llm.chat import as_replies, conversation_digests, format_conversations
 from tallyworks.llm.decontaminate import contamination
 from tallyworks.llm.jaccard_join import jaccard_components
 from tallyworks.llm.mixing import mixture
-from tallyworks.llm.shared import table
+from tallyworks.llm.shared import scratch_path, table
 from tallyworks.llm.toxicity import toxic_documents
+from tallyworks.llm.warc import read_archives, write_archives
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,9 +31,27 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives of all pages, read back."""
+    path = scratch_path(spark, "archives")
+    write_archives(table(spark, folder, "pages"), path)
+    records = read_archives(spark, path).where("record_type is not null")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op10_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts are the template's own marks."""
+    marks = "</s>[INST] ok [/INST]"
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], rows.schema)
+    return conversation_digests(format_conversations(as_replies(rows.unionByName(extra))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity_mil": op2_toxicity_mil,
     "op4_source_mixing": op4_source_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_warc_salvage": op9_warc_salvage,
+    "op10_reply_trees": op10_reply_trees,
 }

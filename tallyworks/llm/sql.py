@@ -2,4 +2,63 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op8_benchmark_decontamination": f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+known AS (
+    SELECT DISTINCT item_id, least(10, len(w)) AS size, w[p:p + least(10, len(w)) - 1] AS words
+    FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM items WHERE len(w) > 0)
+),
+texts AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM known),
+places AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM texts, sizes WHERE len(w) >= size),
+hits AS (
+    SELECT r, p, known.size, item_id FROM places JOIN known ON known.size = places.size AND known.words = w[p:p + places.size - 1]
+),
+per_row AS (
+    SELECT r, count(DISTINCT word) AS n_hit, count(DISTINCT item_id) AS n_items,
+           string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items
+    FROM (SELECT r, item_id, unnest(range(p, p + size)) AS word FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN per_row USING (r)
+""",
+    "op9_warc_salvage": """
+WITH rows AS (
+    SELECT page_id, url, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS digest FROM pages
+),
+largest AS (SELECT digest, max(page_id) AS top FROM rows WHERE octet_length(payload) >= 1000 GROUP BY digest),
+told AS (
+    SELECT rows.*, top, octet_length(payload) >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top AS again
+    FROM rows LEFT JOIN largest USING (digest)
+)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN top END AS refers_to, url
+FROM told
+""",
+    "op10_reply_trees": r"""
+WITH marks AS (SELECT '</s>[INST] ok [/INST]' AS text),
+turns AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', text FROM marks
+    UNION ALL SELECT -7, 1, 'assistant', text FROM marks
+),
+parts AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS body, text,
+           10 + 9 + 5 + length(regexp_replace(coalesce(text, ''), '[<\[\\]', 'xx', 'g'))
+           + CASE WHEN role IS NULL THEN 2 ELSE length(regexp_replace(role, '[<\[\\\n]', 'xx', 'g')) END AS chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || body || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(body)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(body, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM parts GROUP BY conv_id
+""",
+}
