@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyworks.llm.chat import as_replies, conversation_digests, format_conversations
 from tallyworks.llm.decontaminate import contamination
+from tallyworks.llm.embedding_lsh import near_vectors
+from tallyworks.llm.html_text import main_texts
 from tallyworks.llm.jaccard_join import jaccard_components
 from tallyworks.llm.mixing import mixture
 from tallyworks.llm.shared import scratch_path, table
@@ -23,10 +25,18 @@ def op2_toxicity_mil(spark: SparkSession, folder: str) -> DataFrame:
     return toxic_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_embedding_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
 def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(table(spark, folder, "documents"))
 
 
+def op6_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(table(spark, folder, "pages"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -50,7 +60,9 @@ def op10_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity_mil": op2_toxicity_mil,
+    "op3_embedding_near_copies": op3_embedding_near_copies,
     "op4_source_mixing": op4_source_mixing,
+    "op6_html_main_text": op6_html_main_text,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc_salvage": op9_warc_salvage,
     "op10_reply_trees": op10_reply_trees,
