@@ -41,6 +41,13 @@ def benchmark_windows(benchmark: DataFrame, size: int) -> DataFrame:
     )
 
 
+def _starts(w: Column, length: int) -> Column:
+    """The places, from 1, where windows of a length begin."""
+    return F.when(F.size(w) >= length, F.sequence(F.lit(1), F.size(w) - (length - 1))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+
 def scan(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row of ``documents``: the ``keep`` columns, n_words, hits (struct start, length) and items.
 
@@ -52,25 +59,35 @@ def scan(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settin
     facts = known.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("distinct")).collect()
     lengths, total = sorted(row["length"] for row in facts), sum(row["n"] for row in facts)
     small = total <= settings.broadcast_windows
-    rows = documents.select(
-        F.monotonically_increasing_id().alias("row"), *keep, words(F.col("text")).alias("words")
-    ).withColumn("n_words", F.size("words"))
-
-    def found(length: int) -> Column:
-        starts = F.when(F.col("n_words") >= length, F.sequence(F.lit(1), F.col("n_words") - (length - 1)))
-        starts = F.coalesce(starts, F.array().cast("array<int>"))
+    hashes = {}
+    if small:
+        for length in lengths:
+            own = known.where(F.col("length") == length).select("hash").distinct().collect()
+            hashes[length] = sorted(row["hash"] for row in own)
+
+    def found(w: Column, length: int) -> Column:
+        starts = _starts(w, length)
         if small:
-            hashes = [row["hash"] for row in known.where(F.col("length") == length).select("hash").distinct().collect()]
-            starts = F.filter(starts, lambda i: F.xxhash64(F.slice("words", i, length)).isin(hashes))
+            starts = F.filter(starts, lambda i: F.xxhash64(F.slice(w, i, length)).isin(hashes[length]))
         return F.transform(
-            starts, lambda i: F.struct(i.alias("start"), F.lit(length).alias("length"), F.slice("words", i, length).alias("window"))
+            starts, lambda i: F.struct(i.alias("start"), F.lit(length).alias("length"), F.slice(w, i, length).alias("window"))
         )
 
-    windows = F.concat(*[found(length) for length in lengths]) if lengths else None
-    if windows is None:
+    # The words are bound as a variable, so they are split once per text, whatever the optimiser moves.
+    parts = [lambda w, n=length: found(w, n) for length in lengths]
+    scanned = F.transform(
+        F.array(words(F.col("text"))),
+        lambda w: F.struct(
+            F.size(w).alias("n_words"),
+            (F.concat(*[part(w) for part in parts]) if parts else F.array()).alias("windows"),
+        ),
+    )
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), *keep, F.element_at(scanned, 1).alias("_"))
+    rows = rows.select("row", *keep, "_.n_words", "_.windows")
+    if not lengths:
         nothing = F.array().cast("array<struct<start:int,length:int>>")
         return rows.select(*keep, "n_words", nothing.alias("hits"), F.array().cast("array<string>").alias("items"))
-    spread = rows.select("row", *keep, "n_words", F.explode_outer(windows).alias("w")).select(
+    spread = rows.select("row", *keep, "n_words", F.explode_outer("windows").alias("w")).select(
         "row", *keep, "n_words", "w.start", "w.length", "w.window", F.xxhash64("w.window").alias("hash")
     )
     by_window = known.groupBy("hash", "window").agg(F.collect_set("item_id").alias("ids"))
@@ -108,3 +125,39 @@ def contamination(documents: DataFrame, benchmark: DataFrame, settings: Settings
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``documents`` in which no benchmark window occurs, with all their columns.
+
+    Up to ``broadcast_windows`` this is a filter inside the scan: a window's hash has to be in one set and then
+    its words in another. A larger benchmark is met by the shuffled join of ``scan``.
+    """
+    known = benchmark_windows(benchmark, settings.size)
+    lengths = sorted(row["length"] for row in known.select("length").distinct().collect())
+    if not lengths:
+        return documents
+    if known.count() > settings.broadcast_windows:
+        print_of = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+        found = scan(documents.select("doc_id", "text", print_of.alias("_print")), benchmark, settings, ("doc_id", "_print"))
+        found = found.where("size(hits) > 0").select(F.col("doc_id").alias("_id"), F.col("_print")).distinct()
+        marked = documents.withColumn("_text", print_of)
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_print"))
+        return marked.join(found, same, "left_anti").drop("_text")
+    sets = []
+    for length in lengths:
+        own = known.where(F.col("length") == length).select("hash", F.array_join("window", " ").alias("text")).distinct().collect()
+        sets.append((length, sorted({row["hash"] for row in own}), sorted({row["text"] for row in own})))
+
+    def hit(w: Column) -> Column:
+        found = F.lit(False)
+        for length, hashes, texts in sets:
+            found = found | F.exists(
+                _starts(w, length),
+                lambda i: F.xxhash64(F.slice(w, i, length)).isin(hashes)  # noqa: B023
+                & F.array_join(F.slice(w, i, length), " ").isin(texts),  # noqa: B023
+            )
+        return found
+
+    # The words are bound as a variable: a filter on a column would be pushed below it and split again per window.
+    return documents.where(~F.exists(F.array(words(F.col("text"))), hit))

@@ -254,15 +254,13 @@ def _blobs(settings: JoinSettings, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, signs, blobs = [], [], []
+            signs, blobs = [], []
             for doc_id, tokens in _sets(_picked(batch, wanted), settings):
                 if len(tokens) and doc_id is not None:
-                    ids.append(doc_id)
                     signs.append(_signature(tokens))
                     blobs.append(tokens.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(signs, pa.int64()), pa.array(blobs, pa.binary())],
-                ["doc_id", "sig", "tokens"],
+                [pa.array(signs, pa.int64()), pa.array(blobs, pa.binary())], ["sig", "tokens"]
             )
 
     return run
@@ -400,7 +398,7 @@ def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettin
     )
     rows = profile.where("chunk is null").select("doc_id", "n", "sig")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    threshold = 16 + 3 * (total >> settings.sketch_bits)
+    threshold = 8 + 2 * (total >> settings.sketch_bits)
     parts = profile.where("chunk is not null").select("chunk", "counts").repartition("chunk")
     levels = np.zeros((CHUNKS, (1 << settings.sketch_bits) // CHUNKS), np.uint8)
     for row in parts.mapInArrow(_merge(threshold), "chunk int, levels binary").toLocalIterator():
@@ -430,10 +428,9 @@ def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettin
     both = pairs.join(second.where("kind = 0").select("a", "b").distinct(), ["a", "b"])
     chosen = stored(both.unionAll(stars).distinct(), "chosen")
     wanted = _wanted(spark, documents_of(ends(chosen)), settings)
-    blobs = texts.mapInArrow(_blobs(settings, wanted), "doc_id long, sig long, tokens binary")
-    # The filter lets a few other documents pass; the class's own document brings its set.
-    chosen_classes = classes.join(ends(chosen).distinct(), "sig", "left_semi")
-    blobs = stored(blobs.join(chosen_classes, ["doc_id", "sig"], "left_semi").select("sig", "tokens"), "sets")
+    blobs = texts.mapInArrow(_blobs(settings, wanted), "sig long, tokens binary")
+    # The filter lets a few other documents pass; the joins below leave them out.
+    blobs = stored(blobs, "sets")
     sides = [blobs.select(F.col("sig").alias(end), F.col("tokens").alias(f"{end}_tokens")) for end in ("a", "b")]
     links = stored(
         chosen.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_tokens", "b_tokens")
@@ -451,3 +448,20 @@ def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettin
     return rows.join(named, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def one_of_each_group(documents: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
+    """The rows of ``documents``, all columns, of which no row with a smaller doc_id is a near copy.
+
+    Of rows with the same doc_id, which are one document, one is kept; rows without doc_id are all kept.
+    """
+    named = stored(jaccard_components(documents, settings), "groups")
+    gone = named.where("doc_id != component_id").select("doc_id").distinct()
+    again = named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    own = F.col("doc_id").cast("bigint")
+    rows = documents.withColumn("_id", own)
+    drop = gone.unionAll(again).distinct().withColumnRenamed("doc_id", "_gone")
+    kept = rows.join(drop, F.col("_id") == F.col("_gone"), "left_anti")
+    once = again.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "_once")
+    single = rows.join(once, F.col("_id") == F.col("_once"), "left_semi").dropDuplicates(["_id"])
+    return kept.unionByName(single).drop("_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyworks.llm.chat import as_replies, conversation_digests, format_conversations
 from tallyworks.llm.decontaminate import contamination
@@ -13,6 +14,7 @@ from tallyworks.llm.html_text import main_texts
 from tallyworks.llm.jaccard_join import jaccard_components
 from tallyworks.llm.mixing import mixture
 from tallyworks.llm.shared import scratch_path, table
+from tallyworks.llm.suffix_dedup import repeated_passages
 from tallyworks.llm.toxicity import toxic_documents
 from tallyworks.llm.warc import read_archives, write_archives
 
@@ -37,6 +39,16 @@ def op6_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_texts(table(spark, folder, "pages"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words and more that occur in several documents; cut_words of them are an earlier one's."""
+    found = repeated_passages(table(spark, folder, "documents"))
+    cut = F.aggregate("cut", F.lit(0).cast("bigint"), lambda n, c: n + c["stop"] - c["start"])
+    return found.select(
+        "doc_id", "start_word", "stop_word", (F.col("stop_word") - F.col("start_word")).alias("n_words"),
+        "first_doc_id", cut.alias("cut_words"),
+    )
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -63,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_copies": op3_embedding_near_copies,
     "op4_source_mixing": op4_source_mixing,
     "op6_html_main_text": op6_html_main_text,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc_salvage": op9_warc_salvage,
     "op10_reply_trees": op10_reply_trees,
