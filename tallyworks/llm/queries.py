@@ -12,6 +12,7 @@ from tallyworks.llm.decontaminate import contamination
 from tallyworks.llm.embedding_lsh import near_vectors
 from tallyworks.llm.html_text import main_texts
 from tallyworks.llm.jaccard_join import jaccard_components
+from tallyworks.llm.language_model import score_texts
 from tallyworks.llm.mixing import mixture
 from tallyworks.llm.shared import scratch_path, table
 from tallyworks.llm.suffix_dedup import repeated_passages
@@ -35,6 +36,10 @@ def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(table(spark, folder, "documents"))
 
 
+def op5_language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"))
+
+
 def op6_html_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_texts(table(spark, folder, "pages"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_mil": op2_toxicity_mil,
     "op3_embedding_near_copies": op3_embedding_near_copies,
     "op4_source_mixing": op4_source_mixing,
+    "op5_language_model_scores": op5_language_model_scores,
     "op6_html_main_text": op6_html_main_text,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,

@@ -61,15 +61,24 @@ def bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """One hash per word of the text, in order."""
-    found = []
+    return word_hashes_and_tails(data)[0]
+
+
+def word_hashes_and_tails(data: bytes, tails: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and if asked for the last two bytes of every word as one number (one byte: the byte)."""
+    found, last = [], []
     for piece in _blocks(data):
         starts, ends = bounds(piece)
         if not len(starts):
             continue
+        piece = piece.translate(_lower)
+        if tails:
+            codes = np.frombuffer(piece, np.uint8).astype(np.uint32)
+            before = np.where(ends - starts > 1, codes[ends - 2], 0)
+            last.append(codes[ends - 1] + 256 * before)
         if len(piece) > BLOCK:
             found.append(np.array([_long_hash(piece)], np.uint64))
             continue
-        piece = piece.translate(_lower)
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(np.multiply(np.frombuffer(piece, np.uint8), _POWER[: len(piece)]), out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * _INVERSE[starts])
@@ -78,8 +87,10 @@ def word_hashes(data: bytes) -> np.ndarray:
                 hashes[i] = _long_hash(piece[starts[i] : ends[i]])
         found.append(hashes)
     if len(found) == 1:
-        return found[0]
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        return found[0], last[0] if tails else None
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    return np.concatenate(found), np.concatenate(last) if tails else None
 
 
 def _long_hash(word: bytes) -> int:
