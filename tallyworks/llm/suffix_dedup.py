@@ -137,6 +137,9 @@ def _matches(rows: dict[str, np.ndarray], new: int, settings: SuffixSettings) ->
         long = right + left >= settings.least_words
         for side in (later[long], earlier[long]):
             out.append(np.stack((side, left[long], right[long]), 1))
+            # The same name for all suffixes with this passage, whatever else their neighbours share.
+            full = side[right[long] >= settings.least_words]
+            out.append(np.stack((full, 0 * full, 0 * full + settings.least_words), 1))
     found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
     if not len(found):
         return None
