@@ -114,11 +114,11 @@ def chosen_paths(messages: DataFrame) -> DataFrame:
     best = leaves.groupBy("tree").agg(
         F.min(F.struct((-F.col("score") / F.col("depth")).alias("rank"), (-F.col("depth")).alias("long"), "id")).alias("best")
     )
-    marked = best.select("tree", F.col("best.id").alias("id"))
+    marked = stored(best.select("tree", F.col("best.id").alias("id")), "path")
     for jump in reversed(rounds[:-1]):
         jumps = jump.where("up is not null").select(F.col("tree").alias("t"), F.col("id").alias("i"), "up")
         more = marked.join(jumps, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")))
-        marked = marked.unionAll(more.select("tree", F.col("up").alias("id"))).distinct()
+        marked = stored(marked.unionAll(more.select("tree", F.col("up").alias("id"))).distinct(), "path")
     marked = marked.select(F.col("tree").alias("t"), F.col("id").alias("i"))
     depths = rooted.select("tree", "id", "depth").join(marked, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("i")), "left_semi")
     depths = depths.select(F.col("tree").alias("t"), F.col("id").alias("i"), "depth")

@@ -5,7 +5,7 @@ footers, sidebars, notices, adverts, forms, scripts and comments that say so by
 are left out. Every node has a density: its characters per tag, scaled down by the share of characters
 and tags that are links. The node whose children's densities have the highest sum holds the main text.
 Blocks beside it in the same article are added if they are as dense as the least dense node on the way
-from the body to it, such as a headline above the element with the paragraphs.
+from the body to it, or are headings.
 """
 
 from __future__ import annotations
@@ -55,6 +55,7 @@ LABELS = {
 }
 HEADS = {"header", "banner", "masthead"}  # dropped unless they stand inside the article
 ARTICLES = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: A start tag closes an open element of these names, up to the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -250,7 +251,7 @@ def extract(source: str) -> str:
 
     kept = [
         text for node, text in page.blocks
-        if under(node, best) or under(node, article) and nodes[node].density >= least
+        if under(node, best) or under(node, article) and (nodes[node].density >= least or nodes[node].tag in HEADINGS)
     ]
     return " ".join(kept)
 
