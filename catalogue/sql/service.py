@@ -109,7 +109,7 @@ def insights(where: str, period: str) -> str:
             '% of total revenue) with a ', {plain('margin')}, '% profit margin.'), 'category', 'positive'
         FROM leader
         UNION ALL
-        SELECT 3, CONCAT('Margin Drainage Alert: ', LEFT(product_name, 35), '...'),
+        SELECT 3, CONCAT('Margin Drainage Alert: ', product_name),
           CONCAT('This product created the largest commercial loss at -$', {comma('ABS(profit)')}, ' on $', {comma('revenue')},
             ' sales with an average discount rate of ', {plain('avg_discount')}, '%.'), 'risk', 'negative'
         FROM worst

@@ -44,42 +44,68 @@ def conform(raw: DataFrame) -> DataFrame:
     return raw.select(*columns)
 
 
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
+_TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([ap]m)?\s*(?:z|utc|[+-]\d{2}:?\d{2})?$"
+
+
 def parse_when(text: Column) -> Column:
     """A time from text in any known shape; null when it is none.
 
-    Numeric shapes are rewritten to year-month-day and cast. Month comes before day, unless that is
-    impossible. Only names of months need a pattern.
+    The clock time, 12 or 24 hours, is split off the end. What is left holds two or three numbers, or one of
+    eight digits, and at most one month by name. A number of four digits is the year, first or last; of
+    two digits it is last, 70 to 99 in the last century. Month comes before day, unless that is
+    impossible. A month without a day is its first. Weekdays, ordinal endings and commas carry nothing.
     """
-    text = F.trim(text)
-    day_month = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})\b"
-    two_digits = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{2})$"
-    four_digits = F.regexp_replace(F.regexp_replace(text, two_digits, "$1/$2/20$3"), r"/20([7-9]\d)$", "/19$1")
-
-    def cast(value: Column) -> Column:
-        return value.try_cast("timestamp_ntz")
-
-    def named(value: Column) -> Column:
-        tries = [F.try_to_timestamp(value, F.lit(p)) for p in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")]
-        return F.coalesce(*tries).cast("timestamp_ntz")
-
-    return (
-        F.when(text.rlike(r"^\d{4}-"), cast(text))
-        .when(
-            text.rlike(day_month),
-            F.coalesce(
-                cast(F.regexp_replace(text, day_month, "$3-$1-$2")), cast(F.regexp_replace(text, day_month, "$3-$2-$1"))
-            ),
-        )
-        .when(text.rlike(r"^\d{4}/"), cast(F.regexp_replace(text, "/", "-")))
-        .when(text.rlike(r"^\d{8}$"), cast(F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")))
-        .when(
-            text.rlike(two_digits),
-            F.coalesce(
-                cast(F.regexp_replace(four_digits, day_month, "$3-$1-$2")),
-                cast(F.regexp_replace(four_digits, day_month, "$3-$2-$1")),
-            ),
-        )
-        .when(text.rlike(r"[A-Za-z]{3}"), named(F.regexp_replace(text, r"[-, ]+", " ")))
+    text = F.regexp_replace(F.trim(text), _WEEKDAY, "")
+    timed = text.contains(":")
+    clock = [F.when(timed, F.regexp_extract(text, f"(?i){_TIME}", i)).otherwise("") for i in range(1, 5)]
+    part = F.when(timed, F.regexp_replace(text, rf"(?i)(?:t|,|\s)+{_TIME}", "")).otherwise(text)
+    part = F.regexp_replace(part, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1")
+    shaped = part.rlike(r"(?i)^[\s\d./,-]*(?:[a-z]{3,9}[\s\d./,-]*)?$")
+    name = F.lower(F.regexp_extract(part, r"([A-Za-z]{3})[A-Za-z]*", 1))
+    numbers = F.when(shaped, F.regexp_extract_all(part, F.lit(r"(\d+)"), F.lit(1)))
+    # Bound as variables, so that each pattern runs once per text.
+    values = F.struct(name.alias("name"), numbers.alias("n"), F.array(*clock).alias("clock"))
+    return F.element_at(F.transform(F.array(values), _moment), 1)
+
+
+def _moment(found: Column) -> Column:
+    """A time from the name of a month, the numbers of the date and the parts of the clock."""
+    n, named = found["n"], found["name"] != ""
+    first, second, third = (F.get(n, F.lit(i)) for i in range(3))
+    year_first, count = F.length(first) == 4, F.size(n)
+    packed = ~named & (count == 1) & (F.length(first) == 8)
+    place = F.position(found["name"], F.lit(_MONTHS))
+    swapped = first.try_cast("int") > 12
+    year = (
+        F.when(packed, F.substring(first, 1, 4))
+        .when(year_first, first)
+        .when(named & (count == 2), second)
+        .when(~named & (count == 3), third)
+    )
+    month = (
+        F.when(packed, F.substring(first, 5, 2))
+        .when(named, F.when(place % 3 == 1, ((place + 2) / 3).cast("int").cast("string")))
+        .when(year_first, second)
+        .otherwise(F.when(swapped, second).otherwise(first))
+    )
+    day = (
+        F.when(packed, F.substring(first, 7, 2))
+        .when(named, F.when(count == 1, "1").when(year_first, second).otherwise(first))
+        .when(year_first, F.when(count == 2, "1").otherwise(third))
+        .otherwise(F.when(swapped, first).otherwise(second))
+    )
+    number = year.try_cast("int")
+    whole_year = F.when(F.length(year) == 4, number).when(
+        F.length(year) == 2, number + F.when(number >= 70, 1900).otherwise(2000)
+    )
+    hour, half = F.get(found["clock"], F.lit(0)).try_cast("int"), F.lower(F.get(found["clock"], F.lit(3)))
+    hour = F.when(half == "pm", hour % 12 + 12).when(half == "am", hour % 12).otherwise(hour)
+    rest = [F.coalesce(F.get(found["clock"], F.lit(i)).try_cast("int"), F.lit(0)) for i in (1, 2)]
+    known = F.when(count <= 3, whole_year)
+    return F.try_make_timestamp_ntz(
+        known, month.try_cast("int"), day.try_cast("int"), F.coalesce(hour, F.lit(0)), *rest
     )
 
 
@@ -102,12 +128,12 @@ def _amount(value: Column, missing: float, kind: str = schema.MONEY) -> Column:
 
 
 def _sales(have: set[str]) -> Column:
-    """Sales as given, else quantity times price, else a fixed amount."""
+    """Sales as given, else quantity times price, else a fixed amount; not yet cut to the stored decimals."""
     if "sales" in have:
-        return _amount(parse_number(F.col("sales")), 0.0)
+        return parse_number(F.col("sales"))
     if {"quantity", "unit_price"} <= have:
-        return _amount(parse_number(F.col("quantity")) * parse_number(F.col("unit_price")), 0.0)
-    return F.lit("100").cast(schema.MONEY)
+        return parse_number(F.col("quantity")) * parse_number(F.col("unit_price"))
+    return F.lit(100.0)
 
 
 def clean(raw: DataFrame, returned_orders: DataFrame | None = None, number_rows: bool = False) -> DataFrame:
@@ -125,10 +151,11 @@ def clean(raw: DataFrame, returned_orders: DataFrame | None = None, number_rows:
     ordered = parse_when(F.col("order_date").cast("string"))
     shipped = parse_when(F.col("ship_date").cast("string")) if "ship_date" in have else F.lit(None).cast("timestamp_ntz")
     default = F.col("_ordered") + F.expr(f"INTERVAL {DELIVERY_DAYS} DAYS")
+    # Generated per row, so that the filters below do not repeat the parsing.
+    parsed = F.struct(ordered.alias("_ordered"), shipped.alias("_shipped"), _sales(have).alias("_sales"))
     lines = (
-        lines.withColumn("_ordered", ordered)
-        .filter(F.col("_ordered").isNotNull())
-        .withColumn("_shipped", shipped)
+        lines.select("*", F.inline(F.array(parsed)))
+        .filter(F.col("_ordered").isNotNull() & (F.col("_sales") > 0) & F.col("_sales").try_cast(schema.MONEY).isNotNull())
         .withColumn(
             "_shipped",
             F.when(F.col("_shipped").isNull() | (F.col("_shipped") < F.col("_ordered")), default).otherwise(
@@ -143,7 +170,7 @@ def clean(raw: DataFrame, returned_orders: DataFrame | None = None, number_rows:
         return _amount(parse_number(F.col(name)), missing)
 
     quantity = F.floor(F.greatest(number("quantity", 1.0), one)) if "quantity" in have else F.lit(1)
-    lines = lines.withColumn("sales", _sales(have)).filter(F.col("sales") > 0).withColumn("quantity", quantity.cast("bigint"))
+    lines = lines.withColumn("sales", F.col("_sales").cast(schema.MONEY)).withColumn("quantity", quantity.cast("bigint"))
 
     gross = F.col("sales").cast("double")
     price = round_scaled(gross / F.col("quantity"), 2)

@@ -36,9 +36,11 @@ class FilterContext:
             if value is None or value in ("all", ""):
                 continue
             if field.name == "start_date":
-                found.append(F.col("order_date") >= F.lit(str(value)).cast("date"))
+                day = F.lit(str(value)).cast("date")
+                found += [F.col("order_date") >= day, F.col("year") >= F.year(day)]  # the table is laid out by year
             elif field.name == "end_date":
-                found.append(F.col("order_date") <= F.lit(str(value)).cast("date"))
+                day = F.lit(str(value)).cast("date")
+                found += [F.col("order_date") <= day, F.col("year") <= F.year(day)]
             else:
                 found.append(F.col(field.name) == F.lit(value))
         return found

@@ -73,6 +73,22 @@ def top_by_rank(df: DataFrame, value: str, k: int, rank: str, ascending: bool =
     return df.join(F.broadcast(placed.filter(F.col(rank) <= k)), value).select(*df.columns, rank)
 
 
+def ranges_of_values(df: DataFrame, column: str, order: Column) -> DataFrame:
+    """Distinct values of a column with the 0-based places [start, stop) their rows take in the given order."""
+    counted = df.groupBy(column).agg(F.count(F.lit(1)).alias("_rows"))
+    laid = _laid_out(counted, [order])
+    sizes = laid.groupBy("_part").agg(F.sum("_rows").alias("_size"))
+    # One row per partition of the layout.
+    earlier = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    within = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.col("_before") + F.col("_upto")
+    return (
+        laid.withColumn("_upto", F.sum("_rows").over(within))
+        .join(F.broadcast(earlier), "_part")
+        .select(column, (stop - F.col("_rows")).alias("start"), stop.alias("stop"))
+    )
+
+
 def value_histogram(df: DataFrame, columns: list[str], value_type: str = "decimal(28,4)") -> DataFrame:
     """Distinct (column, value) with row counts and the place each value takes in ascending order.
 

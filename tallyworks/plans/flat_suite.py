@@ -406,10 +406,12 @@ def ship_mode_performance(lines: DataFrame) -> DataFrame:
 
 
 def band_of(discount: Column, bands: list[tuple[str, str]], top: str) -> tuple[Column, Column]:
-    """Label and sort key of the first band whose upper bound is not exceeded."""
+    """Label and sort key of the first band whose upper bound is not exceeded; missing and negative ones are Other."""
+    neither = discount.isNull() | (discount < 0)
     bound = [(discount <= F.lit(upper).cast("decimal(7,4)"), label) for label, upper in bands]
-    label = labelled([(condition, F.lit(name)) for condition, name in bound], F.lit(top))
-    place = labelled([(condition, F.lit(i)) for i, (condition, _) in enumerate(bound, 1)], F.lit(len(bands) + 1))
+    label = labelled([(neither, F.lit("Other"))] + [(condition, F.lit(name)) for condition, name in bound], F.lit(top))
+    places = [(condition, F.lit(i)) for i, (condition, _) in enumerate(bound, 1)]
+    place = labelled([(neither, F.lit(len(bands) + 2)), *places], F.lit(len(bands) + 1))
     return label, place
 
 

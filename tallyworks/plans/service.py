@@ -23,7 +23,7 @@ from tallyworks.functions.expr import (
 )
 from tallyworks.operators.filters import EVERYTHING, FilterContext, contains_any
 from tallyworks.operators.grain import per_order
-from tallyworks.operators.ranking import amount_of_top, from_the_top, value_histogram, with_position
+from tallyworks.operators.ranking import amount_of_top, from_the_top, ranges_of_values, value_histogram, with_position
 
 # Discount bands as published, with their gaps.
 GAPPED_BANDS = [
@@ -35,8 +35,6 @@ GAPPED_BANDS = [
     ("Severe (> 50%)", 0.501, 1.00),
 ]
 
-TOP_K_ROWS = 10_000  # a page that ends later is cut out of the numbered rows
-
 LEDGER_SORTS = ["order_date", "sales", "profit", "quantity", "customer_name", "country"]
 
 
@@ -289,11 +287,11 @@ def customer_performance(lines: DataFrame, filters: FilterContext = EVERYTHING)
 
 
 def top_customers(lines: DataFrame, filters: FilterContext = EVERYTHING, limit: int = 10) -> DataFrame:
-    """At most ten are ever listed; ``limit`` can only shorten the list."""
+    """The ``limit`` highest spenders, ten unless asked otherwise."""
     return (
         _customer_totals(filters.apply(lines))
         .orderBy(F.col("spend").desc(), "customer_id", "country")
-        .limit(min(limit, 10))
+        .limit(limit)
         .withColumn("total_spend", _zeroed_money("spend"))
         .select(
             *CUSTOMER,
@@ -519,8 +517,9 @@ def order_ledger_page(
 ) -> DataFrame:
     """One page of order lines. Ties in the sort column are broken by the whole row.
 
-    Early pages are a top-k. A deep page would make every task and the driver hold all rows before
-    it, so there rows are numbered over the cluster and the page is cut out by number.
+    The counts of the sort column's values say which values the page holds, at most one per row of it. Only
+    rows with these values are numbered over the cluster, and the page is cut out by number, so no task
+    ever holds the rows before it and the rest of the selection is not sorted.
     """
     metric = sort_by if sort_by in LEDGER_SORTS else "order_date"
     first = F.col(metric).desc() if sort_desc else F.col(metric).asc()
@@ -533,10 +532,12 @@ def order_ledger_page(
         .withColumn("ship_mode", F.coalesce("ship_mode", F.lit("Standard")))
         .select(*columns)
     )
-    if skipped + page_size <= TOP_K_ROWS:
-        return found.orderBy(*order).offset(skipped).limit(page_size)
-    numbered = with_position(found, order, "place").filter(F.col("place").between(skipped + 1, skipped + page_size))
-    return numbered.orderBy("place").drop("place")
+    ranges = ranges_of_values(found, metric, first)
+    held = ranges.filter((F.col("start") < skipped + page_size) & (F.col("stop") > skipped))
+    rows = found.join(F.broadcast(held.select(F.col(metric).alias("_held"))), F.col(metric).eqNullSafe(F.col("_held")))
+    before = held.agg(F.coalesce(F.min("start"), F.lit(0))).scalar()
+    numbered = with_position(rows.drop("_held"), order, "place").withColumn("place", F.col("place") + before)
+    return numbered.filter(F.col("place").between(skipped + 1, skipped + page_size)).orderBy("place").drop("place")
 
 
 def order_ledger_info(
@@ -635,7 +636,7 @@ def insights(lines: DataFrame, filters: FilterContext = EVERYTHING) -> DataFrame
     worst = loss_making_products(lines, filters, limit=1).withColumn("loss", F.abs("profit")).select(
         *_sentence(
             3,
-            F.concat(F.lit("Margin Drainage Alert: "), F.substring("product_name", 1, 35), F.lit("...")),
+            F.concat(F.lit("Margin Drainage Alert: "), "product_name"),
             F.concat(
                 F.lit("This product created the largest commercial loss at -$"), _number("loss", 2),
                 F.lit(" on $"), _number("revenue", 2),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -34,7 +32,8 @@ def build_session(app_name: str = "tallyworks", master: str | None = None, **con
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is made only where nothing is set and the session is local.
+    Where nothing is set and the session is local, it is a folder under the session's warehouse, which Hadoop's
+    file system deletes when the driver's JVM ends.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tallyworks-")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{context.applicationId}"
+    target = context._jvm.org.apache.hadoop.fs.Path(folder)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
     context.setCheckpointDir(folder)
     return context.getCheckpointDir().rstrip("/")

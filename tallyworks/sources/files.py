@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyworks.plans.star import StarTables
-from tallyworks.sources.schema import STAR_SCHEMAS
-
-# Cell texts that mean "missing" in an order file.
-MISSING_CELLS = [
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
-    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
-]
+from tallyworks.sources.schema import MISSING_CELLS, STAR_SCHEMAS
 
 ENCODINGS = ["utf-8", "ISO-8859-1"]
 
 
+def present_cells(raw: DataFrame) -> DataFrame:
+    """Texts that mean "missing" become nulls; other types stay as they are."""
+    texts = {name for name, kind in raw.dtypes if kind == "string"}
+    cell = lambda c: F.col(f"`{c}`")
+    return raw.select(
+        *[F.when(~cell(c).isin(MISSING_CELLS), cell(c)).alias(c) if c in texts else cell(c) for c in raw.columns]
+    )
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless a line is not valid UTF-8; the search stops at the first such line."""
     bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
@@ -40,9 +43,7 @@ def read_orders_csv(
         .option("multiLine", multiline)
         .csv(path)
     )
-    return raw.select(
-        *[F.when(~F.col(f"`{c}`").isin(MISSING_CELLS), F.col(f"`{c}`")).alias(c) for c in raw.columns]
-    )
+    return present_cells(raw)
 
 
 def read_returns_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -10,10 +10,10 @@ from __future__ import annotations
 # lower-casing and turning blanks and hyphens into underscores.
 COLUMN_SYNONYMS = {
     "order_id": [
-        "order_id", "orderid", "invoice_id", "invoice_no", "transaction_id", "id",
+        "order_id", "orderid", "invoice_id", "invoice_no", "transaction_id", "id", "invoiceno",
     ],
     "order_date": [
-        "order_date", "orderdate", "trade_date", "date", "timestamp", "datetime", "invoice_date",
+        "order_date", "orderdate", "trade_date", "date", "timestamp", "datetime", "invoice_date", "invoicedate",
     ],
     "ship_date": ["ship_date", "shipdate", "shipping_date"],
     "ship_mode": ["ship_mode", "shipmode", "delivery_method"],
@@ -27,8 +27,8 @@ COLUMN_SYNONYMS = {
     "postal_code": ["postal_code", "postalcode", "zip", "zip_code"],
     "market": ["market", "trade_market", "continent"],
     "region": ["region", "zone", "territory", "branch"],
-    "product_id": ["product_id", "productid", "item_id", "sku", "stock_code"],
-    "category": ["category", "product_category", "dept", "sector", "product_line"],
+    "product_id": ["product_id", "productid", "item_id", "sku", "stock_code", "stockcode"],
+    "category": ["category", "product_category", "dept", "sector", "product_line", "item_group"],
     "sub_category": ["sub_category", "subcategory"],
     "product_name": ["product_name", "productname", "item_name", "title", "description"],
     "sales": [
@@ -68,6 +68,12 @@ RUNNING_DEFAULTS = {
     "product_id": ("PROD-%04d", 1000),
 }
 
+# Cell texts that mean "missing" in an order file.
+MISSING_CELLS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
 NULL_TOKENS = ["nan", "None", "", "NaN", "null"]
 NULL_TEXT = "Standard"  # for columns with one default value
 NULL_ID = "N/A"  # for columns with a running default

@@ -8,14 +8,14 @@ from pyspark.sql.types import StructType
 
 from tallyworks.operators.cleaning import clean, cleaning_statistics
 from tallyworks.sources import schema as formats
+from tallyworks.sources.files import present_cells
 from tallyworks.sources.sinks import record_load
 
 
 def stream_order_files(spark: SparkSession, folder: str, schema: StructType | str, encoding: str = "utf-8") -> DataFrame:
     """Raw order files of a folder as a stream. A stream's columns are given, never guessed."""
-    return (
-        spark.readStream.schema(schema).option("header", True).option("encoding", encoding).option("escape", '"').csv(folder)
-    )
+    raw = spark.readStream.schema(schema).option("header", True).option("encoding", encoding).option("escape", '"').csv(folder)
+    return present_cells(raw)
 
 
 def start_ingest(
