@@ -101,7 +101,7 @@ STAR = {
     "dim_customer": lambda tables: tables.customer,
     "dim_product": lambda tables: tables.product,
     "dim_geography": lambda tables: tables.geography,
-    "dim_shipping": lambda tables: tables.shipping,
+    "dim_shipping": star.shipping_usage,
     "dim_date": lambda tables: tables.date,
     "fact_sales": lambda tables: tables.fact.drop("order_year"),
     "ship_date_role": star.sales_by_ship_month,
@@ -289,6 +289,7 @@ def all_queries() -> dict[str, Query]:
     found["filtered_insights"] = on_lines(service.insights, filters=FilterContext(year=1998))
     found["top_products_by_profit"] = on_lines(service.top_products, sort_by="profit", limit=25)
     found["top_products_by_quantity"] = on_lines(service.top_products, sort_by="quantity", limit=25)
+    found["top_customers_50"] = on_lines(service.top_customers, limit=50)
     found["order_ledger_search"] = on_lines(
         service.order_ledger_page, search=" Blue B", sort_by="sales", sort_desc=False, page=3, page_size=50
     )

@@ -175,6 +175,16 @@ def returned(keys: str) -> str:
 
 OPTIONS = ["year", "country", "market", "region", "category", "sub_category", "segment", "ship_mode"]
 
+
+def spenders(limit: int) -> str:
+    return query(
+        f"""SELECT customer_id, customer_name, segment, country, {money('spend')} AS total_spend, {money('p')} AS total_profit,
+              order_count, HALF_EVEN({money('spend')} / order_count, 2) AS avg_order_value
+            FROM placed WHERE place <= {limit}""",
+        CUSTOMERS,
+    )
+
+
 SQL = {
     "kpi_summary": kpis(),
     "filter_context": kpis(SELECTION),
@@ -209,12 +219,8 @@ SQL = {
             FROM placed""",
         CUSTOMERS,
     ),
-    "top_customers": query(
-        f"""SELECT customer_id, customer_name, segment, country, {money('spend')} AS total_spend, {money('p')} AS total_profit,
-              order_count, HALF_EVEN({money('spend')} / order_count, 2) AS avg_order_value
-            FROM placed WHERE place <= 10""",
-        CUSTOMERS,
-    ),
+    "top_customers": spenders(10),
+    "top_customers_50": spenders(50),
     "customer_segments": query(f"""
       SELECT segment, customer_count, revenue, profit, {MARGIN}, orders_count,
         HALF_EVEN(revenue / customer_count, 2) AS avg_spend, {pct('revenue', 'SUM(s) OVER ()')} AS share_of_revenue

@@ -72,7 +72,8 @@ def customer_base(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def _scored(base: DataFrame, days_after: int) -> DataFrame:
     # The positions come from a checkpoint, which everything below reads instead of the lines.
-    placed = with_position(base, [F.col("frequency"), F.col("customer_id")], "f_place", total="customers")
+    keys = [F.col(c) for c in ("customer_id", "customer_name", "segment") if c in base.columns]
+    placed = with_position(base, [F.col("frequency"), *keys], "f_place", total="customers")
     newest = placed.agg(F.date_add(F.max("last_order_date"), days_after)).scalar()
     placed = placed.withColumn("recency", F.datediff(newest, "last_order_date"))
     histogram = value_histogram(placed, ["recency", "monetary"])

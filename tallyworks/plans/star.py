@@ -40,10 +40,11 @@ def dim_customer(lines: DataFrame, rfm: DataFrame | None = None) -> DataFrame:
     customers = _first_by(lines, "customer_id", ["customer_name", "segment"])
     if rfm is None:
         return customers
-    attributes = rfm.select(
-        "customer_id", "recency", "frequency", "monetary", "r_score", "f_score", "m_score", "rfm_score", "rfm_segment"
-    )
-    return customers.join(attributes, "customer_id", "left")
+    attributes = ["recency", "frequency", "monetary", "r_score", "f_score", "m_score", "rfm_score", "rfm_segment"]
+    # An id with several names or segments has several scores: those of its largest spend count.
+    place = F.struct("monetary", "customer_name", "segment")
+    one = rfm.groupBy("customer_id").agg(F.max_by(F.struct(*attributes), place).alias("best"))
+    return customers.join(one.select("customer_id", "best.*"), "customer_id", "left")
 
 
 def dim_product(lines: DataFrame) -> DataFrame:
@@ -153,6 +154,14 @@ def read_star(spark: SparkSession, path: str, schemas: dict[str, StructType] | N
     return StarTables(**tables)
 
 
+def shipping_usage(tables: StarTables) -> DataFrame:
+    """The shipping modes that order lines use, with the lines and the longest delivery of each."""
+    used = tables.fact.groupBy("ship_mode_id").agg(
+        F.count(F.lit(1)).alias("line_count"), F.max("shipping_days").cast("int").alias("slowest_days")
+    )
+    return tables.shipping.join(used, "ship_mode_id").select(*tables.shipping.columns, "line_count", "slowest_days")
+
+
 def sales_by_ship_month(star: StarTables) -> DataFrame:
     """The shipping role of the date dimension: facts joined on the ship date key."""
     calendar = star.date.select("date_key", "year_month")

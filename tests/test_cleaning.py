@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyworks.operators import cleaning
 from tests.helpers import rows_of
@@ -195,3 +196,23 @@ def test_rules_of_the_cleaned_table(spark):
 
     with pytest.raises(ValueError, match="quantity_below_one"):
         cleaning.require_sound(good.withColumn("quantity", F.lit(0)))
+
+
+def test_dates_of_usual_shapes(spark):
+    texts = [
+        "1/5/11 10:00", "01/05/2011 3:04 PM", "5-Jan-11", "2011-Jan-05", "Jan 5, 2011 10:30", "Wed, 05 Jan 2011", "2011.01.05",
+        "20110105 10:00", "January 5th 2011", "05Jan2011", "2011-01-05T10:00:00Z", "5 January 2011 12:05 am", "20110105",
+    ]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    days = frame.select(cleaning.parse_when(F.col("text")).cast("date").cast("string")).collect()
+    assert {r[0] for r in days} == {"2011-01-05"}
+    wrong = spark.createDataFrame([("order 5 of 2011",), ("2011-13-45",), ("",), ("12:30",), (None,)], "text string")
+    assert {r[0] for r in wrong.select(cleaning.parse_when(F.col("text"))).collect()} == {None}
+
+
+def test_tiny_sales_stay_and_each_date_is_parsed_once(spark):
+    raw = spark.createDataFrame([("A", "2011-01-05", "0.00004"), ("B", "2011-01-05", "0")], "order_id string, order_date string, sales string")
+    cleaned = cleaning.clean(raw)
+    assert [r["order_id"] for r in cleaned.collect()] == ["A"]
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1 and "regexp" not in plan[: plan.index("Generate inline")].partition("Filter")[2]

@@ -299,3 +299,10 @@ def test_options_cover_every_value(spark):
     options = {(r["field"], r["value"]) for r in rows_of(service.filter_options(lines))}
     assert ("country", "Spain") in options and ("month", "March") in options and ("min_date", "2011-01-03") in options
     assert not any(value in (None, "") for _, value in options)
+
+
+def test_customer_dimension_has_one_row_per_id(spark):
+    lines = make_lines(spark, [{"customer_name": "Ann"}, {"customer_name": "Anna", "order_id": "O2", "sales": 50}, {"customer_id": "C2"}])
+    customers = star.dim_customer(lines, rfm.rfm_quintiles(lines)).collect()
+    assert sorted(r["customer_id"] for r in customers) == ["C1", "C2"]
+    assert next(r for r in customers if r["customer_id"] == "C1")["monetary"] == 50
