@@ -151,11 +151,14 @@ def clean(raw: DataFrame, returned_orders: DataFrame | None = None, number_rows:
     ordered = parse_when(F.col("order_date").cast("string"))
     shipped = parse_when(F.col("ship_date").cast("string")) if "ship_date" in have else F.lit(None).cast("timestamp_ntz")
     default = F.col("_ordered") + F.expr(f"INTERVAL {DELIVERY_DAYS} DAYS")
-    # Generated per row, so that the filters below do not repeat the parsing.
+    # Parsed and tested inside one generator: a filter on columns would be pushed down and parse again.
     parsed = F.struct(ordered.alias("_ordered"), shipped.alias("_shipped"), _sales(have).alias("_sales"))
+
+    def usable(row: Column) -> Column:
+        return row["_ordered"].isNotNull() & (row["_sales"] > 0) & row["_sales"].try_cast(schema.MONEY).isNotNull()
+
     lines = (
-        lines.select("*", F.inline(F.array(parsed)))
-        .filter(F.col("_ordered").isNotNull() & (F.col("_sales") > 0) & F.col("_sales").try_cast(schema.MONEY).isNotNull())
+        lines.select("*", F.inline(F.filter(F.array(parsed), usable)))
         .withColumn(
             "_shipped",
             F.when(F.col("_shipped").isNull() | (F.col("_shipped") < F.col("_ordered")), default).otherwise(
