@@ -7,7 +7,8 @@ same one. Kept suffixes whose first ``gram`` words occur in one document only ca
 left out. The others are sorted over the cluster by their words; each is compared with its nearest
 neighbours in that order, to the right as far as the words agree and from there to the left. Contexts are
 as long as a shortest passage needs; longer passages are covered by the chain of their minimisers.
-Passages found are named by a hash of their words, and the smallest doc_id with that name keeps it.
+Suffixes that agree over a whole shortest passage are also grouped by it, wherever they lie. A passage is
+an earlier document's if a neighbour or the group has a smaller doc_id.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def _suffixes(settings: SuffixSettings, repeated):
     return run
 
 
-_FOUND = "name long, doc_id long, sig long, start long, stop long, edge int, at long, `right` binary, `left` binary"
+_FOUND = "name long, doc_id long, sig long, start long, stop long, first_doc long, edge int, at long, `right` binary, `left` binary"
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,6 +122,22 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), same.shape[1], same.argmin(1))
 
 
+def _told(found: np.ndarray, settings: SuffixSettings) -> tuple[np.ndarray, np.ndarray]:
+    """Of (row, left, right, own doc, other doc) matches: those to pass on, and rows whose right context is full.
+
+    Per row the matches that reach farthest to the left and to the right, among those with another document
+    and among those with an earlier one. Every other match lies within these.
+    """
+    full = np.unique(found[found[:, 2] >= settings.least_words, 0])
+    kept = [np.zeros((0, 5), np.int64)]
+    for of in (found[found[:, 4] != found[:, 3]], found[found[:, 4] < found[:, 3]]):
+        for first, second in ((1, 2), (2, 1)):
+            order = np.lexsort((of[:, 4], -of[:, second], -of[:, first], of[:, 0]))
+            sorted_ = of[order]
+            kept.append(sorted_[np.concatenate(([True], sorted_[1:, 0] != sorted_[:-1, 0]))[: len(sorted_)]])
+    return np.unique(np.concatenate(kept), axis=0), full
+
+
 def _matches(rows: dict[str, np.ndarray], new: int, settings: SuffixSettings) -> pa.RecordBatch | None:
     """Matches among sorted rows, of which the last ``new`` have not been compared yet."""
     n = len(rows["at"])
@@ -135,34 +152,28 @@ def _matches(rows: dict[str, np.ndarray], new: int, settings: SuffixSettings) ->
         right = _agree(rows["right"][later], rows["right"][earlier])
         left = _agree(rows["left"][later], rows["left"][earlier])
         long = right + left >= settings.least_words
-        for side in (later[long], earlier[long]):
-            out.append(np.stack((side, left[long], right[long]), 1))
-            # The same name for all suffixes with this passage, whatever else their neighbours share.
-            full = side[right[long] >= settings.least_words]
-            out.append(np.stack((full, 0 * full, 0 * full + settings.least_words), 1))
-    found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+        for side, other in ((later[long], earlier[long]), (earlier[long], later[long])):
+            out.append(np.stack((side, left[long], right[long], rows["doc_id"][side], rows["doc_id"][other]), 1))
+    found = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
     if not len(found):
         return None
+    told, full = _told(found, settings)
     names = [
-        int.from_bytes(
-            hashlib.blake2b(
-                rows["left"][i, : a * BYTES].tobytes() + b"|" + rows["right"][i, : b * BYTES].tobytes(), digest_size=8
-            ).digest(),
-            "little",
-            signed=True,
-        )
-        for i, a, b in found.tolist()
+        int.from_bytes(hashlib.blake2b(rows["right"][i].tobytes(), digest_size=8).digest(), "little", signed=True) for i in full.tolist()
     ]
-    row, at = found[:, 0], rows["at"][found[:, 0]]
-    size = len(found)
+    row = np.concatenate((told[:, 0], full))
+    at, size, nothing = rows["at"][row], len(row), [None] * len(row)
+    left = np.concatenate((told[:, 1], 0 * full))
+    right = np.concatenate((told[:, 2], 0 * full + settings.least_words))
+    first = [*np.minimum(told[:, 3], told[:, 4]).tolist(), *([None] * len(full))]
     return _found(
-        [names, rows["doc_id"][row], rows["sig"][row], at - found[:, 1], at + found[:, 2], [0] * size, at, [None] * size, [None] * size]
+        [[None] * len(told) + names, rows["doc_id"][row], rows["sig"][row], at - left, at + right, first, [0] * size, at, nothing, nothing]
     )
 
 
 def _found(columns: list) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    names = ["name", "doc_id", "sig", "start", "stop", "edge", "at", "right", "left"]
+    kinds = [pa.int64()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["name", "doc_id", "sig", "start", "stop", "first_doc", "edge", "at", "right", "left"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
@@ -194,7 +205,7 @@ def _neighbours(settings: SuffixSettings, mark_edges: bool):
             for edge in (first, held):
                 n = len(edge["at"])
                 blobs = [[x.tobytes() for x in edge[side]] for side in ("right", "left")]
-                yield _found([[None] * n, edge["doc_id"], edge["sig"], [None] * n, [None] * n, [1] * n, edge["at"], *blobs])
+                yield _found([[None] * n, edge["doc_id"], edge["sig"], [None] * n, [None] * n, [None] * n, [1] * n, edge["at"], *blobs])
 
     return run
 
@@ -230,11 +241,14 @@ def repeated_spans(documents: DataFrame, settings: SuffixSettings = SuffixSettin
     # Neighbours in different partitions: a few rows per partition, compared in one more pass.
     edges = found.where("edge = 1").select("doc_id", "sig", "at", "right", "left").distinct()
     met = edges.repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours(settings, False), _FOUND)
-    columns = ["name", "doc_id", "sig", "start", "stop"]
-    spans = found.where("edge = 0").select(*columns).unionAll(met.select(*columns)).distinct()
-    spans = stored(spans, "spans")
-    owners = spans.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc != last")
-    return spans.join(owners.select("name", "first_doc"), "name").drop("name")
+    columns = ["name", "doc_id", "sig", "start", "stop", "first_doc"]
+    spans = found.where("edge = 0").select(*columns).unionAll(stored(met.where("edge = 0").select(*columns), "edges"))
+    # Suffixes that agree as far as contexts reach share a name, however far apart the sort put them.
+    named = spans.where("name is not null").drop("first_doc")
+    owners = named.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc != last")
+    shared = named.join(owners.select("name", "first_doc"), "name")
+    columns = columns[1:]
+    return spans.where("name is null").select(*columns).unionAll(shared.select(*columns))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
