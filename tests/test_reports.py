@@ -121,12 +121,14 @@ def test_pages(spark):
     }
 
 
-def test_deep_pages_equal_top_k_pages(spark, monkeypatch):
+def test_pages_are_slices_of_the_whole_order(spark):
     lines = make_lines(spark, [{"order_id": f"O{i:02d}", "sales": i % 7} for i in range(90)])
-    early = rows_of(service.order_ledger_page(lines, page=4, page_size=20, sort_by="sales"))
-    monkeypatch.setattr(service, "TOP_K_ROWS", 0)
-    assert rows_of(service.order_ledger_page(lines, page=4, page_size=20, sort_by="sales")) == early
-    assert len(rows_of(service.order_ledger_page(lines, page=5, page_size=20))) == 10
+    whole = rows_of(service.order_ledger_page(lines, page=1, page_size=1000, sort_by="sales"))
+    assert [float(r["sales"]) for r in whole] == sorted((float(i % 7) for i in range(90)), reverse=True)
+    for page in (1, 4, 5):
+        got = rows_of(service.order_ledger_page(lines, page=page, page_size=20, sort_by="sales"))
+        assert got == whole[(page - 1) * 20 : page * 20]
+    assert rows_of(service.order_ledger_page(lines, page=6, page_size=20)) == []
 
 
 def reference_forecast(y, horizon, positive):

@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalogue.queries import all_queries as queries
+from catalogue.sql import all_sql as oracle_sql
 from tools.check_against_sql import compare, open_duckdb
 
 FOLDER = "/root/testdata/sf0.001"
