@@ -309,7 +309,7 @@ def cleaning_statistics(raw: DataFrame) -> DataFrame:
     """Row counts before and after cleaning, by reason, without building the cleaned rows."""
     lines = conform(raw)
     undated = parse_when(F.col("order_date").cast("string")).isNull()
-    unsold = _sales(set(lines.columns)) <= 0
+    unsold = ~F.coalesce(_sales(set(lines.columns)) > 0, F.lit(False))
     return lines.agg(
         F.count(F.lit(1)).alias("initial_rows"),
         F.count_if(undated).alias("invalid_dates"),

@@ -27,12 +27,6 @@ def _laid_out(df: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def _kept(totals: DataFrame) -> DataFrame:
-    """Totals per entity that are read twice: far fewer rows than the lines behind them."""
-    shared_folder(totals.sparkSession)
-    return totals.checkpoint()
-
-
 def with_position(df: DataFrame, order: list[Column], position: str = "position", total: str | None = None) -> DataFrame:
     """Add the row's 1-based place in the given total order, and optionally the row count.
 
@@ -54,23 +48,18 @@ def with_position(df: DataFrame, order: list[Column], position: str = "position"
 
 
 def top_by_dense_rank(df: DataFrame, value: str, k: int, rank: str, ascending: bool = False) -> DataFrame:
-    """Rows whose value is among the ``k`` best distinct values, all ties kept."""
-    df = _kept(df)
+    """Rows whose value is among the ``k`` best distinct values, all ties kept.
+
+    Every task keeps its own rows of the ``k`` best values before any row is moved.
+    """
     way = F.col(value).asc() if ascending else F.col(value).desc()
-    best = df.select(value).distinct().orderBy(way).limit(k)
-    ranked = best.select(value, F.row_number().over(Window.orderBy(way)).alias(rank))
-    return df.join(F.broadcast(ranked), value).select(*df.columns, rank)
+    return df.withColumn(rank, F.dense_rank().over(Window.orderBy(way))).filter(F.col(rank) <= k)
 
 
 def top_by_rank(df: DataFrame, value: str, k: int, rank: str, ascending: bool = False) -> DataFrame:
-    """Rows with RANK() <= k, all ties kept. Only the k best distinct values are gathered."""
-    df = _kept(df)
+    """Rows with RANK() <= k, all ties kept; cut down in every task first, as above."""
     way = F.col(value).asc() if ascending else F.col(value).desc()
-    best = df.groupBy(value).agg(F.count(F.lit(1)).alias("_rows")).orderBy(way).limit(k)
-    placed = best.select(
-        value, (F.sum("_rows").over(Window.orderBy(way)) - F.col("_rows") + 1).cast("int").alias(rank)
-    )
-    return df.join(F.broadcast(placed.filter(F.col(rank) <= k)), value).select(*df.columns, rank)
+    return df.withColumn(rank, F.rank().over(Window.orderBy(way))).filter(F.col(rank) <= k)
 
 
 def ranges_of_values(df: DataFrame, column: str, order: Column) -> DataFrame:

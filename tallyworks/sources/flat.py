@@ -12,10 +12,11 @@ from pyspark.sql.types import StructType
 from tallyworks.plans.rfm import rfm_quintiles
 from tallyworks.plans.star import StarTables, build_star, read_star, write_star
 from tallyworks.session import shared_folder
-from tallyworks.sources.tables import derive_order_lines
+from tallyworks.sources.tables import TABLES, derive_order_lines
 
 _stored: dict[tuple[str, str, str], tuple[str, dict[str, StructType]]] = {}
-_lock = threading.RLock()
+_guards: dict[tuple[str, str, str], threading.RLock] = {}
+_lock = threading.Lock()
 
 
 def write_flat(lines: DataFrame, path: str, mode: str = "overwrite", laid_out: bool = False) -> None:
@@ -34,18 +35,35 @@ def read_flat(spark: SparkSession, path: str, schema: StructType | None = None)
     return reader.parquet(path)
 
 
+def _listing(spark: SparkSession, folder: str) -> str:
+    """Sizes, file counts and times of the source tables, so that a changed source is noticed."""
+    context = spark.sparkContext
+    found = []
+    for name in sorted(TABLES):
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        status, content = files.getFileStatus(path), files.getContentSummary(path)
+        found.append(f"{name} {content.getLength()} {content.getFileCount()} {status.getModificationTime()}")
+    return "; ".join(found)
+
+
 def _once(
     spark: SparkSession, kind: str, folder: str, write: Callable[[str], dict[str, StructType]]
 ) -> tuple[str, dict[str, StructType]]:
     """Path and schemas of a table derived from ``folder``, written by the first caller.
 
-    It lies in the shared folder and belongs to one application, so it survives lost executors and never
-    outlives a change of the source tables.
+    It lies in the shared folder, so it survives lost executors, and Hadoop's file system deletes it when the
+    application's JVM ends. A source that changes meanwhile gets a table of its own. Only callers that
+    need the same table wait for its writer.
     """
-    key = (spark.sparkContext.applicationId, kind, folder)
+    key = (spark.sparkContext.applicationId, kind, f"{folder}\n{_listing(spark, folder)}")
     with _lock:
+        guard = _guards.setdefault(key, threading.RLock())
+    with guard:
         if key not in _stored:
-            path = f"{shared_folder(spark)}/{kind}-{key[0]}-{hashlib.md5(folder.encode()).hexdigest()[:12]}"
+            path = f"{shared_folder(spark)}/{kind}-{key[0]}-{hashlib.md5(key[2].encode()).hexdigest()[:12]}"
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
             _stored[key] = (path, write(path))
     return _stored[key]
 
