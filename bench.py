@@ -33,6 +33,8 @@ HEADLINE = [
     "rfm_quartiles",
     "discount_impact",
     "order_ledger_page",
+    "order_ledger_deep_page",
+    "insights",
     "filter_options",
     "star_category_matrix",
     "star_top_products",
@@ -45,6 +47,8 @@ HEADLINE = [
     "forecast",
     "clean_order_lines",
     "dq_report",
+    "dq_report_cleaned",
+    "load_and_audit",
     "m_sales_yoy_pct",
     "m_on_time_rate",
 ]
