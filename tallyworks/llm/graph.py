@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyworks.llm.shared import stored
+from tallyworks.llm.shared import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,10 +24,13 @@ def components(links: DataFrame) -> DataFrame:
         near = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.min("b").alias("b"))
         points = stored(least.select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "points")
+        nearest = points
         for _ in range(2):
             step = points.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
             points = points.join(step, "to").select("node", F.col("beyond").alias("to"))
         points = stored(points, "points")
+        discard(nearest)
+        before = names
         if names is None:
             names = points.select(F.col("node").alias("id"), F.col("to").alias("component"))
         else:
@@ -36,8 +39,12 @@ def components(links: DataFrame) -> DataFrame:
                 "id", F.coalesce("to", "component").alias("component")
             )
         names = stored(names, "names")
+        if before is not None:
+            discard(before)
+        old = links
         for end in ("a", "b"):
             links = links.join(points.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")), end)
         links = links.select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).where("a != b").distinct()
         links = stored(links, "links")
+        discard(old, points)
     return names if names is not None else links.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.llm.graph import components
-from tallyworks.llm.shared import prepare, stored
+from tallyworks.llm.shared import built_on, discard, prepare, stored
 from tallyworks.llm.words import distinct, mix, run_hashes, text_bytes, word_hashes
 
 CHUNKS = 32  # of the sketch
@@ -347,11 +347,13 @@ def _cloud_links(stars: DataFrame, links: DataFrame, blobs: DataFrame, percent:
     """Links of cloud members that the first comparisons did not bring into their cloud's main component."""
     if stars.isEmpty():
         return None
-    clouds = components(stars).select(F.col("id").alias("sig"), F.col("component").alias("cloud"))
-    found = components(links).select(F.col("id").alias("sig"), F.col("component").alias("comp"))
+    families, joined = components(stars), components(links)
+    clouds = families.select(F.col("id").alias("sig"), F.col("component").alias("cloud"))
+    found = joined.select(F.col("id").alias("sig"), F.col("component").alias("comp"))
     members = stored(
         clouds.join(found, "sig", "left").select("sig", "cloud", F.coalesce("comp", "sig").alias("comp")), "members"
     )
+    discard(families, joined)
     parts = members.groupBy("cloud", "comp").agg(F.count(F.lit(1)).alias("n"))
     clouds = parts.groupBy("cloud").agg(
         F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("size")
@@ -372,7 +374,8 @@ def _cloud_links(stars: DataFrame, links: DataFrame, blobs: DataFrame, percent:
     left = rows.where("comp != main").select(
         "cloud", own("left_blocks").alias("i"), each("right_blocks").alias("j"), F.lit(0).alias("side"), "sig", "comp", "tokens"
     )
-    return left.unionAll(right).groupBy("cloud", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    pairs = left.unionAll(right).groupBy("cloud", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    return built_on(pairs, members)
 
 
 def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
@@ -438,16 +441,20 @@ def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettin
         "links",
     )
     more = _cloud_links(stars, links, blobs, settings.percent)
+    used = [first, pairs, stars, chosen, blobs, links, classes, *([] if more is None else [more])]
     links = links if more is None else links.unionAll(more)
     for end in ("a", "b"):
         named = classes.select(F.col("sig").alias(end), F.col("doc_id").alias(f"{end}_doc"))
         links = links.join(named, end)
     copies = rows.where("n > 0").join(classes.withColumnRenamed("doc_id", "same"), "sig").where("doc_id != same")
     edges = links.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).unionAll(copies.select("doc_id", "same"))
-    named = components(edges).select(F.col("id").alias("doc_id"), "component")
-    return rows.join(named, "doc_id", "left").select(
+    groups = components(edges)
+    discard(*used)
+    named = groups.select(F.col("id").alias("doc_id"), "component")
+    result = rows.join(named, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
+    return built_on(result, profile, groups)
 
 
 def one_of_each_group(documents: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:
@@ -455,7 +462,9 @@ def one_of_each_group(documents: DataFrame, settings: JoinSettings = JoinSetting
 
     Of rows with the same doc_id, which are one document, one is kept; rows without doc_id are all kept.
     """
-    named = stored(jaccard_components(documents, settings), "groups")
+    found = jaccard_components(documents, settings)
+    named = stored(found, "groups")
+    discard(found)
     gone = named.where("doc_id != component_id").select("doc_id").distinct()
     again = named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     own = F.col("doc_id").cast("bigint")

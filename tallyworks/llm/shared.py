@@ -42,7 +42,24 @@ def stored(frame: DataFrame, kind: str) -> DataFrame:
     path = scratch_path(spark, kind)
     frame.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(frame.schema).parquet(path)
+    read = spark.read.schema(frame.schema).parquet(path)
+    read._scratch = [path]
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of stored frames, once nothing that is still to be computed reads them."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        for path in getattr(frame, "_scratch", []):
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def built_on(frame: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The frame, with a note of the stored tables it reads, for ``discard`` after it is computed."""
+    frame._scratch = [path for table in tables for path in getattr(table, "_scratch", [])]
+    return frame
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

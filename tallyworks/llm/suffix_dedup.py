@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm.shared import prepare, stored
+from tallyworks.llm.shared import built_on, discard, prepare, stored
 from tallyworks.llm.words import bounds, run_hashes, text_bytes, word_hashes
 
 BYTES = 3  # of a word's hash kept in a context
@@ -242,13 +242,14 @@ def repeated_spans(documents: DataFrame, settings: SuffixSettings = SuffixSettin
     edges = found.where("edge = 1").select("doc_id", "sig", "at", "right", "left").distinct()
     met = edges.repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours(settings, False), _FOUND)
     columns = ["name", "doc_id", "sig", "start", "stop", "first_doc"]
-    spans = found.where("edge = 0").select(*columns).unionAll(stored(met.where("edge = 0").select(*columns), "edges"))
+    met = stored(met.where("edge = 0").select(*columns), "edges")
+    spans = found.where("edge = 0").select(*columns).unionAll(met)
     # Suffixes that agree as far as contexts reach share a name, however far apart the sort put them.
     named = spans.where("name is not null").drop("first_doc")
     owners = named.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc != last")
     shared = named.join(owners.select("name", "first_doc"), "name")
     columns = columns[1:]
-    return spans.where("name is null").select(*columns).unionAll(shared.select(*columns))
+    return built_on(spans.where("name is null").select(*columns).unionAll(shared.select(*columns)), found, met)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,10 +295,11 @@ def repeated_passages(documents: DataFrame, settings: SuffixSettings = SuffixSet
     """
     spans = repeated_spans(documents, settings)
     grouped = spans.groupBy("doc_id", "sig").agg(F.collect_set(F.struct("start", "stop", "first_doc")).alias("spans"))
-    return grouped.mapInArrow(
+    passages = grouped.mapInArrow(
         _merge,
         "doc_id long, sig long, start_word long, stop_word long, first_doc_id long, cut array<struct<start:bigint,stop:bigint>>",
     )
+    return built_on(passages, spans)
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -335,8 +337,11 @@ def without_repeats(documents: DataFrame, settings: SuffixSettings = SuffixSetti
     ``text`` is the only column that changes. A document that repeats nothing keeps its text as it is; one
     that is nothing but repeats keeps its row with what is left of the text.
     """
-    cuts = repeated_passages(documents, settings).where("size(cut) > 0")
+    found = repeated_passages(documents, settings)
+    cuts = found.where("size(cut) > 0")
     cuts = cuts.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.struct("sig", "cut")).alias("_cuts"))
+    cuts = stored(cuts, "cuts")
+    discard(found)
     names = documents.columns
     joined = documents.join(cuts, F.col("doc_id").cast("bigint") == F.col("_cut_id"), "left")
     return joined.select(*[F.col(f"`{n}`") for n in names], "_cuts").mapInArrow(_cut(names), documents.schema)
