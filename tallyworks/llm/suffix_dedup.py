@@ -4,11 +4,16 @@ Only suffixes that begin at a minimiser are kept: the word position whose ``gram
 smallest of a window. The window is as long as the shortest passage asked for, so every run of
 ``least_words`` words holds a minimiser, chosen by those words alone, and two copies of the run keep the
 same one. Kept suffixes whose first ``gram`` words occur in one document only can match nothing and are
-left out. The others are sorted over the cluster by their words; each is compared with its nearest
-neighbours in that order, to the right as far as the words agree and from there to the left. Contexts are
-as long as a shortest passage needs; longer passages are covered by the chain of their minimisers.
-Suffixes that agree over a whole shortest passage are also grouped by it, wherever they lie. A passage is
-an earlier document's if a neighbour or the group has a smaller doc_id.
+left out. The others go one of two ways, by how many suffixes of the corpus begin with the same words:
+
+* At most ``neighbours + 1``: they are sorted over the cluster by their words, where these lie side by side,
+  so comparing each with its nearest neighbours compares all of them, to the right as far as the words agree
+  and from there to the left. Contexts are as long as a shortest passage needs; longer passages are covered
+  by the chain of their minimisers.
+* More, a crowded beginning: every run of ``least_words`` words that has the minimiser is named by the hash of
+  its words, and the smallest doc_id of each name is aggregated before it meets the documents that hold it.
+
+Both are exact, however many documents share a passage and whatever stands around it.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyworks.llm.shared import built_on, discard, prepare, stored
-from tallyworks.llm.words import bounds, run_hashes, text_bytes, word_hashes
+from tallyworks.llm.words import bounds, distinct, run_hashes, text_bytes, word_hashes
 
 BYTES = 3  # of a word's hash kept in a context
 
@@ -32,40 +37,60 @@ BYTES = 3  # of a word's hash kept in a context
 class SuffixSettings:
     least_words: int = 50
     gram: int = 8
-    neighbours: int = 8  # rows before it that a suffix is compared with
-    filter_bits: int = 25  # of the broadcast filter of repeated beginnings: raise with the corpus
+    neighbours: int = 8  # rows before it that a suffix is compared with; beginnings with more go by whole runs
+    filter_bits: int = 25  # of each broadcast filter, of beginnings and of runs: raise with the corpus
 
     @property
     def window(self) -> int:
         return self.least_words - self.gram + 1
 
 
-def minimisers(words: np.ndarray, settings: SuffixSettings) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash of the words that begin there) of a text's minimisers; none if it is too short."""
+def _smallest(values: np.ndarray, window: int) -> np.ndarray:
+    """Position of the first smallest value of every window, by doubling."""
+    at = np.arange(len(values))
+    length = 1
+    while length < window:
+        step = min(length, window - length)
+        later = values[step:] < values[:-step]
+        values, at = np.where(later, values[step:], values[:-step]), np.where(later, at[step:], at[:-step])
+        length += step
+    return at
+
+
+def _chosen(words: np.ndarray, settings: SuffixSettings) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the minimiser of every run of ``least_words`` words, hashes of all grams)."""
     if len(words) < settings.least_words:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = run_hashes(words, settings.gram)
-    found = []
-    for i in range(0, len(grams) - settings.window + 1, 1 << 14):
-        part = grams[i : i + (1 << 14) + settings.window - 1]
-        views = np.lib.stride_tricks.sliding_window_view(part, settings.window)
-        found.append(np.unique(views.argmin(axis=1) + np.arange(len(views))) + i)
-    at = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+    return _smallest(grams, settings.window), grams
+
+
+def minimisers(words: np.ndarray, settings: SuffixSettings) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash of the words that begin there) of a text's minimisers; none if it is too short."""
+    at, grams = _chosen(words, settings)
+    at = distinct(at)
     return at, grams[at]
 
 
+def _marked(hashes: np.ndarray, bits: np.ndarray, settings: SuffixSettings) -> np.ndarray:
+    slot = (hashes >> np.uint64(64 - settings.filter_bits)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7)) & 1 == 1
+
+
 def _grams(settings: SuffixSettings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            keys, ids, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 if doc_id is not None:
                     _, key = minimisers(word_hashes(text_bytes(text.as_py())), settings)
-                    key = np.unique(key)
+                    key, n = np.unique(key, return_counts=True)
                     keys.append(key)
                     ids.append(np.full(len(key), doc_id, np.int64))
+                    counts.append(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["gram", "doc_id"]
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts))],
+                ["gram", "doc_id", "n"],
             )
 
     return run
@@ -76,12 +101,47 @@ def signature(words: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(words.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _suffixes(settings: SuffixSettings, repeated):
-    """(doc_id, sig, at, right, left) of suffixes that begin with repeated words; contexts end in zero bytes."""
+def _runs(settings: SuffixSettings, crowded, shared=None):
+    """(key, doc_id) of the runs of ``least_words`` words with a crowded minimiser, each once per text.
+
+    With a filter of shared keys: (key, doc_id, sig, start) of every such run that it lets pass.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[np.zeros(0, np.int64)] for _ in range(4)]
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                if doc_id is None:
+                    continue
+                words = word_hashes(text_bytes(text.as_py()))
+                at, grams = _chosen(words, settings)
+                start = np.flatnonzero(_marked(grams, crowded.value, settings)[at])
+                if not len(start):
+                    continue
+                keys = run_hashes(words, settings.least_words)[start]
+                if shared is None:
+                    keys = distinct(keys)
+                else:
+                    passed = _marked(keys, shared.value, settings)
+                    keys, start = keys[passed], start[passed]
+                    columns[2].append(np.full(len(keys), signature(words), np.int64))
+                    columns[3].append(start)
+                columns[0].append(keys.view(np.int64))
+                columns[1].append(np.full(len(keys), doc_id, np.int64))
+            names = ["key", "doc_id"] if shared is None else ["key", "doc_id", "sig", "start"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns[: len(names)]], names)
+
+    return run
+
+
+def _suffixes(settings: SuffixSettings, repeated, crowded):
+    """(doc_id, sig, at, right, left) of suffixes that begin with repeated words, but not with crowded ones.
+
+    Contexts end in zero bytes.
+    """
     reach = settings.least_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = repeated.value
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
@@ -89,8 +149,7 @@ def _suffixes(settings: SuffixSettings, repeated):
                     continue
                 words = word_hashes(text_bytes(text.as_py()))
                 at, grams = minimisers(words, settings)
-                slot = (grams >> np.uint64(64 - settings.filter_bits)).astype(np.int64)
-                at = at[(bits[slot >> 3] >> (slot & 7)) & 1 == 1]
+                at = at[_marked(grams, repeated.value, settings) & ~_marked(grams, crowded.value, settings)]
                 if not len(at):
                     continue
                 low = (words >> np.uint64(8)).astype(np.uint32) % np.uint32(2 ** (8 * BYTES) - 1) + np.uint32(1)
@@ -112,7 +171,7 @@ def _suffixes(settings: SuffixSettings, repeated):
     return run
 
 
-_FOUND = "name long, doc_id long, sig long, start long, stop long, first_doc long, edge int, at long, `right` binary, `left` binary"
+_FOUND = "doc_id long, sig long, start long, stop long, first_doc long, edge int, at long, `right` binary, `left` binary"
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,20 +181,22 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), same.shape[1], same.argmin(1))
 
 
-def _told(found: np.ndarray, settings: SuffixSettings) -> tuple[np.ndarray, np.ndarray]:
-    """Of (row, left, right, own doc, other doc) matches: those to pass on, and rows whose right context is full.
+def _told(found: np.ndarray) -> np.ndarray:
+    """Of (row, left, right, own doc, other doc) matches: those to pass on.
 
     Per row the matches that reach farthest to the left and to the right, among those with another document
-    and among those with an earlier one. Every other match lies within these.
+    and among those with an earlier one, and one with the smallest other document. Every other match lies
+    within these.
     """
-    full = np.unique(found[found[:, 2] >= settings.least_words, 0])
     kept = [np.zeros((0, 5), np.int64)]
-    for of in (found[found[:, 4] != found[:, 3]], found[found[:, 4] < found[:, 3]]):
-        for first, second in ((1, 2), (2, 1)):
-            order = np.lexsort((of[:, 4], -of[:, second], -of[:, first], of[:, 0]))
-            sorted_ = of[order]
-            kept.append(sorted_[np.concatenate(([True], sorted_[1:, 0] != sorted_[:-1, 0]))[: len(sorted_)]])
-    return np.unique(np.concatenate(kept), axis=0), full
+    others = found[found[:, 4] != found[:, 3]]
+    for of, keys in (
+        (others, (-others[:, 2], -others[:, 1], others[:, 4])),
+        *((x, (x[:, 4], -x[:, b], -x[:, a])) for x in (others, others[others[:, 4] < others[:, 3]]) for a, b in ((1, 2), (2, 1))),
+    ):
+        sorted_ = of[np.lexsort((*keys, of[:, 0]))]
+        kept.append(sorted_[np.concatenate(([True], sorted_[1:, 0] != sorted_[:-1, 0]))[: len(sorted_)]])
+    return np.unique(np.concatenate(kept), axis=0)
 
 
 def _matches(rows: dict[str, np.ndarray], new: int, settings: SuffixSettings) -> pa.RecordBatch | None:
@@ -157,23 +218,16 @@ def _matches(rows: dict[str, np.ndarray], new: int, settings: SuffixSettings) ->
     found = np.concatenate(out) if out else np.zeros((0, 5), np.int64)
     if not len(found):
         return None
-    told, full = _told(found, settings)
-    names = [
-        int.from_bytes(hashlib.blake2b(rows["right"][i].tobytes(), digest_size=8).digest(), "little", signed=True) for i in full.tolist()
-    ]
-    row = np.concatenate((told[:, 0], full))
+    told = _told(found)
+    row = told[:, 0]
     at, size, nothing = rows["at"][row], len(row), [None] * len(row)
-    left = np.concatenate((told[:, 1], 0 * full))
-    right = np.concatenate((told[:, 2], 0 * full + settings.least_words))
-    first = [*np.minimum(told[:, 3], told[:, 4]).tolist(), *([None] * len(full))]
-    return _found(
-        [[None] * len(told) + names, rows["doc_id"][row], rows["sig"][row], at - left, at + right, first, [0] * size, at, nothing, nothing]
-    )
+    first = np.minimum(told[:, 3], told[:, 4])
+    return _found([rows["doc_id"][row], rows["sig"][row], at - told[:, 1], at + told[:, 2], first, [0] * size, at, nothing, nothing])
 
 
 def _found(columns: list) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    names = ["name", "doc_id", "sig", "start", "stop", "first_doc", "edge", "at", "right", "left"]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["doc_id", "sig", "start", "stop", "first_doc", "edge", "at", "right", "left"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
@@ -205,16 +259,16 @@ def _neighbours(settings: SuffixSettings, mark_edges: bool):
             for edge in (first, held):
                 n = len(edge["at"])
                 blobs = [[x.tobytes() for x in edge[side]] for side in ("right", "left")]
-                yield _found([[None] * n, edge["doc_id"], edge["sig"], [None] * n, [None] * n, [None] * n, [1] * n, edge["at"], *blobs])
+                yield _found([edge["doc_id"], edge["sig"], [None] * n, [None] * n, [None] * n, [1] * n, edge["at"], *blobs])
 
     return run
 
 
-def _bits(spark: SparkSession, grams: DataFrame, settings: SuffixSettings):
-    """A broadcast bit filter of fixed size; what it lets pass by mistake is sorted in vain, no more."""
-    slot = F.shiftrightunsigned("gram", 64 - settings.filter_bits)
+def _bits(spark: SparkSession, hashes: DataFrame, column: str, settings: SuffixSettings):
+    """A broadcast bit filter of fixed size; what it lets pass by mistake is handled in vain, no more."""
+    slot = F.shiftrightunsigned(column, 64 - settings.filter_bits)
     bits = (
-        grams.select(slot.alias("slot"))
+        hashes.select(slot.alias("slot"))
         .groupBy(F.shiftright("slot", 5).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))
         .toArrow()
@@ -229,11 +283,15 @@ def repeated_spans(documents: DataFrame, settings: SuffixSettings = SuffixSettin
     spark = documents.sparkSession
     prepare(spark)
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    grams = texts.mapInArrow(_grams(settings), "gram long, doc_id long")
-    ends = grams.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a != b")
-    repeated = _bits(spark, ends.select("gram"), settings)
+    grams = texts.mapInArrow(_grams(settings), "gram long, doc_id long, n long")
+    span = (F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last"))
+    ends = grams.groupBy("gram").agg(*span, F.sum("n").alias("n")).where("first_doc != last")
+    ends = stored(ends.select("gram", "n"), "beginnings")
+    repeated = _bits(spark, ends, "gram", settings)
+    crowded = _bits(spark, ends.where(F.col("n") > settings.neighbours + 1), "gram", settings)
+    discard(ends)
     suffixes = texts.mapInArrow(
-        _suffixes(settings, repeated), "doc_id long, sig long, at long, `right` binary, `left` binary"
+        _suffixes(settings, repeated, crowded), "doc_id long, sig long, at long, `right` binary, `left` binary"
     )
     order = ["right", "doc_id", "at"]
     laid = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -241,22 +299,24 @@ def repeated_spans(documents: DataFrame, settings: SuffixSettings = SuffixSettin
     # Neighbours in different partitions: a few rows per partition, compared in one more pass.
     edges = found.where("edge = 1").select("doc_id", "sig", "at", "right", "left").distinct()
     met = edges.repartition(1).sortWithinPartitions(*order).mapInArrow(_neighbours(settings, False), _FOUND)
-    columns = ["name", "doc_id", "sig", "start", "stop", "first_doc"]
+    columns = ["doc_id", "sig", "start", "stop", "first_doc"]
     met = stored(met.where("edge = 0").select(*columns), "edges")
-    spans = found.where("edge = 0").select(*columns).unionAll(met)
-    # Suffixes that agree as far as contexts reach share a name, however far apart the sort put them.
-    named = spans.where("name is not null").drop("first_doc")
-    owners = named.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc != last")
-    shared = named.join(owners.select("name", "first_doc"), "name")
-    columns = columns[1:]
-    return built_on(spans.where("name is null").select(*columns).unionAll(shared.select(*columns)), found, met)
+    # Crowded beginnings: the smallest document of each run of words, then all places of the shared runs.
+    runs = texts.mapInArrow(_runs(settings, crowded), "key long, doc_id long")
+    owners = stored(runs.groupBy("key").agg(*span).where("first_doc != last").select("key", "first_doc"), "owners")
+    shared = _bits(spark, owners, "key", settings)
+    places = texts.mapInArrow(_runs(settings, crowded, shared), "key long, doc_id long, sig long, start long")
+    whole = places.join(owners, "key").withColumn("stop", F.col("start") + settings.least_words)
+    spans = found.where("edge = 0").select(*columns).unionAll(met).unionAll(whole.select(*columns))
+    return built_on(spans, found, met, owners)
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, sig, spans in zip(batch["doc_id"].to_pylist(), batch["sig"].to_pylist(), batch["spans"].to_pylist()):
-            for start, stop, owner, cut in merged([(s["start"], s["stop"], s["first_doc"]) for s in spans], doc_id):
+        for doc_id, sig, spans in zip(batch["doc_id"].to_pylist(), batch["sig"].to_pylist(), batch["spans"]):
+            found = np.stack([spans.values.field(k).to_numpy() for k in ("start", "stop", "first_doc")], 1)
+            for start, stop, owner, cut in merged(_chained(found), doc_id):
                 rows.append({"doc_id": doc_id, "sig": sig, "start_word": start, "stop_word": stop, "first_doc_id": owner, "cut": cut})
         span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
         yield pa.RecordBatch.from_pylist(
@@ -266,6 +326,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _chained(spans: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, stop, first_doc) spans with those of the same owner that overlap one after another made one."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0], spans[:, 2]))]
+    new = np.flatnonzero(np.concatenate(([True], (spans[1:, 2] != spans[:-1, 2]) | (spans[1:, 0] > spans[:-1, 1]))))
+    stops = np.maximum.reduceat(spans[:, 1], new)
+    return list(zip(spans[new, 0].tolist(), stops.tolist(), spans[new, 2].tolist()))
+
+
 def merged(spans: list[tuple[int, int, int]], doc_id: int) -> list[tuple[int, int, int, list[dict]]]:
     """Overlapping matches of a document as one passage each, with the parts that an earlier document has."""
     out: list[list] = []

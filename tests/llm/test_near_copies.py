@@ -153,6 +153,41 @@ def test_repeated_passages_match_brute_force(spark):
             assert r["text"].encode().lower().split() == kept
 
 
+def test_passages_of_many_sharers_match_brute_force(spark):
+    """200 documents share a passage, another a tail, each with its own words around it, ids in no order."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    own = lambda: [word() for _ in range(rng.randint(20, 60))]
+    middle, tail, few = ([word() for _ in range(n)] for n in (55, 130, 70))
+    rows = []
+    for i in range(600):
+        if i < 200:
+            cut = rng.randint(0, 5)
+            parts = [own(), middle[cut : cut + 50], own()]
+        elif i < 400:
+            parts = [own(), tail[rng.randint(0, 80) :]]
+        else:
+            parts = [own(), few[i % 20 :], own()] if i % 25 == 0 else [own(), own()]
+        rows.append((i, " ".join(w for p in parts for w in p)))
+    ids = [i for i, _ in rows]
+    rng.shuffle(ids)
+    rows = [(i, text) for i, (_, text) in zip(ids, rows)]
+    every, later, words = windows(rows, 50)
+    least = {}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            least[w[k : k + 50]] = min(i, least.get(w[k : k + 50], i))
+    got, cut = {}, {}
+    for r in repeated_passages(odd_frame(spark, rows), SuffixSettings(filter_bits=16)).collect():
+        i, start, stop = r["doc_id"], r["start_word"], r["stop_word"]
+        got.setdefault(i, set()).update(range(start, stop))
+        assert r["first_doc_id"] == min(least[words[i][k : k + 50]] for k in range(start, stop - 49))
+        for c in r["cut"]:
+            cut.setdefault(i, set()).update(range(c["start"], c["stop"]))
+    assert got == every
+    assert cut == later
+
+
 def test_repeated_passages_empty_and_same_id(spark):
     settings = SuffixSettings(filter_bits=16)
     assert repeated_passages(odd_frame(spark, []), settings).count() == 0
