@@ -16,8 +16,10 @@ this under two orders and verifies only pairs that pass both:
    component is compared with all of the cloud, in blocks of bounded size, so no link is missed and no
    list of all pairs is made.
 
-The sketch only chooses the order: a poor estimate costs time, never a link. Postings of a rare token
-are at most as many as the sketch's threshold; those of a frequent one are dealt out by salt.
+The sketch only chooses the order: a poor estimate costs time, never a link. Its counters are exact sums,
+so they never fall below a token's count, and postings of a rare token are at most as many as its threshold.
+That grows with the corpus, so a rare token with more than ``longest`` postings is no list of pairs either:
+under both orders its sets are a cloud as in 4. Postings of a frequent token are dealt out by salt.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ class JoinSettings:
     words: int = 5
     percent: int = 75  # Jaccard similarity, in whole percent
     sketch_bits: int = 24  # counters of the sketch: raise with the corpus, one byte each is broadcast
+    longest: int = 64  # postings of a rare token that are paired up; more are a cloud
     wanted_bits: int = 23  # bits of the filter that picks documents for the later passes
 
     def prefix(self, n: int) -> int:
@@ -82,8 +85,10 @@ def _profile(settings: JoinSettings):
                  pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n", "sig", "chunk", "counts"],
             )
         if counts.any():
-            parts = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, -1)
-            blobs = [zlib.compress(part.tobytes(), 1) for part in parts]
+            blobs = []
+            for part in counts.reshape(CHUNKS, -1):
+                kind = np.min_scalar_type(part.max())  # as narrow as the largest count allows
+                blobs.append(bytes([kind.itemsize]) + zlib.compress(part.astype(kind).tobytes(), 1))
             none = pa.nulls(CHUNKS, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())],
@@ -100,7 +105,8 @@ def _merge(threshold: int):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, blob in zip(batch["chunk"].to_pylist(), batch["counts"]):
-                part = np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
+                blob = blob.as_py()
+                part = np.frombuffer(zlib.decompress(blob[1:]), f"u{blob[0]}")
                 if chunk not in sums:
                     sums[chunk] = np.zeros(len(part), np.int64)
                 sums[chunk] += part
@@ -165,8 +171,12 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
-def _pair_up(keys: np.ndarray, signs: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of sets that share a rare token and may still reach the threshold, each once."""
+def _pair_up(keys: np.ndarray, signs: np.ndarray, settings: JoinSettings) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(0, a, b) of sets that share a rare token and may still reach the threshold, each pair once.
+
+    Of a token in more than ``longest`` sets (1, a, b): its smallest set with each of the others.
+    """
+    percent = settings.percent
     token = keys >> 17
     order = np.argsort(token, kind="stable")
     keys, signs, token = keys[order], signs[order], token[order]
@@ -183,6 +193,13 @@ def _pair_up(keys: np.ndarray, signs: np.ndarray, percent: int) -> Iterator[tupl
     low, high = np.exp(code * SIZE_BASE) * 0.999, np.exp((code + 1) * SIZE_BASE) * 1.001
     rest = 1 + high * (1 - place / 256)  # at most so many tokens from the shared one on
     starts, lengths = _runs(token)
+    crowd = np.repeat(lengths > settings.longest, lengths)
+    hubs, others = np.repeat(signs[starts], lengths)[crowd], signs[crowd]
+    if len(others):
+        stars = np.unique(np.stack((hubs, others), 1)[hubs != others], axis=0)
+        for i in range(0, len(stars), 100_000):
+            yield 1, stars[i : i + 100_000, 0], stars[i : i + 100_000, 1]
+    starts, lengths = starts[lengths <= settings.longest], lengths[lengths <= settings.longest]
     found = []
     for length in np.unique(lengths):
         if length < 2:
@@ -204,14 +221,15 @@ def _pair_up(keys: np.ndarray, signs: np.ndarray, percent: int) -> Iterator[tupl
         pairs = pairs[order]
         pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))[: len(pairs)]]
         for i in range(0, len(pairs), 100_000):
-            yield pairs[i : i + 100_000, 0], pairs[i : i + 100_000, 1]
+            yield 0, pairs[i : i + 100_000, 0], pairs[i : i + 100_000, 1]
 
 
 def _meet(settings: JoinSettings):
     """Postings of one partition: (kind, a, b).
 
     Kind 0 is a candidate pair. Kind 1 is a set with the smallest one of its salt that has the same frequent
-    token, and kind 2 that token with that smallest one.
+    token, and kind 2 that token with that smallest one. Kind 1 is also a set with the smallest one that has
+    the same rare token with too many postings to pair up; these are not salted.
     """
     names = ["kind", "a", "b"]
 
@@ -243,8 +261,8 @@ def _meet(settings: JoinSettings):
         if hubs:
             yield rows(2, [k >> 6 for k in hubs], list(hubs.values()))
         if keys:
-            for a, b in _pair_up(np.concatenate(keys), np.concatenate(signs), settings.percent):
-                yield rows(0, a, b)
+            for kind, a, b in _pair_up(np.concatenate(keys), np.concatenate(signs), settings):
+                yield rows(kind, a, b)
 
     return run
 
@@ -426,10 +444,13 @@ def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettin
     pairs = stored(first.where("kind = 0").select("a", "b").distinct(), "pairs")
     hubs = first.where("kind = 2").groupBy("a").agg(F.min("b").alias("hub"))
     linked_hubs = first.where("kind = 2").join(hubs, "a").select(F.col("hub").alias("a"), "b").where("a != b")
-    stars = stored(first.where("kind = 1").select("a", "b").unionAll(linked_hubs).distinct(), "stars")
     second = candidates(0x5851F42D4C957F2D, _wanted(spark, documents_of(ends(pairs)), settings))
-    both = pairs.join(second.where("kind = 0").select("a", "b").distinct(), ["a", "b"])
-    chosen = stored(both.unionAll(stars).distinct(), "chosen")
+    # Pairs found under both orders, and sets that share a token with too many postings under either.
+    second = second.distinct().join(pairs.withColumn("both", F.lit(True)), ["a", "b"], "left").where("kind = 1 or both")
+    found = second.select("a", "b", "kind").unionAll(first.where("kind = 1").select("a", "b", "kind"))
+    found = found.unionAll(linked_hubs.select("a", "b", F.lit(1).alias("kind")))
+    chosen = stored(found.groupBy("a", "b").agg(F.max("kind").alias("kind")), "chosen")
+    stars = chosen.where("kind = 1").select("a", "b")
     wanted = _wanted(spark, documents_of(ends(chosen)), settings)
     blobs = texts.mapInArrow(_blobs(settings, wanted), "sig long, tokens binary")
     # The filter lets a few other documents pass; the joins below leave them out.
@@ -441,7 +462,7 @@ def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettin
         "links",
     )
     more = _cloud_links(stars, links, blobs, settings.percent)
-    used = [first, pairs, stars, chosen, blobs, links, classes, *([] if more is None else [more])]
+    used = [first, pairs, chosen, blobs, links, classes, *([] if more is None else [more])]
     links = links if more is None else links.unionAll(more)
     for end in ("a", "b"):
         named = classes.select(F.col("sig").alias(end), F.col("doc_id").alias(f"{end}_doc"))

@@ -3,12 +3,15 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyworks.llm.decontaminate import LOWER, UPPER, Settings, contamination, without_contaminated
 from tallyworks.llm.graph import components
-from tallyworks.llm.jaccard_join import JoinSettings, jaccard_components, one_of_each_group
+from tallyworks.llm.jaccard_join import CHUNKS, JoinSettings, _meet, _merge, _profile, jaccard_components, one_of_each_group
 from tallyworks.llm.suffix_dedup import SuffixSettings, cut_words, repeated_passages, without_repeats
+from tallyworks.llm.words import run_hashes, word_hashes
 
 SMALL = JoinSettings(sketch_bits=12, wanted_bits=10)
 ODD = "doc_id long, text string, lang string, component_id int, sig string, n int"
@@ -85,6 +88,28 @@ def test_jaccard_components_match_brute_force(spark):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes
 
 
+def test_jaccard_long_lists_of_rare_tokens(spark):
+    """A sketch too small to tell any token from another: all are rare, and the cloud's lists are long."""
+    rows = texts(seed=8)
+    settings = JoinSettings(sketch_bits=5, wanted_bits=10, longest=4)
+    got = jaccard_components(odd_frame(spark, rows), settings).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == groups_of(rows)
+
+
+def test_sketch_counts_beyond_a_byte_and_lists_stay_linear():
+    same = "one two three four five"
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [f"{same} w{i}".encode() for i in range(1000)]})
+    parts = [b.select(["chunk", "counts"]) for b in _profile(SMALL)(iter([batch])) if b["chunk"].null_count == 0]
+    levels = {b["chunk"][0].as_py(): b["levels"][0].as_py() for b in _merge(600)(iter(parts))}
+    slot = int(run_hashes(word_hashes(same.encode()), 5)[0] >> np.uint64(64 - SMALL.sketch_bits))
+    size = (1 << SMALL.sketch_bits) // CHUNKS
+    assert levels[slot // size][slot % size] > 0
+    key = (np.full(5000, 77, np.int64) << 17) | (100 << 7)
+    met = list(_meet(SMALL)(iter([pa.RecordBatch.from_pydict({"key": key, "sig": np.arange(5000)})])))
+    assert sum(b.num_rows for b in met) == 4999
+    assert {(k, a) for b in met for k, a in zip(b["kind"].to_pylist(), b["a"].to_pylist())} == {(1, 0)}
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     a, b = "a b c d e f g h i j", "k l m n o p q r s t"
     rows = [(4, a), (4, b), (9, a), (2, b), (None, a), (None, None), (11, "z"), (11, "z")]
