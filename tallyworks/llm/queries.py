@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tallyworks.llm.chat import as_replies, conversation_digests, format_conversations
 from tallyworks.llm.decontaminate import contamination
 from tallyworks.llm.embedding_lsh import near_vectors
+from tallyworks.llm.exact_dedup import load_documents
 from tallyworks.llm.html_text import main_texts
 from tallyworks.llm.jaccard_join import jaccard_components
 from tallyworks.llm.language_model import score_texts
+from tallyworks.llm.lexical_search import rank_documents
 from tallyworks.llm.mixing import mixture
 from tallyworks.llm.shared import scratch_path, table
 from tallyworks.llm.suffix_dedup import repeated_passages
@@ -74,6 +76,15 @@ def op10_reply_trees(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_digests(format_conversations(as_replies(rows.unionByName(extra))))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as the first load of a new index."""
+    return load_documents(table(spark, folder, "documents"), "documents", path=scratch_path(spark, "digest-index"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity_mil": op2_toxicity_mil,
@@ -85,4 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc_salvage": op9_warc_salvage,
     "op10_reply_trees": op10_reply_trees,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_exact_dedup": op12_exact_dedup,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
 SQL: dict[str, str] = {
     "op8_benchmark_decontamination": f"""
 WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
@@ -60,5 +62,37 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(body, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM parts GROUP BY conv_id
+""",
+    "op11_ranked_search": f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+sized AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, w FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+asked AS (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS term FROM benchmark),
+questions AS (SELECT q, item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+vocabulary AS (SELECT DISTINCT term FROM questions),
+tf AS (
+    SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM sized) SEMI JOIN vocabulary USING (term)
+    GROUP BY ALL
+),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+    FROM tf, totals GROUP BY term, n_docs
+),
+parts AS (
+    SELECT r, doc_id, term,
+           (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)) AS impact
+    FROM tf, totals
+),
+scores AS (
+    SELECT q, item_id, r, doc_id, CAST(sum(times * weight * impact) AS BIGINT) AS score
+    FROM questions JOIN weights USING (term) JOIN parts USING (term) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+""",
+    "op12_exact_dedup": """
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+       row_number() OVER same = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)
 """,
 }
