@@ -16,6 +16,7 @@ from tallyworks.llm.jaccard_join import jaccard_components
 from tallyworks.llm.language_model import score_texts
 from tallyworks.llm.lexical_search import rank_documents
 from tallyworks.llm.mixing import mixture
+from tallyworks.llm.prefix_trie import trie_nodes, turn_sequences, with_openings
 from tallyworks.llm.shared import scratch_path, table
 from tallyworks.llm.suffix_dedup import repeated_passages
 from tallyworks.llm.toxicity import toxic_documents
@@ -85,6 +86,11 @@ def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return load_documents(table(spark, folder, "documents"), "documents", path=scratch_path(spark, "digest-index"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all conversations after some took over the first turns of another."""
+    return trie_nodes(with_openings(turn_sequences(table(spark, folder, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity_mil": op2_toxicity_mil,
@@ -98,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_reply_trees": op10_reply_trees,
     "op11_ranked_search": op11_ranked_search,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -94,5 +94,47 @@ FROM scores WHERE score > 0 QUALIFY rank <= 20
 SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
        row_number() OVER same = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)
+""",
+    "op13_prefix_trie": """
+WITH ordered AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+           sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+           octet_length(encode(coalesce(text, ''))) AS size
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT conv_id, list(key ORDER BY place) AS keys, list(size ORDER BY place) AS sizes FROM ordered GROUP BY conv_id),
+digits AS (SELECT conv_id, unnest(range(1, length(CAST(conv_id AS VARCHAR)) + 1)) AS i FROM convs),
+bytes AS (
+    SELECT conv_id, list(CAST(ascii(substr(CAST(conv_id AS VARCHAR), i, 1)) AS BIGINT) ORDER BY i) AS b FROM digits GROUP BY conv_id
+),
+taken AS (
+    SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda crc, x:
+        list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+    )) % 9 AS h
+    FROM bytes
+),
+rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(o.keys, [])[1:h], c.keys[h + 1:]) AS keys,
+           list_concat(coalesce(o.sizes, [])[1:h], c.sizes[h + 1:]) AS sizes
+    FROM convs c JOIN taken USING (conv_id) LEFT JOIN convs o ON o.conv_id = c.conv_id - c.conv_id % 5
+),
+steps AS (SELECT conv_id, keys, sizes, unnest(range(0, len(keys) + 1)) AS depth FROM rebuilt),
+prefixes AS (
+    SELECT conv_id, depth, sha256(array_to_string(keys[1:depth], ',')) AS node, sizes[depth] AS size, depth = len(keys) AS last FROM steps
+),
+nodes AS (
+    SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(size), 0) AS size,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+    FROM prefixes GROUP BY node, depth
+),
+placed AS (SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM placed GROUP BY parent),
+counted AS (SELECT placed.*, coalesce(n_children, 0) AS n_children FROM placed LEFT JOIN kids USING (node)),
+below AS (
+    SELECT p.node, count(*) FILTER (c.n_children = 0) AS n_leaves, CAST(sum((c.n_convs - 1) * c.size) AS BIGINT) AS saved_tokens
+    FROM counted c JOIN prefixes p ON p.conv_id = c.conv_id AND p.depth <= c.depth GROUP BY p.node
+)
+SELECT c.conv_id, c.depth, up.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN below USING (node) LEFT JOIN nodes up ON up.node = c.parent
 """,
 }
