@@ -16,7 +16,7 @@ from tallyworks.operators.filters import FilterContext
 from tallyworks.plans import eda, flat_suite, forecast, measures, rfm, service, star, star_suite
 from tallyworks.session import shared_folder
 from tallyworks.sources import sinks
-from tallyworks.sources.flat import customer_rfm, order_lines, read_flat, star_tables
+from tallyworks.sources.flat import customer_rfm, order_lines, read_flat, read_rejected, star_tables
 from tallyworks.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,6 +232,41 @@ def _load_and_audit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _load_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """The same raw table appended twice under one name: one audit row, and lines that are stored once."""
+    lines = order_lines(spark, folder)
+    raw, returned, place = raw_order_lines(lines), returns_ledger(lines), _scratch(spark, "load")
+    for _ in range(2):
+        sinks.load_order_lines(
+            raw, f"{place}/table", f"{place}/audit", "orders", replace=False, returned_orders=returned, load_id=folder
+        )
+    audit = sinks.latest_loads(spark, f"{place}/audit").select("filename", "total_rows", "valid_rows", "invalid_rows", "status")
+    stored = read_flat(spark, f"{place}/table").agg(
+        F.struct(F.count(F.lit(1)).alias("rows"), F.sum("sales").cast("double").alias("sales"))
+    )
+    return audit.withColumn("stored", stored.scalar()).select(
+        *audit.columns, F.col("stored.rows").alias("stored_rows"), F.col("stored.sales").alias("stored_sales")
+    )
+
+
+def _rejected_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row a load left out, with its reason and some of its cells."""
+    raw, place = raw_order_lines(order_lines(spark, folder)), _scratch(spark, "load")
+    sinks.load_order_lines(raw, f"{place}/table", f"{place}/audit", "orders", load_id=folder)
+    cells = [F.get_json_object("raw_row", f"$.{c}").alias(c) for c in ("order_id", "product_id", "order_date", "sales")]
+    return read_rejected(spark, f"{place}/table").select("reject_reason", *cells)
+
+
+def _cleaned_once(spark: SparkSession, folder: str) -> DataFrame:
+    """The cleaned lines as a stored table, for reports that scan them more than once."""
+    place = _scratch(spark, "load")
+    lines = order_lines(spark, folder)
+    sinks.load_order_lines(
+        raw_order_lines(lines), f"{place}/table", f"{place}/audit", "orders", returned_orders=returns_ledger(lines), load_id=folder
+    )
+    return read_flat(spark, f"{place}/table")
+
+
 def _stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Raw files arrive in a folder, a stream cleans and appends them; totals of what it stored."""
     lines, place = order_lines(spark, folder), _scratch(spark, "stream")
@@ -253,7 +288,7 @@ CLEANING: dict[str, Query] = {
     "clean_stats": lambda spark, folder: cleaning.cleaning_statistics(raw_order_lines(order_lines(spark, folder))),
     "domain_checks": lambda spark, folder: cleaning.domain_violations(_cleaned(spark, folder)),
     "dq_report": on_lines(cleaning.quality_report),
-    "dq_report_cleaned": lambda spark, folder: plain(cleaning.quality_report(_cleaned(spark, folder))),
+    "dq_report_cleaned": lambda spark, folder: plain(cleaning.quality_report(_cleaned_once(spark, folder))),
     "duplicate_profile": lambda spark, folder: cleaning.duplicate_profile(
         raw_order_lines(order_lines(spark, folder)).select("Order ID", "SKU", "Order Date", "Ship Date", "QTY", "Price")
     ),
@@ -269,6 +304,8 @@ CLEANING: dict[str, Query] = {
     ),
     "surrogate_row_ids": _row_ids,
     "load_and_audit": _load_and_audit,
+    "load_twice": _load_twice,
+    "rejected_rows": _rejected_rows,
     "stream_ingest": _stream_ingest,
     "postal_codes_padded": _padded,
 }

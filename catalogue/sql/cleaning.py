@@ -132,6 +132,28 @@ SQL = {
             FROM RANGE(1, 3) t(i)""",
         KEPT,
     ),
+    "load_twice": query(
+        f"""SELECT 'orders' AS filename, (SELECT COUNT(*) FROM repaired) AS total_rows, COUNT(*) AS valid_rows,
+              (SELECT COUNT(*) FROM repaired) - COUNT(*) AS invalid_rows, 'SUCCESS' AS status,
+              COUNT(*) AS stored_rows, {double('SUM(sales)')} AS stored_sales
+            FROM clean""",
+        KEPT,
+    ),
+    "rejected_rows": query(
+        """SELECT CASE WHEN od IS NULL THEN 'unreadable order date' WHEN product_id % 89 = 0 THEN 'unreadable sales'
+               ELSE 'sales not positive' END AS reject_reason,
+             CONCAT('ORD-', order_id) AS order_id, CAST(product_id AS VARCHAR) AS product_id,
+             CASE WHEN product_id % 101 = 0 THEN 'not a date' WHEN product_id % 103 = 0 THEN NULL
+               WHEN (order_id + product_id) % 4 = 0 THEN STRFTIME(order_date, '%Y-%m-%d')
+               WHEN (order_id + product_id) % 4 = 1 THEN STRFTIME(order_date, '%-m/%-d/%Y')
+               WHEN (order_id + product_id) % 4 = 2 THEN STRFTIME(order_date, '%m-%d-%Y')
+               WHEN DAY(order_date) > 12 THEN STRFTIME(order_date, '%d/%m/%Y') ELSE STRFTIME(order_date, '%Y/%m/%d') END AS order_date,
+             CASE WHEN product_id % 89 = 0 THEN 'abc' WHEN product_id % 83 = 0 THEN CONCAT('-', sales)
+               WHEN product_id % 79 = 0 THEN '1.5e3' WHEN product_id % 5 = 0 THEN CONCAT('$', FORMAT('{:,.2f}', CAST(sales AS DOUBLE)))
+               WHEN product_id % 5 = 1 THEN CONCAT(sales, ' USD') ELSE CAST(sales AS VARCHAR) END AS sales
+           FROM repaired WHERE od IS NULL OR amount <= 0""",
+        KEPT,
+    ),
     "stream_ingest": query(
         f"""SELECT year, order_status, COUNT(*) AS lines, {double('SUM(sales)')} AS sales, {whole('SUM(quantity)')} AS quantity
             FROM clean GROUP BY year, order_status""",

@@ -44,6 +44,7 @@ def main() -> None:
         replace=not chosen.append,
         returned_orders=returned,
         number_rows=chosen.number_rows,
+        load_id=files.file_identity(spark, chosen.source),
     )
     print(result)
     lines = read_flat(spark, chosen.table)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyworks.functions.expr import calendar_columns, guarded_pct, line_flags, money, round_half_even, round_scaled
 from tallyworks.operators.ranking import with_position
+from tallyworks.session import shared_folder
 from tallyworks.sources import schema
 
 DELIVERY_DAYS = 3  # assumed where the ship date is missing or before the order
@@ -46,6 +47,8 @@ def conform(raw: DataFrame) -> DataFrame:
 
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?$"
+_NUMERIC = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([ap]m)?\s*(?:z|utc|[+-]\d{2}:?\d{2})?$"
 
 
@@ -55,9 +58,19 @@ def parse_when(text: Column) -> Column:
     The clock time, 12 or 24 hours, is split off the end. What is left holds two or three numbers, or one of
     eight digits, and at most one month by name. A number of four digits is the year, first or last; of
     two digits it is last, 70 to 99 in the last century. Month comes before day, unless that is
-    impossible. A month without a day is its first. Weekdays, ordinal endings and commas carry nothing.
+    impossible. A month without a day is its first. Weekdays, ordinal endings and commas carry nothing. The two
+    most common shapes are tried first: they need no lambda, which Spark does not compile.
     """
-    text = F.regexp_replace(F.trim(text), _WEEKDAY, "")
+    plain = F.trim(text)
+    iso = F.when(plain.rlike(_ISO), plain.try_cast("timestamp_ntz"))
+    one, two, year = (F.regexp_extract(plain, _NUMERIC, i).try_cast("int") for i in range(1, 4))
+    month, day = F.when(one > 12, two).otherwise(one), F.when(one > 12, one).otherwise(two)
+    numeric = F.when(plain.rlike(_NUMERIC), F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0)))
+    return F.coalesce(iso, numeric, _parse_any(plain))
+
+
+def _parse_any(text: Column) -> Column:
+    text = F.regexp_replace(text, _WEEKDAY, "")
     timed = text.contains(":")
     clock = [F.when(timed, F.regexp_extract(text, f"(?i){_TIME}", i)).otherwise("") for i in range(1, 5)]
     part = F.when(timed, F.regexp_replace(text, rf"(?i)(?:t|,|\s)+{_TIME}", "")).otherwise(text)
@@ -136,36 +149,95 @@ def _sales(have: set[str]) -> Column:
     return F.lit(100.0)
 
 
+DATE_TEXTS = 200_000  # distinct texts that are parsed once each and broadcast, some 20 MB
+SAMPLED_ROWS = 10_000
+
+
+def _date_texts(lines: DataFrame, names: list[str]) -> DataFrame | None:
+    """Every distinct text of the date columns with its time, or None where that would not pay.
+
+    It does not where more than half of the first rows have a text of their own, nor where there are more than
+    ``DATE_TEXTS`` texts. Either way gives the same times.
+    """
+
+    texts = lines.select(*[F.col(n).cast("string") for n in names])
+    first = [text for row in texts.limit(SAMPLED_ROWS).collect() for text in row if text is not None]
+    if 2 * len(set(first)) > max(len(first), 100 * len(names)):
+        return None
+    shared_folder(lines.sparkSession)
+    each = texts.select(F.explode(F.array(*texts.columns)).alias("_text")).where("_text is not null").distinct()
+    known = each.withColumn("_when", parse_when(F.col("_text"))).checkpoint()
+    return known if known.count() <= DATE_TEXTS else None
+
+
+def _with_times(lines: DataFrame, times: dict[str, str]) -> DataFrame:
+    """Add the times of date columns, column by new name; a text that many rows have is parsed once."""
+    known = _date_texts(lines, list(times.values()))
+    if known is None:
+        return lines.withColumns({new: parse_when(F.col(name).cast("string")) for new, name in times.items()})
+    for new, name in times.items():
+        found = known.select(F.col("_text").alias(f"{new}_text"), F.col("_when").alias(new))
+        lines = lines.join(F.broadcast(found), F.col(name).cast("string") == F.col(f"{new}_text"), "left")
+        lines = lines.drop(f"{new}_text")
+    return lines
+
+
+#: Why a row is left out of the cleaned table, in the order the reasons are looked for.
+NO_DATE, NO_SALES, NOT_POSITIVE, TOO_LARGE = "unreadable order date", "unreadable sales", "sales not positive", "sales too large"
+
+
+def prepare_lines(raw: DataFrame) -> DataFrame:
+    """All rows of a raw table under canonical names, with ``_ordered``, ``_shipped``, ``_sales`` (a decimal, null in
+    rejected rows) and ``reject_reason`` (null in rows that are kept).
+
+    Every count and both tables of a load go by this reason. Positive sales below the least stored amount are
+    stored as that amount, so that they stay positive.
+    """
+    lines = conform(raw)
+    have = set(lines.columns)
+    if "order_date" not in have:
+        raise ValueError("the order date column is missing")
+    times = {"_ordered": "order_date"} | ({"_shipped": "ship_date"} if "ship_date" in have else {})
+    lines = _with_times(lines, times).withColumn("_amount", _sales(have))
+    if "ship_date" not in have:
+        lines = lines.withColumn("_shipped", F.lit(None).cast("timestamp_ntz"))
+    amount = F.col("_amount")
+    stored = F.greatest(amount.try_cast(schema.MONEY), F.lit("0.0001").cast(schema.MONEY))
+    reason = (
+        F.when(F.col("_ordered").isNull(), NO_DATE)
+        .when(amount.isNull() | F.isnan(amount), NO_SALES)
+        .when(amount <= 0, NOT_POSITIVE)
+        .when(amount.try_cast(schema.MONEY).isNull(), TOO_LARGE)
+    )
+    lines = lines.withColumn("reject_reason", reason)
+    return lines.withColumn("_sales", F.when(F.col("reject_reason").isNull(), stored)).drop("_amount")
+
+
 def clean(raw: DataFrame, returned_orders: DataFrame | None = None, number_rows: bool = False) -> DataFrame:
     """Cleaned order lines of a raw table whose columns may be text under any known header.
 
     Rows without a readable order date or with sales that are not positive are dropped.
     ``returned_orders`` holds ids of returned orders in ``order_id``. ``number_rows`` adds ``row_id`` 1..n,
     which sorts the whole table over the cluster; it is also added where a running default needs it.
+    Where dates repeat, their distinct texts are read first, by a job of their own.
     """
-    lines = conform(raw)
-    have = set(lines.columns)
-    if "order_date" not in have:
-        raise ValueError("the order date column is missing")
+    return finish_lines(prepare_lines(raw).where("reject_reason is null").drop("reject_reason"), returned_orders, number_rows)
+
+
+def needs_numbers(columns: list[str]) -> bool:
+    """Whether a column is absent whose default counts the rows."""
+    return any(name not in columns for name in schema.RUNNING_DEFAULTS)
 
-    ordered = parse_when(F.col("order_date").cast("string"))
-    shipped = parse_when(F.col("ship_date").cast("string")) if "ship_date" in have else F.lit(None).cast("timestamp_ntz")
+
+def finish_lines(
+    lines: DataFrame, returned_orders: DataFrame | None = None, number_rows: bool = False, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """Cleaned columns, and those named in ``also``, of prepared lines. Rejected lines keep null sales and what
+    follows from them, and must not be numbered."""
+    have = set(lines.columns)
     default = F.col("_ordered") + F.expr(f"INTERVAL {DELIVERY_DAYS} DAYS")
-    # Parsed and tested inside one generator: a filter on columns would be pushed down and parse again.
-    parsed = F.struct(ordered.alias("_ordered"), shipped.alias("_shipped"), _sales(have).alias("_sales"))
-
-    def usable(row: Column) -> Column:
-        return row["_ordered"].isNotNull() & (row["_sales"] > 0) & row["_sales"].try_cast(schema.MONEY).isNotNull()
-
-    lines = (
-        lines.select("*", F.inline(F.filter(F.array(parsed), usable)))
-        .withColumn(
-            "_shipped",
-            F.when(F.col("_shipped").isNull() | (F.col("_shipped") < F.col("_ordered")), default).otherwise(
-                F.col("_shipped")
-            ),
-        )
-    )
+    late = F.col("_shipped").isNull() | (F.col("_shipped") < F.col("_ordered"))
+    lines = lines.withColumn("_shipped", F.when(late, default).otherwise(F.col("_shipped")))
 
     one, nothing = F.lit("1").cast(schema.MONEY), F.lit("0").cast(schema.MONEY)
 
@@ -173,7 +245,7 @@ def clean(raw: DataFrame, returned_orders: DataFrame | None = None, number_rows:
         return _amount(parse_number(F.col(name)), missing)
 
     quantity = F.floor(F.greatest(number("quantity", 1.0), one)) if "quantity" in have else F.lit(1)
-    lines = lines.withColumn("sales", F.col("_sales").cast(schema.MONEY)).withColumn("quantity", quantity.cast("bigint"))
+    lines = lines.withColumn("sales", F.col("_sales")).withColumn("quantity", quantity.cast("bigint"))
 
     gross = F.col("sales").cast("double")
     price = round_scaled(gross / F.col("quantity"), 2)
@@ -232,7 +304,7 @@ def clean(raw: DataFrame, returned_orders: DataFrame | None = None, number_rows:
             "shipping_days": F.greatest(days, F.lit(0)).cast("int"),
         }
     )
-    keep = [*schema.CLEAN_COLUMNS, *(["row_id"] if "row_id" in lines.columns else [])]
+    keep = [*schema.CLEAN_COLUMNS, *(["row_id"] if "row_id" in lines.columns else []), *also]
     return lines.withColumns(line_flags()).withColumns(calendar_columns("order_date")).select(*keep)
 
 
@@ -306,18 +378,25 @@ def require_sound(lines: DataFrame) -> None:
 
 
 def cleaning_statistics(raw: DataFrame) -> DataFrame:
-    """Row counts before and after cleaning, by reason, without building the cleaned rows."""
-    lines = conform(raw)
-    undated = parse_when(F.col("order_date").cast("string")).isNull()
-    unsold = ~F.coalesce(_sales(set(lines.columns)) > 0, F.lit(False))
-    return lines.agg(
+    """Row counts before and after cleaning, by the reason of ``prepare_lines``, without the cleaned rows.
+
+    Sales that are unreadable or too large for the table count with those that are not positive.
+    """
+    reason = F.col("reject_reason")
+    return prepare_lines(raw).agg(
         F.count(F.lit(1)).alias("initial_rows"),
-        F.count_if(undated).alias("invalid_dates"),
-        F.count_if(~undated & unsold).alias("non_positive_sales"),
-        F.count_if(~undated & ~unsold).alias("final_valid_rows"),
+        F.count_if(reason == NO_DATE).alias("invalid_dates"),
+        F.count_if(reason != NO_DATE).alias("non_positive_sales"),
+        F.count_if(reason.isNull()).alias("final_valid_rows"),
     )
 
 
+def cleaning_warnings(headers: list[str]) -> list[str]:
+    """What a reader of the cleaned table should know about columns the source does not have."""
+    have = {column_mapping(headers).get(h) or normalise_header(h) for h in headers}
+    return [text for column, text in schema.ABSENT_WARNINGS.items() if column not in have]
+
+
 TERRITORY = ["year", "country", "market", "region", "category", "sub_category"]
 
 

@@ -57,6 +57,13 @@ def size_in_bytes(spark: SparkSession, path: str) -> int:
     return spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
 
 
+def file_identity(spark: SparkSession, path: str) -> str:
+    """What identifies the files at a path without reading them: names, sizes and times of change."""
+    found = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    sums = [F.sum(F.xxhash64(F.lit(seed), "path", "length", "modificationTime").cast("decimal(20,0)")) for seed in (1, 2)]
+    return " ".join(map(str, found.agg(F.count(F.lit(1)), *sums).first()))
+
+
 def read_star_csv(spark: SparkSession, path: str) -> StarTables:
     """A star schema stored as one CSV folder per table."""
     return StarTables(**{name: read_table_csv(spark, f"{path}/{name}", types) for name, types in STAR_SCHEMAS.items()})

@@ -12,6 +12,8 @@ from pyspark.sql.types import StructType
 from tallyworks.plans.rfm import rfm_quintiles
 from tallyworks.plans.star import StarTables, build_star, read_star, write_star
 from tallyworks.session import shared_folder
+from tallyworks.sources.loads import KEPT, REJECTED, read_loads
+from tallyworks.sources.schema import REJECT_COLUMNS
 from tallyworks.sources.tables import TABLES, derive_order_lines
 
 _stored: dict[tuple[str, str, str], tuple[str, dict[str, StructType]]] = {}
@@ -30,11 +32,25 @@ def write_flat(lines: DataFrame, path: str, mode: str = "overwrite", laid_out: b
 
 
 def read_flat(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """A known schema spares the job that reads it from a file."""
+    """The lines of a stored table, of a table of loads those of the loads it holds.
+
+    A known schema spares the job that reads it from a file.
+    """
+    loaded = None if schema else read_loads(spark, path, KEPT)
+    if loaded is not None:
+        return loaded.drop("load", "outcome", *REJECT_COLUMNS)
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(path)
 
 
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that the loads of a table left out: load, reject_reason and the cells as JSON."""
+    loaded = read_loads(spark, path, REJECTED)
+    if loaded is None:
+        raise ValueError(f"{path} has no loads")
+    return loaded.select("load", *REJECT_COLUMNS)
+
+
 def _listing(spark: SparkSession, folder: str) -> str:
     """Sizes, file counts and times of the source tables, so that a changed source is noticed."""
     context = spark.sparkContext

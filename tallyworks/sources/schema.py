@@ -81,6 +81,9 @@ NULL_ID = "N/A"  # for columns with a running default
 MONEY = "decimal(18,4)"
 RATE = "decimal(7,4)"
 
+# What a load says when a column is absent and its values are made up.
+ABSENT_WARNINGS = {"profit": "Profit column not found; calculated at standard 15% margin."}
+
 CLEAN_COLUMNS = [
     "order_id", "order_date", "ship_date", "ship_mode", "customer_id", "customer_name", "segment",
     "country", "city", "state", "postal_code", "market", "region",
@@ -91,6 +94,9 @@ CLEAN_COLUMNS = [
     "year", "quarter", "month", "month_name", "week", "day", "day_of_week", "year_month",
 ]
 
+# What a table of loads has besides, for rows that were left out.
+REJECT_COLUMNS = ("reject_reason", "raw_row")
+
 # Types of the star schema tables in CSV form, in column order.
 STAR_SCHEMAS = {
     "fact": (

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tallyworks.operators.cleaning import clean, cleaning_statistics
 from tallyworks.sources import schema as formats
 from tallyworks.sources.files import present_cells
-from tallyworks.sources.sinks import record_load
+from tallyworks.sources.loads import KEPT
+from tallyworks.sources.sinks import outcome_counts, record_load, stage_lines
 
 
 def stream_order_files(spark: SparkSession, folder: str, schema: StructType | str, encoding: str = "utf-8") -> DataFrame:
@@ -25,24 +26,16 @@ def start_ingest(
     checkpoint_path: str,
     returned_orders: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Clean every batch of new rows into its own folder of the table.
+    """Clean every batch of new rows into its own folder of the table, with the rows it leaves out beside it.
 
     A batch that is tried again after a failure overwrites what its first try left behind, so each
     row is stored once. The query ends when all present files are loaded.
     """
 
     def load(batch: DataFrame, number: int) -> None:
-        clean(batch, returned_orders).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
-        counts = cleaning_statistics(batch).first()
-        record_load(
-            batch.sparkSession,
-            f"{audit_path}/batch={number}",
-            f"batch-{number}",
-            0,
-            counts["initial_rows"],
-            counts["final_valid_rows"],
-            mode="overwrite",
-        )
+        counts = outcome_counts(stage_lines(batch, f"{table_path}/batch={number}", returned_orders))
+        total, kept = sum(counts.values()), counts.get(None, 0)
+        record_load(batch.sparkSession, f"{audit_path}/batch={number}", f"batch-{number}", 0, total, kept)
 
     return (
         raw.writeStream.foreachBatch(load)
@@ -53,7 +46,8 @@ def start_ingest(
 
 
 def read_ingested(spark: SparkSession, table_path: str) -> DataFrame:
-    return spark.read.option("basePath", table_path).parquet(table_path)
+    stored = spark.read.option("basePath", table_path).parquet(table_path)
+    return stored.where(F.col("outcome") == KEPT).drop("outcome", *formats.REJECT_COLUMNS)
 
 
 def read_batch_audit(spark: SparkSession, audit_path: str) -> DataFrame:

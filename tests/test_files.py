@@ -1,12 +1,14 @@
+import json
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from catalogue.raw_lines import raw_order_lines
+from tallyworks.operators import cleaning
 from tallyworks.plans import rfm, service, star, star_suite
-from tallyworks.sources import files, sinks
-from tallyworks.sources.flat import read_flat
+from tallyworks.sources import files, loads, sinks
+from tallyworks.sources.flat import read_flat, read_rejected
 from tallyworks.sources.views import register_views
 from tallyworks.streaming import ingest
 from tests.helpers import make_lines, rows_of
@@ -154,3 +156,135 @@ def test_raw_file_from_tables_has_every_defect(spark):
     lines = lines.withColumns({c: F.col(c).cast("bigint") for c in ("order_id", "product_id")}).withColumn("raw_ship_date", F.col("ship_date"))
     raw = raw_order_lines(lines)
     assert raw.filter("`Order Date` = 'not a date'").count() > 0 and raw.filter("Revenue = 'abc'").count() > 0
+
+
+def put_lines(folder, name, rows):
+    return put(f"{folder}/{name}", HEAD + "".join(f"{o},{d},,Ann,Pen,{s},1,0,1\n" for o, d, s in rows))
+
+
+def state(spark, table, audit):
+    lines = read_flat(spark, table)
+    held = sorted((r.order_id, float(r.sales)) for r in lines.collect())
+    return held, [tuple(r) for r in sinks.latest_loads(spark, audit).collect()]
+
+
+def test_a_load_counts_once(spark, folder, monkeypatch):
+    table, audit = f"{folder}/table", f"{folder}/audit"
+    first = files.read_orders_csv(spark, put_lines(folder, "one.csv", [("a", "2011-01-03", 5), ("b", "bad", 5)]))
+    second = files.read_orders_csv(spark, put_lines(folder, "two.csv", [("c", "2012-01-03", 7)]))
+    sinks.load_order_lines(first, table, audit, "one.csv")
+    sinks.load_order_lines(second, table, audit, "two.csv", replace=False)
+    before = state(spark, table, audit)
+    assert before[0] == [("a", 5), ("c", 7)] and len(before[1]) == 2
+
+    again = sinks.load_order_lines(second.repartition(3), table, audit, "two.csv", replace=False)  # the same rows in another order
+    assert again["valid_rows"] == 1 and state(spark, table, audit) == before
+    assert sinks.load_order_lines(second, table, audit, "copy.csv", replace=False)["status"] == "SUCCESS"  # another file
+    assert state(spark, table, audit)[0] == [("a", 5), ("c", 7), ("c", 7)]
+
+    third = files.read_orders_csv(spark, put_lines(folder, "three.csv", [("d", "2013-01-03", 9), ("e", "2013-01-03", "x")]))
+    held = state(spark, table, audit)
+    monkeypatch.setattr(loads, "commit", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))  # killed with all files written
+    with pytest.raises(KeyboardInterrupt):
+        sinks.load_order_lines(third, table, audit, "three.csv", replace=False)
+    monkeypatch.undo()
+    assert state(spark, table, audit) == held
+    monkeypatch.setattr(sinks, "record_load", lambda *_, **__: (_ for _ in ()).throw(KeyboardInterrupt))  # between table and audit
+    with pytest.raises(KeyboardInterrupt):
+        sinks.load_order_lines(third, table, audit, "three.csv", replace=False)
+    monkeypatch.undo()
+    for _ in range(2):
+        sinks.load_order_lines(third, table, audit, "three.csv", replace=False)
+        lines, log = state(spark, table, audit)
+        assert lines == [*held[0], ("d", 9)]
+        assert [(r[0], r[2], r[3]) for r in log] == [("three.csv", 2, 1), ("copy.csv", 1, 1), ("two.csv", 1, 1), ("one.csv", 2, 1)]
+
+
+def test_replacing_takes_the_old_loads_out_at_the_commit(spark, folder, monkeypatch):
+    table, audit = f"{folder}/table", f"{folder}/audit"
+    one = files.read_orders_csv(spark, put_lines(folder, "one.csv", [("a", "2011-01-03", 5)]))
+    two = files.read_orders_csv(spark, put_lines(folder, "two.csv", [("b", "2012-01-03", 7)]))
+    sinks.load_order_lines(one, table, audit, "one.csv")
+    old = read_flat(spark, table)
+    monkeypatch.setattr(sinks, "outcome_counts", lambda _: 1 / 0)  # fails after the files are written
+    with pytest.raises(ZeroDivisionError):
+        sinks.load_order_lines(two, table, audit, "two.csv")
+    monkeypatch.undo()
+    lines, log = state(spark, table, audit)
+    assert lines == [("a", 5)] and [(r[0], r[5]) for r in log] == [("two.csv", "FAILED"), ("one.csv", "SUCCESS")]
+    assert log[0][6].startswith("ZeroDivisionError")
+    sinks.load_order_lines(two, table, audit, "two.csv")
+    assert state(spark, table, audit)[0] == [("b", 7)] and [r.order_id for r in old.collect()] == ["a"]  # a reader keeps its loads
+    sinks.load_order_lines(one, table, audit, "one.csv", replace=False)
+    assert state(spark, table, audit)[0] == [("a", 5), ("b", 7)]
+    sinks.load_order_lines(one, table, audit, "one.csv")
+    assert state(spark, table, audit)[0] == [("a", 5)]
+    assert len(loads.remove_stale(spark, table)) == 1 and state(spark, table, audit)[0] == [("a", 5)]
+
+
+def test_rejected_rows_are_kept_apart_with_their_reason(spark, folder):
+    table, audit = f"{folder}/table", f"{folder}/audit"
+    rows = [("ok", "2011-01-03", 5), ("big", "2011-01-03", "9" * 20), ("tiny", "2011-01-03", "0.00001"), ("zero", "2011-01-03", 0),
+            ("minus", "2011-01-03", -3), ("word", "2011-01-03", "abc"), ("none", "2011-01-03", ""), ("day", "2011-02-30", 5), ("both", "x", "y")]
+    raw = files.read_orders_csv(spark, put_lines(folder, "o.csv", rows))
+    for number in (False, True):
+        result = sinks.load_order_lines(raw, table, audit, f"o-{number}.csv", number_rows=number)
+        lines, left = read_flat(spark, table), read_rejected(spark, table)
+        assert {r.order_id: float(r.sales) for r in lines.collect()} == {"ok": 5, "tiny": 0.0001}
+        assert {json.loads(r.raw_row)["order_id"]: r.reject_reason for r in left.collect()} == {
+            "big": "sales too large", "zero": "sales not positive", "minus": "sales not positive", "word": "unreadable sales",
+            "none": "unreadable sales", "day": "unreadable order date", "both": "unreadable order date",
+        }
+        assert json.loads(left.where("raw_row like '%minus%'").first().raw_row)["sales"] == "-3"
+        assert (result["total_rows"], result["valid_rows"], result["invalid_rows"]) == (9, 2, 7)
+        assert lines.count() + left.count() == result["total_rows"] and sum(result["rejected"].values()) == 7
+        stats = cleaning.cleaning_statistics(raw).first()
+        assert (stats.initial_rows, stats.final_valid_rows, stats.invalid_dates, stats.non_positive_sales) == (9, 2, 2, 5)
+        assert not any(cleaning.domain_violations(lines).first())
+        assert cleaning.clean(raw).count() == 2
+        if number:
+            assert sorted(r.row_id for r in lines.collect()) == [1, 2]
+
+
+def test_what_a_load_reports(spark, folder):
+    path = put(f"{folder}/o.csv", "Invoice No,Date,Amount\na,2011-01-03,5\n")
+    result = sinks.load_order_lines(files.read_orders_csv(spark, path), f"{folder}/t", f"{folder}/a", "o.csv", load_id="night run")
+    assert result["column_mappings"] == {"Invoice No": "order_id", "Date": "order_date", "Amount": "sales"}
+    assert result["columns_detected"] == ["Invoice No", "Date", "Amount"] and len(result["warnings"]) == 1
+    assert "Profit column not found" in result["warnings"][0] and result["duration_seconds"] >= 0
+    assert files.file_identity(spark, path) == files.file_identity(spark, path)
+
+
+def test_tables_without_rows(spark, folder):
+    table, audit = f"{folder}/table", f"{folder}/audit"
+    raw = files.read_orders_csv(spark, put_lines(folder, "bad.csv", [("a", "never", 5)]))
+    result = sinks.load_order_lines(raw, table, audit, "bad.csv")
+    assert (result["total_rows"], result["valid_rows"]) == (1, 0)
+    assert read_flat(spark, table).count() == 0 and read_rejected(spark, table).count() == 1
+    sinks.load_order_lines(raw.limit(0), table, audit, "none.csv")
+    assert read_flat(spark, table).count() == 0 and read_rejected(spark, table).count() == 0
+    assert set(read_flat(spark, table).columns) == {*cleaning.schema.CLEAN_COLUMNS, "row_id"}  # there are no customer ids
+    with pytest.raises(ValueError):
+        read_rejected(spark, folder)
+
+
+def test_year_filter_prunes_folders_of_loads(spark, folder):
+    raw = files.read_orders_csv(spark, put_lines(folder, "o.csv", [("a", "2011-01-03", 5), ("b", "2012-01-03", 5)]))
+    sinks.load_order_lines(raw, f"{folder}/t", f"{folder}/a", "o.csv")
+    read = read_flat(spark, f"{folder}/t").filter("year = 2012")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(outcome" in plan.replace("year#", "") and "(year" in plan.split("PartitionFilters")[1]
+    assert read.count() == 1
+
+
+def test_dates_of_repeating_and_of_distinct_texts(spark):
+    """The dictionary of date texts and the parser of single rows agree."""
+    texts = [f"2011-0{1 + i % 9}-1{i % 3}" for i in range(400)] + ["3 Jan 2011", None, "", "bad"] * 20
+    frame = spark.createDataFrame([(t, str(i)) for i, t in enumerate(texts)], "order_date string, order_id string")
+    assert cleaning._date_texts(frame, ["order_date"]) is not None
+    looked_up = {r.order_id: r._ordered for r in cleaning.prepare_lines(frame).collect()}
+    parsed = {r.order_id: r.t for r in frame.select("order_id", cleaning.parse_when(F.col("order_date")).alias("t")).collect()}
+    assert looked_up == parsed and len(set(parsed.values())) > 9
+    many = spark.range(400).select((F.lit("2011-01-01 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).cast("string").alias("order_date"))
+    assert cleaning._date_texts(many, ["order_date"]) is None
+    assert cleaning.prepare_lines(many).where("_ordered is null").count() == 0
