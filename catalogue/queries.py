@@ -17,7 +17,7 @@ from tallyworks.plans import eda, flat_suite, forecast, measures, rfm, service,
 from tallyworks.session import shared_folder
 from tallyworks.sources import sinks
 from tallyworks.sources.flat import customer_rfm, order_lines, read_flat, read_rejected, star_tables
-from tallyworks.streaming import ingest
+from tallyworks.streaming import events, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -257,6 +257,16 @@ def _rejected_rows(spark: SparkSession, folder: str) -> DataFrame:
     return read_rejected(spark, f"{place}/table").select("reject_reason", *cells)
 
 
+def _late_returns(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders are loaded without their ledger, which comes later and twice; flags and totals by year."""
+    lines, place = order_lines(spark, folder), _scratch(spark, "load")
+    sinks.load_order_lines(raw_order_lines(lines), f"{place}/table", f"{place}/audit", "orders", load_id=folder)
+    for _ in range(2):
+        sinks.apply_returns(spark, f"{place}/table", f"{place}/audit", returns_ledger(lines), "ledger", load_id=folder)
+    totals = read_flat(spark, f"{place}/table").groupBy("year", "is_returned", "order_status")
+    return plain(totals.agg(F.count(F.lit(1)).alias("lines"), F.sum("sales").alias("sales")))
+
+
 def _cleaned_once(spark: SparkSession, folder: str) -> DataFrame:
     """The cleaned lines as a stored table, for reports that scan them more than once."""
     place = _scratch(spark, "load")
@@ -283,6 +293,33 @@ def _stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _stream_event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly counts of events that arrive in three drops, each a restart from the checkpoint.
+
+    The first drops are the halves of the time range; the last one brings, long after, every 97th event.
+    """
+    place = _scratch(spark, "events")
+    found = spark.read.parquet(f"{folder}/events.parquet").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value"
+    )
+    ends = found.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(
+        F.timestamp_micros(F.expr("unix_micros(a) + (unix_micros(b) - unix_micros(a)) div 2"))
+    )
+    early, held_back = F.col("ts") < ends.scalar(), F.col("event_id") % 97 == 0
+    for drop in (early & ~held_back, ~early & ~held_back, held_back):
+        found.where(drop).write.mode("append").parquet(f"{place}/inbox")
+        arriving = events.stream_events(spark, f"{place}/inbox")
+        for query in events.start_event_windows(arriving, f"{place}/table", f"{place}/progress"):
+            query.awaitTermination()
+    return events.read_event_windows(spark, f"{place}/table").select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
+        "event_type",
+        F.col("events").alias("n_events"),
+        F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total"),
+        F.col("late").alias("n_late"),
+    )
+
+
 CLEANING: dict[str, Query] = {
     "clean_order_lines": lambda spark, folder: plain(_cleaned(spark, folder)),
     "clean_stats": lambda spark, folder: cleaning.cleaning_statistics(raw_order_lines(order_lines(spark, folder))),
@@ -306,7 +343,9 @@ CLEANING: dict[str, Query] = {
     "load_and_audit": _load_and_audit,
     "load_twice": _load_twice,
     "rejected_rows": _rejected_rows,
+    "late_returns": _late_returns,
     "stream_ingest": _stream_ingest,
+    "stream_event_windows": _stream_event_windows,
     "postal_codes_padded": _padded,
 }
 

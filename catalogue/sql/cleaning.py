@@ -139,6 +139,11 @@ SQL = {
             FROM clean""",
         KEPT,
     ),
+    "late_returns": query(
+        f"""SELECT year, is_returned, order_status, COUNT(*) AS lines, {double('SUM(sales)')} AS sales
+            FROM clean GROUP BY year, is_returned, order_status""",
+        KEPT,
+    ),
     "rejected_rows": query(
         """SELECT CASE WHEN od IS NULL THEN 'unreadable order date' WHEN product_id % 89 = 0 THEN 'unreadable sales'
                ELSE 'sales not positive' END AS reject_reason,
@@ -159,6 +164,16 @@ SQL = {
             FROM clean GROUP BY year, order_status""",
         KEPT,
     ),
+    "stream_event_windows": """
+WITH timed AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type, value FROM events WHERE ts IS NOT NULL),
+seen AS (SELECT MAX(ts) - INTERVAL 2 HOUR AS watermark FROM timed WHERE event_id % 97 <> 0),
+placed AS (
+  SELECT DATE_TRUNC('hour', ts) AS hour, event_type, CAST(value AS DECIMAL(18,2)) AS value,
+    event_id % 97 = 0 AND DATE_TRUNC('hour', ts) + INTERVAL 1 HOUR <= watermark AS late
+  FROM timed, seen)
+SELECT STRFTIME(hour, '%Y-%m-%d %H:%M') AS window_start, event_type, COUNT(*) FILTER (NOT late) AS n_events,
+  CAST(COALESCE(SUM(value) FILTER (NOT late), 0) AS DOUBLE) AS total, COUNT(*) FILTER (late) AS n_late
+FROM placed GROUP BY ALL""",
     "surrogate_row_ids": query(f"""
       SELECT CAST(order_date AS VARCHAR) AS order_date, order_id, product_id, quantity, {double('sales')} AS sales,
         ROW_NUMBER() OVER (ORDER BY sales.order_date, order_id, product_id, quantity, sales.sales) AS row_id

@@ -198,7 +198,8 @@ def prepare_lines(raw: DataFrame) -> DataFrame:
     if "order_date" not in have:
         raise ValueError("the order date column is missing")
     times = {"_ordered": "order_date"} | ({"_shipped": "ship_date"} if "ship_date" in have else {})
-    lines = _with_times(lines, times).withColumn("_amount", _sales(have))
+    # Generated, so that a filter by the reason reads the amount and does not parse it again.
+    lines = _with_times(lines, times).select("*", F.explode(F.array(_sales(have))).alias("_amount"))
     if "ship_date" not in have:
         lines = lines.withColumn("_shipped", F.lit(None).cast("timestamp_ntz"))
     amount = F.col("_amount")

@@ -36,17 +36,21 @@ class FilterContext:
             if value is None or value in ("all", ""):
                 continue
             if field.name == "start_date":
-                day = F.lit(str(value)).cast("date")
-                found += [F.col("order_date") >= day, F.col("year") >= F.year(day)]  # the table is laid out by year
+                found.append(F.col("order_date") >= F.lit(str(value)).cast("date"))
             elif field.name == "end_date":
-                day = F.lit(str(value)).cast("date")
-                found += [F.col("order_date") <= day, F.col("year") <= F.year(day)]
+                found.append(F.col("order_date") <= F.lit(str(value)).cast("date"))
             else:
                 found.append(F.col(field.name) == F.lit(value))
         return found
 
+    def _years(self) -> list[Column]:
+        """The years a date range lies in: stored tables are laid out by year."""
+        first, last = (F.year(F.lit(str(day)).cast("date")) if day not in (None, "all", "") else None for day in (self.start_date, self.end_date))
+        return [F.col("year") >= first] * (first is not None) + [F.col("year") <= last] * (last is not None)
+
     def apply(self, lines: DataFrame) -> DataFrame:
-        for predicate in self.predicates():
+        """Lines that meet all predicates; a date range also prunes years where there is such a column."""
+        for predicate in self.predicates() + (self._years() if "year" in lines.columns else []):
             lines = lines.filter(predicate)
         return lines
 

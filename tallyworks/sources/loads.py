@@ -20,7 +20,7 @@ TRIES = 100
 
 @dataclasses.dataclass(frozen=True)
 class Load:
-    """What is known of a load. ``replaces`` takes all earlier loads out of the table."""
+    """What is known of a load. ``replaces`` takes all earlier loads out of the table, ``revises`` some years of them."""
 
     name: str
     filename: str
@@ -33,6 +33,7 @@ class Load:
     columns: list[str]
     schema: str  # of the files, as JSON
     replaces: bool = False
+    revises: list[int] = dataclasses.field(default_factory=list)  # years that this load holds for all earlier ones
     number: int = 0  # in the order of commits, from 1
     committed_at: str = ""
 
@@ -66,13 +67,22 @@ def live_loads(spark: SparkSession, table_path: str) -> list[Load]:
     return list(live.values())
 
 
-def commit(spark: SparkSession, table_path: str, load: Load) -> Load:
-    """Put the manifest in place under the next free number. A rename never overwrites, so two writers get two numbers."""
+class NewerLoad(Exception):
+    """Another load was committed since the table was read."""
+
+
+def commit(spark: SparkSession, table_path: str, load: Load, after: int | None = None) -> Load:
+    """Put the manifest in place under the next free number. A rename never overwrites, so two writers get two numbers.
+
+    ``after`` is the last number the load knows of; it is not committed if there is a newer one.
+    """
     files, folder = _files(spark, f"{table_path}/{MANIFESTS}")
     files.mkdirs(folder)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     number = max((known.number for known in all_loads(spark, table_path)), default=0)
     for _ in range(TRIES):
+        if after is not None and number != after:
+            raise NewerLoad(f"{table_path} has load {number}, not {after}")
         number += 1
         now = datetime.datetime.now(datetime.timezone.utc).isoformat()
         load = dataclasses.replace(load, number=number, committed_at=now)
@@ -94,7 +104,12 @@ def read_loads(spark: SparkSession, table_path: str, outcome: str) -> DataFrame
     fields = {field.name: field for load in live for field in StructType.fromJson(json.loads(load.schema)).fields}
     schema = StructType(list(fields.values())).add("load", "string")
     paths = [f"{table_path}/load={load.name}" for load in live]
-    return spark.read.schema(schema).option("basePath", table_path).parquet(*paths).where(F.col("outcome") == outcome)
+    rows = spark.read.schema(schema).option("basePath", table_path).parquet(*paths).where(F.col("outcome") == outcome)
+    for load in live if outcome == KEPT else []:
+        years = sorted({year for newer in live if newer.number > load.number for year in newer.revises})
+        if years:  # on partition columns alone, so these folders are not read
+            rows = rows.where((F.col("load") != load.name) | F.col("year").isNull() | ~F.col("year").isin(years))
+    return rows
 
 
 def remove_stale(spark: SparkSession, table_path: str) -> list[str]:

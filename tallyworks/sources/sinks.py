@@ -16,10 +16,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyworks.functions.expr import line_flags
 from tallyworks.operators import cleaning
 from tallyworks.plans.star import StarTables
 from tallyworks.sources import loads, schema
-from tallyworks.sources.flat import write_flat  # noqa: F401  one of the writers
+from tallyworks.sources.flat import read_flat, write_flat  # noqa: F401  write_flat is one of the writers
 from tallyworks.sources.loads import Load
 
 
@@ -119,6 +120,41 @@ def load_order_lines(
     }
 
 
+def apply_returns(
+    spark: SparkSession, table_path: str, audit_path: str, returned_orders: DataFrame, filename: str, load_id: str | None = None
+) -> dict:
+    """Flag the lines of a table of loads whose orders a later ledger (order_id) names.
+
+    Only the years with lines to flag are written again, into a load of their own that holds these years from its
+    commit on; the files of other years stay. The same ledger flags once, and one without such lines changes nothing.
+    A load that is committed meanwhile makes it start over.
+    """
+    name = loads.load_name(f"returns\n{filename}\n{load_id or fingerprint(returned_orders)}")
+    ids = returned_orders.select(F.col("order_id").cast("string").alias("order_id")).where("order_id is not null").distinct()
+    while True:
+        held = loads.all_loads(spark, table_path)
+        known = next((load for load in held if load.name == name), None)
+        if known is None:
+            lines = read_flat(spark, table_path)
+            late = lines.where("not is_returned").join(ids, "order_id", "left_semi")
+            years = {row[0]: row[1] for row in late.groupBy("year").agg(F.count(F.lit(1))).collect()}
+            before = lines.where(F.col("year").isin(list(years)))
+            flagged = cleaning.flag_returned(before.withColumn("_was", F.col("is_returned")), ids)
+            flagged = flagged.withColumn("is_returned", F.col("is_returned") | F.col("_was")).drop("_was")
+            rows = flagged.withColumns(line_flags()).select(*lines.columns).withColumn("outcome", F.lit(loads.KEPT))
+            path = f"{table_path}/load={name}"
+            rows.hint("rebalance", "outcome", "year").write.mode("overwrite").partitionBy("outcome", "year").parquet(path)
+            flips = sum(years.values())
+            new = Load(name, filename, 0, flips, flips, {}, {}, [], ids.columns, rows.schema.json(), revises=sorted(years))
+            try:
+                known = loads.commit(spark, table_path, new, after=max((load.number for load in held), default=0))
+            except loads.NewerLoad:
+                continue
+        place = f"{audit_path}/load={known.number:09d}-{loads.load_name(table_path)}"
+        record_load(spark, place, filename, 0, known.total_rows, known.valid_rows, uploaded_at=known.committed_at)
+        return {"filename": filename, "flagged_lines": known.valid_rows, "years": known.revises, "status": "SUCCESS"}
+
+
 def record_load(
     spark: SparkSession,
     path: str,

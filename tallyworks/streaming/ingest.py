@@ -13,9 +13,19 @@ from tallyworks.sources.loads import KEPT
 from tallyworks.sources.sinks import outcome_counts, record_load, stage_lines
 
 
-def stream_order_files(spark: SparkSession, folder: str, schema: StructType | str, encoding: str = "utf-8") -> DataFrame:
-    """Raw order files of a folder as a stream. A stream's columns are given, never guessed."""
+def stream_order_files(
+    spark: SparkSession, folder: str, schema: StructType | str, encoding: str = "utf-8", once_within: str | None = None
+) -> DataFrame:
+    """Raw order files of a folder as a stream. A stream's columns are given, never guessed.
+
+    With ``once_within`` (such as ``7 days``) a row that is equal in every cell to one of a file changed less than
+    that before is dropped, whichever file it comes in; the state store forgets rows as files get newer.
+    """
     raw = spark.readStream.schema(schema).option("header", True).option("encoding", encoding).option("escape", '"').csv(folder)
+    if once_within:
+        cells = raw.columns
+        timed = raw.withColumn("_changed", F.col("_metadata.file_modification_time")).withWatermark("_changed", once_within)
+        raw = timed.dropDuplicatesWithinWatermark(cells).drop("_changed")
     return present_cells(raw)
 
 

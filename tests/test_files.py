@@ -1,5 +1,9 @@
+import datetime
 import json
+import os
+import pathlib
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +14,7 @@ from tallyworks.plans import rfm, service, star, star_suite
 from tallyworks.sources import files, loads, sinks
 from tallyworks.sources.flat import read_flat, read_rejected
 from tallyworks.sources.views import register_views
-from tallyworks.streaming import ingest
+from tallyworks.streaming import events, ingest
 from tests.helpers import make_lines, rows_of
 
 HEAD = "Order ID,Order Date,Ship Date,Customer Name,Product Name,Sales,Quantity,Discount,Profit\n"
@@ -288,3 +292,100 @@ def test_dates_of_repeating_and_of_distinct_texts(spark):
     many = spark.range(400).select((F.lit("2011-01-01 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).cast("string").alias("order_date"))
     assert cleaning._date_texts(many, ["order_date"]) is None
     assert cleaning.prepare_lines(many).where("_ordered is null").count() == 0
+
+
+def files_of(path):
+    return {str(p): p.stat().st_mtime_ns for p in pathlib.Path(path).rglob("part-*")}
+
+
+def test_a_ledger_that_comes_late_flags_once(spark, folder, monkeypatch):
+    table, audit = f"{folder}/table", f"{folder}/audit"
+    one = files.read_orders_csv(spark, put_lines(folder, "one.csv", [("a", "2011-01-03", 5), ("b", "2012-01-03", 6), ("c", "bad", 1)]))
+    two = files.read_orders_csv(spark, put_lines(folder, "two.csv", [("a", "2011-02-03", 7), ("d", "2013-02-03", 8)]))
+    sinks.load_order_lines(one, table, audit, "one.csv")
+    sinks.load_order_lines(two, table, audit, "two.csv", replace=False)
+    before = files_of(table)
+    ledger = spark.createDataFrame([("a",), ("a",), (None,), ("zz",)], "order_id string")
+    for _ in range(2):
+        told = sinks.apply_returns(spark, table, audit, ledger, "returns.csv")
+        assert (told["flagged_lines"], told["years"]) == (2, [2011])
+        lines = {(r.order_id, float(r.sales)): (r.is_returned, r.order_status) for r in read_flat(spark, table).collect()}
+        assert lines == {("a", 5): (True, "Returned"), ("a", 7): (True, "Returned"), ("b", 6): (False, "Completed"), ("d", 8): (False, "Completed")}
+        after = files_of(table)
+        assert before.items() <= after.items() and all("year=2011" in p for p in after.keys() - before.keys())
+        assert [r.filename for r in sinks.latest_loads(spark, audit).collect()] == ["returns.csv", "two.csv", "one.csv"]
+    assert read_rejected(spark, table).count() == 1
+    assert sinks.apply_returns(spark, table, audit, ledger.where("order_id = 'zz'"), "none.csv")["years"] == []
+    assert read_flat(spark, table).count() == 4
+
+    late = spark.createDataFrame([("b",)], "order_id string")
+    other = files.read_orders_csv(spark, put_lines(folder, "three.csv", [("e", "2012-05-03", 9)]))
+    commit, tried = loads.commit, []
+
+    def with_a_load_between(spark, path, load, after=None):
+        if after is not None and not tried:
+            tried.append(sinks.load_order_lines(other, table, audit, "three.csv", replace=False))
+        return commit(spark, path, load, after)
+
+    monkeypatch.setattr(loads, "commit", with_a_load_between)
+    sinks.apply_returns(spark, table, audit, late, "late.csv")
+    assert {r.order_id: r.is_returned for r in read_flat(spark, table).collect()} == {"a": True, "b": True, "d": False, "e": False}
+
+
+def test_rows_that_are_sent_twice_are_stored_once(spark, folder):
+    inbox, table, audit, marks = (f"{folder}/{n}" for n in ("inbox", "table", "audit", "marks"))
+    pathlib.Path(inbox).mkdir()
+    schema = ",".join(f"`{c}` string" for c in HEAD.strip().split(","))
+
+    def run():
+        arriving = ingest.stream_order_files(spark, inbox, schema, once_within="7 days")
+        ingest.start_ingest(arriving, table, audit, marks).awaitTermination()
+        return sorted((r.order_id, float(r.sales)) for r in ingest.read_ingested(spark, table).collect())
+
+    row = "a,2011-01-03,,Ann,Pen,5,1,0,1\n"
+    put(f"{inbox}/one.csv", HEAD + row + row)
+    assert run() == [("a", 5)]
+    put(f"{inbox}/two.csv", HEAD + row + "a,2011-01-03,,Ann,Pen,6,1,0,1\nb,,,,,,,,\n")
+    assert run() == [("a", 5), ("a", 6)]
+    month = 30 * 86400
+    newer = put(f"{inbox}/three.csv", HEAD + "c,2011-01-03,,Ann,Pen,5,1,0,1\n")
+    os.utime(newer, (time.time() + month, time.time() + month))
+    assert run() == [("a", 5), ("a", 6), ("c", 5)]
+    newest = put(f"{inbox}/four.csv", HEAD + row)  # longer than the delay after the first
+    os.utime(newest, (time.time() + month + 60, time.time() + month + 60))
+    assert run() == [("a", 5), ("a", 5), ("a", 6), ("c", 5)]
+
+
+def test_event_windows(spark, folder):
+    """Late events are counted apart; a restart goes on; a batch that is tried again counts once."""
+    place = [f"{folder}/{n}" for n in ("inbox", "table", "marks")]
+    at = lambda h, m=0, d=1: datetime.datetime(2024, 1, d, h, m)
+
+    def drop(rows):
+        frame = spark.createDataFrame([(i, t, 1, k, v) for i, (t, k, v) in enumerate(rows)], events.EVENTS)
+        frame.coalesce(1).write.mode("append").parquet(place[0])
+        for query in events.start_event_windows(events.stream_events(spark, place[0]), place[1], place[2]):
+            query.awaitTermination()
+        return state()
+
+    def state():
+        rows = events.read_event_windows(spark, place[1]).collect()
+        return {(r.window_start.hour, r.event_type): (r.events, None if r.total is None else float(r.total), r.late) for r in rows}
+
+    first = drop([(at(1, 5), "a", 1.5), (at(1, 55), "a", 2.25), (at(1, 0), None, None), (None, "a", 9.0), (at(4), "b", 1.0)])
+    assert first == {(1, "a"): (2, 3.75, 0), (1, None): (1, None, 0), (4, "b"): (1, 1.0, 0)}
+    # The newest event was at 4:00, so windows that ended by 2:00 are closed.
+    second = drop([(at(1, 30), "a", 5.0), (at(1, 40), "c", 5.0), (at(2, 30), "a", 1.0), (at(4, 59), "b", 1.0)])
+    assert second == first | {(1, "a"): (2, 3.75, 1), (1, "c"): (0, None, 1), (2, "a"): (1, 1.0, 0), (4, "b"): (2, 2.0, 0)}
+    for kind in ("windows", "arrivals"):  # as if the last batch had died before it was noted
+        last = max(pathlib.Path(place[2], kind, "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+        last.unlink()
+        last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+    assert drop([]) == second
+
+
+def test_event_windows_of_nothing(spark, folder):
+    spark.createDataFrame([], events.EVENTS).write.parquet(f"{folder}/inbox")
+    for query in events.start_event_windows(events.stream_events(spark, f"{folder}/inbox"), f"{folder}/t", f"{folder}/m"):
+        query.awaitTermination()
+    assert events.read_event_windows(spark, f"{folder}/t").count() == 0
