@@ -3,9 +3,10 @@
 A page becomes a tree of its block elements; inline elements only give text and links. Menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts and comments that say so by tag, role, class or id
 are left out. Every node has a density: its characters per tag, scaled down by the share of characters
-and tags that are links. The node whose children's densities have the highest sum holds the main text.
-Blocks beside it in the same article are added if they are as dense as the least dense node on the way
-from the body to it, or are headings.
+and tags that are links. The node whose children's densities have the highest sum holds the main text. The
+least dense node on the way from the body to it sets the threshold: every node that is as dense adds the node with
+the highest sum below it. Where the text stands in an article, that holds within articles as dense as the
+threshold, and their headings are added; inside an article a class or id has to say more to have an element left out.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 
 from tallyworks.llm.shared import prepare
 
+# No part gives back what it took, and a tag is only looked for where a ">" is ahead, so that broken markup is read
+# in one go.
 _TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>)",
+    r"<!--(?:(?!--!?>).)*+(?:--!?>|\Z)|<[!?][^>]*+>"
+    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -53,9 +57,22 @@ LABELS = {
     "popup", "privacy", "promo", "promotion", "promoted", "recommended", "related", "replies", "respond", "search", "share", "sharing",
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "toc", "toolbar", "widget",
 }
+#: What an article may be about: inside one, an id of such a word only names a place in the text.
+TOPICS = {
+    "advertising", "alert", "consent", "cookie", "cookies", "copyright", "disclaimer", "legal", "login", "menu", "navigation", "newsletter",
+    "notice", "notices", "notification", "overlay", "privacy", "promotion", "replies", "search", "sharing", "social", "sponsors", "subscription",
+}
+#: Words that only say what an element looks like or where it is, and leave a label what it is.
+SHAPES = {
+    "area", "banner", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "footer", "form",
+    "group", "header", "icon", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "main", "outer", "panel", "post", "posts",
+    "right", "row", "section", "slot", "text", "title", "top", "unit", "wrap", "wrapper",
+}
 HEADS = {"header", "banner", "masthead"}  # dropped unless they stand inside the article
 ARTICLES = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that a paragraph ends with; an open one of these keeps a paragraph outside it open.
+P_ENDS = {"td", "th", "li", "div", "article", "section", "blockquote", "body"}
 #: A start tag closes an open element of these names, up to the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -103,16 +120,44 @@ def _drops(tag: str, rest: str, in_article: bool) -> bool:
         return True
     if tag in ARTICLES and "comment" not in values.get("class", ""):
         return False
-    parts = {p.lower() for p in _NAME_PART.findall(f"{values.get('class', '')} {values.get('id', '')}")}
-    return not parts.isdisjoint(LABELS) or not in_article and not parts.isdisjoint(HEADS)
+    names = [*values.get("class", "").split(), values.get("id", "")]
+    parts = [{p.lower() for p in _NAME_PART.findall(name)} for name in names]
+    if not in_article:
+        return any(not p.isdisjoint(LABELS) or not p.isdisjoint(HEADS) for p in parts)
+    # Inside an article all of a name has to be such words, and an id more than a topic.
+    said = [p - {x for x in p if x.isdigit()} for p in parts]
+    told = [p <= LABELS | SHAPES and not p.isdisjoint(LABELS) for p in said]
+    return any(told[:-1]) or told[-1] and not said[-1] <= TOPICS
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that no tag is looked for element by element."""
+
+    def __init__(self):
+        self.stack, self.places = [0], defaultdict(list)
+
+    def push(self, node: int, tag: str) -> None:
+        self.places[tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, place: int, nodes: list[Node]) -> None:
+        for node in reversed(self.stack[place:]):
+            self.places[nodes[node].tag].pop()
+        del self.stack[place:]
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The innermost place of any of the tags, 0 if none is open."""
+        return max((self.places[tag][-1] for tag in tags if self.places.get(tag)), default=0)
 
 
 def parse(source: str) -> Page:
     """Blocks of a page in order, each with the node it stands in. Unclosed and misnested tags are taken as they come."""
-    page = Page([Node("body", -1)])
-    nodes, stack, links = page.nodes, [0], 0
+    page, opened = Page([Node("body", -1)]), _Open()
+    nodes, stack, links = page.nodes, opened.stack, 0
     text: list[str] = []
     linked = 0
+    last_tag_end = source.rfind(">")
+    endless: set[str] = set()  # tags that nothing ahead closes
 
     def flush() -> None:
         nonlocal linked
@@ -134,19 +179,25 @@ def parse(source: str) -> Page:
             if links:
                 linked += len(" ".join(piece.split()))
 
-    def close(names: set[str], until: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[i]].tag
-            if tag in names:
-                flush()
-                del stack[i:]
-                return
-            if tag in until:
-                return
+    def close(names: Iterable[str], until: Iterable[str]) -> None:
+        place = opened.last(names)
+        if place > opened.last(until):
+            flush()
+            opened.cut(place, nodes)
+
+    def past(tag: str, end: str, at: int, missing: int) -> int:
+        """Where an element's end tag ends, or ``missing``."""
+        if tag in endless:
+            return missing
+        stop = re.compile(rf"</{tag}{end}", re.IGNORECASE).search(source, at)
+        if stop is None:
+            endless.add(tag)
+            return missing
+        return stop.end()
 
     at = 0
     while True:
-        m = _TOKEN.search(source, at)
+        m = _TOKEN.search(source, at) if at <= last_tag_end or source.find("<!--", at) >= 0 else None
         if m is None:
             add(source[at:])
             break
@@ -159,12 +210,11 @@ def parse(source: str) -> Page:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag not in INLINE and tag not in VOID:
-                close({tag}, set())
+                close((tag,), ())
             continue
         if tag in RAW:
             flush()
-            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, at)
-            at = stop.end() if stop else len(source)
+            at = past(tag, r"(?=[\s/>])[^>]*+>", at, len(source))
             continue
         if tag in ("br", "hr"):
             text.append(" ")
@@ -182,20 +232,17 @@ def parse(source: str) -> Page:
         if tag in CLOSES:
             close(*CLOSES[tag])
         elif tag not in INLINE:
-            close({"p"}, {"td", "th", "li", "div", "article", "section", "blockquote", "body"})
-        if tag in ARTICLES:  # an unclosed menu or header doesn't swallow the article
-            for i, n in enumerate(stack):
-                if nodes[n].dropped and nodes[n].tag in ("nav", "header", "head", "form"):
-                    del stack[i:]
-                    break
+            close(("p",), P_ENDS)
+        if tag in ARTICLES and nodes[stack[-1]].dropped:  # an unclosed menu or header doesn't swallow the article
+            around = [i for name in ("nav", "header", "head", "form") for i in opened.places[name] if nodes[stack[i]].dropped]
+            if around:
+                opened.cut(min(around), nodes)
         up = nodes[stack[-1]]
-        inside = any(nodes[n].tag in ARTICLES for n in stack)
-        nodes.append(Node(tag, stack[-1], up.dropped or _drops(tag, m["rest"], inside)))
-        stack.append(len(nodes) - 1)
-        if tag in INLINE:  # a labelled span is a block of its own, closed at once if its end can't be found
-            stop = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(source, at)
-            at = stop.end() if stop else at
-            stack.pop()
+        nodes.append(Node(tag, stack[-1], up.dropped or _drops(tag, m["rest"], opened.last(ARTICLES) > 0)))
+        if tag in INLINE:  # a labelled span is a block of its own, left out at once if its end can be found
+            at = past(tag, r"\s*>", at, at)
+        else:
+            opened.push(len(nodes) - 1, tag)
     flush()
     return page
 
@@ -230,6 +277,24 @@ def _density(chars: int, link_chars: int, tags: int, link_tags: int, share: floa
     return chars / tags * max(0.0, math.log(max(1.0, chars / links * tags / link_tags))) / max(base, 0.05)
 
 
+def _below(nodes: list[Node]) -> list[int]:
+    """For every node the one with the highest sum in its subtree, the first of equals."""
+    best = list(range(len(nodes)))
+    for i in range(len(nodes) - 1, 0, -1):
+        up, mine = nodes[i].parent, best[i]
+        if not nodes[i].dropped and (nodes[mine].total, -mine) > (nodes[best[up]].total, -best[up]):
+            best[up] = mine
+    return best
+
+
+def _marked(nodes: list[Node], roots: set[int]) -> list[bool]:
+    """Which nodes are in ``roots`` or below one of them."""
+    marks = []
+    for i, node in enumerate(nodes):
+        marks.append(i in roots or node.parent >= 0 and marks[node.parent])
+    return marks
+
+
 def extract(source: str) -> str:
     """The main text: white space inside a block is one space, and so is what joins blocks."""
     page = parse(source)
@@ -237,23 +302,23 @@ def extract(source: str) -> str:
     if not page.blocks:
         return ""
     _measure(nodes)
-    best = max(range(len(nodes)), key=lambda i: (not nodes[i].dropped, nodes[i].total, -i))
+    below = _below(nodes)
+    best = below[0]
     path = [best]
     while nodes[path[-1]].parent >= 0:
         path.append(nodes[path[-1]].parent)
     least = min(nodes[i].density for i in path)
-    article = next((i for i in path if nodes[i].tag in ARTICLES), best)
-
-    def under(node: int, top: int) -> bool:
-        while node > top:
-            node = nodes[node].parent
-        return node == top
-
-    kept = [
-        text for node, text in page.blocks
-        if under(node, best) or under(node, article) and (nodes[node].density >= least or nodes[node].tag in HEADINGS)
-    ]
-    return " ".join(kept)
+    dense = [not node.dropped and node.density >= least for node in nodes]
+    text = _marked(nodes, {below[i] for i in range(len(nodes)) if dense[i]})
+    article = next((i for i in path if nodes[i].tag in ARTICLES), None)
+    if article is None:
+        return " ".join(block for node, block in page.blocks if text[node])
+    # Articles beside it, but not around it.
+    others = {i for i, node in enumerate(nodes) if node.tag == nodes[article].tag and dense[i] and i not in path}
+    inside = _marked(nodes, {article} | others)
+    return " ".join(
+        block for node, block in page.blocks if inside[node] and (text[node] or nodes[node].tag in HEADINGS)
+    )
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,13 @@
 """Chat formatting, archives, page text and word hashes: round trips and odd input."""
 
+import dataclasses
 import gzip
 import hashlib
+import html
+import math
 import random
+import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -10,7 +15,7 @@ from hypothesis import strategies as st
 
 from tallyworks.llm import warc, words
 from tallyworks.llm.chat import as_replies, chosen_paths, conversation_digests, format_conversations, format_turns, read_turns, unescape
-from tallyworks.llm.html_text import extract, main_texts
+from tallyworks.llm.html_text import extract, main_texts, parse
 
 marks = st.lists(st.sampled_from(["<s>", "</s>", "[INST]", "[/INST]", "\\", "\n", "l", "b", " ", "<", "[", "é", "\\l"]), max_size=12)
 
@@ -161,3 +166,91 @@ def test_word_hashes_of_long_texts():
     order = words.run_hashes(words.word_hashes(b"a b c d e"), 5), words.run_hashes(words.word_hashes(b"a b d c e"), 5)
     assert order[0][0] != order[1][0]
     assert len(np.unique(words.word_hashes(" ".join(map(str, range(50_000))).encode()))) == 50_000
+
+
+def words_of(n, tag="p", count=3):
+    return "".join(f"<{tag}>{' '.join(f'word{n}{i}{j}' for j in range(12))}.</{tag}>" for i in range(count))
+
+
+def plain(source):
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", source)).split())
+
+
+def test_main_text_in_several_places():
+    one, two, menu = words_of(1), words_of(2), "<nav><ul><li><a href=a>Menu one</a></ul></nav>"
+    for around in ("{}", f"{menu}{{}}", f"<div id=page>{menu}<div class=main-column>{{}}</div></div>"):
+        both = f"{plain(one)} {plain(two)}"
+        assert extract(around.format(f"<main><article>{one}</article><article>{two}</article></main>")) == both
+        assert extract(around.format(f"<div>{one}</div><div>{two}</div>")) == both
+        assert extract(around.format(f"<section>{one}</section><div><div>{two}</div></div>")) == both
+        assert extract(around.format(f"<div>{one}{two}</div>")) == both
+    links = "<ul>" + "<li><a href=x>Another story to read</a></li>" * 8 + "</ul>"
+    teaser = "<article><a href=x>Read on</a></article>"
+    assert extract(f"<main><article>{one}</article>{teaser * 3}</main><div>{links}</div>") == plain(one)
+
+
+def test_main_text_keeps_what_is_about_a_label():
+    for part in (
+        "<section id=privacy><h2>Privacy</h2><p>What the law says.</p></section>", "<p class=legal-history>It began long ago.</p>",
+        "<section id='cookie'><p>How to bake one, with much butter.</p></section>", "<div class='search-algorithms'><p>Trees and tables.</p></div>",
+    ):
+        assert extract(f"<body><article><h1>Title</h1>{words_of(1)}{part}</article></body>") == f"Title {plain(words_of(1))} {plain(part)}"
+    for part in (
+        "<div class=ad-box>Buy now</div>", "<section id=comments><p>I liked it very much indeed</p></section>", "<p class='share-links'>Tell all</p>",
+        "<div class='cookie-notice'>We use cookies</div>", "<div class=notice>You have two articles left</div>", "<div id=related-posts>More</div>",
+    ):
+        assert extract(f"<body><article><h1>Title</h1>{words_of(1)}{part}</article></body>") == f"Title {plain(words_of(1))}"
+
+
+def test_broken_markup_is_read_in_one_go():
+    for part, end in (("<a", ""), ("<a", ">"), ("<a '", ""), ('<a href="', ">"), ("<!--", ""), ("</a", ""), ("<!", ""), ("<span class=ad-box>", ""), ("<article>", "")):
+        began = time.monotonic()
+        extract(part * (1_000_000 // len(part)) + end)
+        assert time.monotonic() - began < 5, part
+    assert extract("<p>one</p><!-- <p>no</p> --!><p>two</p><!-- open <p>three</p>") == "one two"
+
+
+def slow_text(page):
+    """The choice of text from its definition, node by node."""
+    nodes = page.nodes
+    kids = [[j for j, n in enumerate(nodes) if n.parent == i and not n.dropped] for i in range(len(nodes))]
+    own = [[(t, n) for n, t in page.blocks if n == i] for i in range(len(nodes))]
+    total = lambda i, what: what(i) + sum(total(j, what) for j in kids[i])
+    chars = lambda i: total(i, lambda k: sum(len(t) for t, _ in own[k]))
+    links = lambda i: total(i, lambda k: seen[k].link_chars)
+    tags = lambda i: total(i, lambda k: seen[k].tags) + total(i, lambda k: 1) - 1
+    link_tags = lambda i: total(i, lambda k: seen[k].link_tags)
+    seen = [dataclasses.replace(n) for n in nodes]
+    share = links(0) / chars(0) if chars(0) else 0
+
+    def density(c, lc, t, lt):
+        if not c:
+            return 0.0
+        t, lc1, lt = max(1, t), max(1, lc), max(1, lt)
+        base = math.log(math.log(c / max(1, c - lc) * lc1 + share * c + math.e))
+        return c / t * max(0.0, math.log(max(1.0, c / lc1 * t / lt))) / max(base, 0.05)
+
+    dense = [density(chars(i), links(i), tags(i), link_tags(i)) for i in range(len(nodes))]
+    mine = [sum(len(t) for t, _ in own[i]) for i in range(len(nodes))]
+    sums = [
+        sum(dense[j] for j in kids[i]) + (density(mine[i], min(links(i), mine[i]), 1, 1 if links(i) else 0) if mine[i] else 0) for i in range(len(nodes))
+    ]
+    under = lambda i: [i] + [k for j in kids[i] for k in under(j)]
+    top = lambda i: max(under(i), key=lambda k: (round(sums[k], 6), -k))
+    path = [top(0)]
+    while path[-1]:
+        path.append(nodes[path[-1]].parent)
+    least = min(dense[i] for i in path)
+    kept = {k for i in under(0) if dense[i] >= least * (1 - 1e-9) for k in under(top(i))}
+    return " ".join(t for n, t in page.blocks if n in kept)
+
+
+@given(st.recursive(
+    st.lists(st.sampled_from(["word ", "some longer text here ", "<a href=x>link text</a> ", "x ", "<b>bold</b> "]), max_size=4).map("".join),
+    lambda inner: st.tuples(st.sampled_from(["div", "p", "section", "ul", "li"]), st.lists(inner, min_size=1, max_size=4)).map(
+        lambda x: f"<{x[0]}>{''.join(x[1])}</{x[0]}>"), max_leaves=25,
+))
+@settings(max_examples=150, deadline=None)
+def test_text_choice_from_its_definition(source):
+    page = parse(source)
+    assert extract(source) == (slow_text(page) if page.blocks else "")
