@@ -3,7 +3,8 @@
 Archives are written by Spark's own text sink, so they can lie in any store it reaches. Each row is one
 record as a gzip member; the sink's line separator is an empty gzip member, so every file is a valid
 multi-member ``.warc.gz`` stream. The reader takes whole files, checks every member, record length and
-payload digest, and after a failure searches on for the next member or version line that passes.
+payload digest, and after a failure searches on for the next member or version line that passes, in the file and
+inside a member. Of a member that is cut or fails its check, the responses whose payloads match their digests are kept.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ class ArchiveSettings:
     revisit_bytes: int = 1000  # shorter payloads are always written in full
     date: str = "2024-01-01T00:00:00Z"  # of all records, so that reruns write the same bytes
     records_per_file: int = 2000
+    bytes_per_file: int = 1 << 26  # and no more than one record beyond; a reader's task holds a file
 
 
 @dataclass(frozen=True)
@@ -78,21 +80,26 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _members(date: str):
+def _members(settings: ArchiveSettings):
+    """Records as members, with the number of the file of this task that they go to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = 0
         for batch in batches:
-            out, held = [], 0
+            out, parts, held = [], [], 0
             for page_id, url, html, refers_to, revisit in zip(
                 batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["payload"],
                 batch["refers_to"].to_pylist(), batch["revisit"].to_pylist(),
             ):
-                record = make_record(page_id, url, html.as_py() or b"", refers_to, revisit, date)
+                record = make_record(page_id, url, html.as_py() or b"", refers_to, revisit, settings.date)
                 out.append(gzip.compress(record, 6, mtime=0))
+                parts.append(filled // settings.bytes_per_file)
+                filled += len(out[-1])
                 held += len(out[-1])
                 if held > 1 << 24:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(parts, pa.int64())], ["value", "part"])
+                    out, parts, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(parts, pa.int64())], ["value", "part"])
 
     return run
 
@@ -119,11 +126,12 @@ def write_archives(pages: DataFrame, path: str, settings: ArchiveSettings = Arch
     joined = rows.join(largest, (F.col("digest") == F.col("same")) & long, "left")
     revisit = F.coalesce(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to")), F.lit(False))
     members = joined.select("page_id", "url", "payload", "refers_to", revisit.alias("revisit")).mapInArrow(
-        _members(settings.date), "value binary"
+        _members(settings), "value binary, part long"
     )
     (
-        members.select(F.col("value").cast("string").alias("value"))
-        .write.option("encoding", "ISO-8859-1")
+        members.select(F.col("value").cast("string").alias("value"), "part")
+        .write.partitionBy("part")
+        .option("encoding", "ISO-8859-1")
         .option("lineSep", EMPTY_MEMBER.decode("latin-1"))
         .option("maxRecordsPerFile", settings.records_per_file)
         .text(path)
@@ -135,84 +143,140 @@ def _fields(lines: list[bytes]) -> dict[str, str]:
     return {name.strip().decode("latin-1").lower(): value.strip().decode("utf-8", "replace") for name, value in pairs}
 
 
-def _parse(data: memoryview | bytes, at: int) -> tuple[Record, int] | None:
+class _Blank:
+    """The next blank line in a text; one that was found serves every place before it."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, -1
+
+    def after(self, at: int) -> int:
+        if self.found is not None and self.found < at:
+            place = self.data.find(b"\r\n\r\n", at)
+            self.found = place if place >= 0 else None
+        return -1 if self.found is None else self.found
+
+
+def _parse(data: bytes, at: int, blank: _Blank) -> tuple[Record, int] | None:
     """The record that begins at ``at`` and where it ends, or None if any check fails."""
-    head = bytes(data[at : at + _STEP])
-    split = head.find(b"\r\n\r\n")
-    if not head.startswith(VERSION) or split < 0:
+    if not data.startswith(VERSION, at):
+        return None
+    split = blank.after(at)
+    if split < 0:
         return None
-    headers = _fields(head[:split].split(b"\r\n")[1:])
+    headers = _fields(data[at:split].split(b"\r\n")[1:])
     if not headers.get("content-length", "").isdecimal():
         return None
-    start, size = at + split + 4, int(headers["content-length"])
-    block = bytes(data[start : start + size])
-    if len(block) < size or bytes(data[start + size : start + size + 4]) != b"\r\n\r\n":
+    start, size = split + 4, int(headers["content-length"])
+    if start + size > len(data) or data[start + size : start + size + 4] != b"\r\n\r\n":
         return None
-    http, _, payload = block.partition(b"\r\n\r\n")
+    http, _, payload = data[start : start + size].partition(b"\r\n\r\n")
     record = Record(headers, _fields(http.split(b"\r\n")[1:]), payload)
     if headers.get("warc-type") == "response" and headers.get("warc-payload-digest") != digest_label(payload):
         return None
     return record, start + size + 4
 
 
-def _inflate(data: memoryview, at: int) -> tuple[bytes, int] | None:
-    """The gzip member that begins at ``at``, unpacked, and where it ends; None if it is damaged or cut."""
+def _inflate(data: memoryview, at: int) -> tuple[bytes, int | None]:
+    """What can be unpacked of the gzip member at ``at``, and where it ends; None if it is cut or fails a check."""
     unpack, out, size = zlib.decompressobj(31), [], len(data)
-    try:
-        while at < size:
-            piece = data[at : at + _STEP]
+    while at < size:
+        piece, before = data[at : at + _STEP], unpack.copy()
+        try:
             out.append(unpack.decompress(piece))
-            at += len(piece)
-            if unpack.eof:
-                return b"".join(out), at - len(unpack.unused_data)
-    except zlib.error:
-        pass
-    return None
-
-
-def _unit(data: memoryview, at: int) -> tuple[list[Record], int] | None:
-    """What begins at ``at``, a member or a plain record, if all of it is sound."""
-    if bytes(data[at : at + 3]) == GZIP_MAGIC:
-        member = _inflate(data, at)
-        if member is None:
-            return None
-        plain, end = member
-        records, place = [], 0
-        while place < len(plain):
-            found = _parse(plain, place)
-            if found is None:
-                return None
-            records.append(found[0])
-            place = found[1]
-        return records, end
-    found = _parse(data, at)
-    return None if found is None else ([found[0]], found[1])
-
-
-def salvage(content: bytes) -> Iterator[Record | tuple[int, int]]:
-    """Records of an archive in order, and (offset, length) of every byte range that had to be left out."""
-    data, at, bad = memoryview(content), 0, None
-    starts = re.compile(re.escape(GZIP_MAGIC) + b"|" + re.escape(VERSION))
-    while at < len(content):
-        unit = _unit(data, at)
-        if unit is not None:
+        except zlib.error:
+            return b"".join([*out, *_up_to_the_failure(before, piece)]), None
+        at += len(piece)
+        if unpack.eof:
+            return b"".join(out), at - len(unpack.unused_data)
+    return b"".join(out), None
+
+
+def _up_to_the_failure(unpack: zlib._Decompress, piece: memoryview) -> Iterator[bytes]:
+    """A piece that fails gives nothing; its halves are tried until the failing byte is alone."""
+    while len(piece) > 1:
+        half, before = piece[: len(piece) // 2], unpack.copy()
+        try:
+            yield unpack.decompress(half)
+            piece = piece[len(half) :]
+        except zlib.error:
+            unpack, piece = before, half
+
+
+@dataclass(frozen=True)
+class Gap:
+    """Bytes that were left out: of the file, or, where ``inside`` is set, of the unpacked member at ``offset``."""
+
+    offset: int
+    size: int
+    inside: int | None = None
+
+
+_VERSION_LINE = re.compile(re.escape(VERSION))
+_START = re.compile(re.escape(GZIP_MAGIC) + b"|" + re.escape(VERSION))
+
+
+def _records(plain: bytes, sound: bool) -> Iterator[Record | tuple[int, int]]:
+    """Records of an unpacked member, and (offset, length) of what is none; of an unsound one only proven responses."""
+    blank, at, bad = _Blank(plain), 0, None
+    while at < len(plain):
+        found = _parse(plain, at, blank)
+        if found is not None and (sound or found[0].headers.get("warc-type") == "response"):
             if bad is not None:
                 yield bad, at - bad
                 bad = None
-            yield from unit[0]
-            at = unit[1]
+            yield found[0]
+            at = found[1]
+            continue
+        if bad is None:
+            bad = at
+        following = _VERSION_LINE.search(plain, at + 1)
+        at = following.start() if following else len(plain)
+    if bad is not None:
+        yield bad, len(plain) - bad
+
+
+def salvage(content: bytes) -> Iterator[Record | Gap]:
+    """Records of an archive in order, and the gaps of bytes that had to be left out.
+
+    A sound member is passed over whole, with gaps inside where a record is not. After anything else the search goes on
+    at the next byte that could begin a member or a record.
+    """
+    data, blank, at, bad = memoryview(content), _Blank(content), 0, None
+    while at < len(content):
+        found: list[Record | Gap] = []
+        end = None
+        if content.startswith(GZIP_MAGIC, at):
+            plain, end = _inflate(data, at)
+            pieces = list(_records(plain, end is not None))
+            saved = any(isinstance(piece, Record) for piece in pieces)
+            if end is not None and (saved or not plain):
+                found = [p if isinstance(p, Record) else Gap(at, p[1], p[0]) for p in pieces]
+            else:
+                end = None
+                found = [piece for piece in pieces if isinstance(piece, Record)]
+        else:
+            record = _parse(content, at, blank)
+            if record is not None:
+                found, end = [record[0]], record[1]
+        if bad is not None and (end is not None or found):
+            if at > bad:
+                yield Gap(bad, at - bad)
+            bad = None
+        yield from found
+        if end is not None:
+            at = end
             continue
         if bad is None:
             bad = at
-        following = starts.search(content, at + 1)
+        following = _START.search(content, at + 1)
         at = following.start() if following else len(content)
     if bad is not None:
-        yield bad, len(content) - bad
+        yield Gap(bad, len(content) - bad)
 
 
 _COLUMNS = (
     "archive string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
-    "refers_to long, payload binary, gap_offset long, gap_bytes long"
+    "refers_to long, payload binary, gap_offset long, gap_bytes long, gap_inside long"
 )
 
 
@@ -221,9 +285,9 @@ def _number(urn: str | None) -> int | None:
     return int(digits) if digits else None
 
 
-def _row(archive: str, found: Record | tuple[int, int], payloads: bool) -> dict:
-    if isinstance(found, tuple):
-        return {"archive": archive, "gap_offset": found[0], "gap_bytes": found[1]}
+def _row(archive: str, found: Record | Gap, payloads: bool) -> dict:
+    if isinstance(found, Gap):
+        return {"archive": archive, "gap_offset": found.offset, "gap_bytes": found.size, "gap_inside": found.inside}
     kind = found.headers.get("warc-type")
     row = {
         "archive": archive,
@@ -268,9 +332,11 @@ def _read(payloads: bool):
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """One row per record, and one per quarantined byte range (``gap_bytes`` not null) of the files in ``path``.
 
+    A gap lies in the file from ``gap_offset`` on, or, where ``gap_inside`` is not null, from there on in the unpacked
+    member at ``gap_offset``. Records before the damage of a broken member are also rows, if their payloads match.
     A response's size and digest are those of the payload that was read; a revisit's are what its headers
-    say of the payload it stands for. An empty folder gives no rows. One file is read by one task, so
-    files should stay at ``records_per_file`` or a few hundred megabytes.
+    say of the payload it stands for. An empty folder gives no rows. One file is read by one task, which
+    ``records_per_file`` and ``bytes_per_file`` of the writer bound.
     """
     prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -68,7 +68,8 @@ def page(n, body):
 
 def found(content):
     got = list(warc.salvage(content))
-    return [r.headers["warc-record-id"] for r in got if not isinstance(r, tuple)], [r for r in got if isinstance(r, tuple)]
+    gaps = [(r.offset, r.size) if r.inside is None else (r.offset, r.size, r.inside) for r in got if isinstance(r, warc.Gap)]
+    return [r.headers["warc-record-id"] for r in got if not isinstance(r, warc.Gap)], gaps
 
 
 def test_salvage_of_damaged_archives():
@@ -91,6 +92,50 @@ def test_salvage_of_damaged_archives():
     assert found(b"") == ([], []) and found(b"WARC/1.1\r\n") == ([], [(0, 10)])
 
 
+def test_salvage_inside_members():
+    rng = random.Random(2)
+    records = [warc.make_record(i, "u", rng.randbytes(3000), None, False, "d") for i in range(3)]
+    names = [f"<urn:page:{i}>" for i in range(3)]
+    pack = lambda parts: gzip.compress(b"".join(parts), mtime=0)
+    assert found(pack(records)) == (names, [])
+    wrong = records[1][:-20] + bytes([records[1][-20] ^ 1]) + records[1][-19:]
+    bad = pack([records[0], wrong, records[2]])
+    assert found(bad) == ([names[0], names[2]], [(0, len(wrong), len(records[0]))])
+    # Damaged or cut: what was unpacked before is kept if its digest matches, the rest is a gap of the file.
+    whole = pack(records)
+    for hurt in (whole[:-4000], whole[: len(whole) - 4000] + b"\xff" * 60 + whole[len(whole) - 3940 :]):
+        got, gaps = found(hurt + page(9, b"next"))
+        assert got == [names[0], "<urn:page:9>"] and gaps == [(0, len(hurt))]
+    flipped = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]  # the check of the member alone
+    assert found(flipped) == (names, [(0, len(flipped))])
+    revisit = warc.make_record(4, "u", b"x", 1, True, "d")
+    assert found(pack([revisit])) == (["<urn:page:4>"], []) and found(pack([revisit])[:-1])[0] == []  # no proof without a payload
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    rows = [(1, "u" * 100_000, "x"), (2, "http://" + "é \r\n" * 30_000, "y" * 2000), (3, "short", "z" * 300_000), (4, None, "w")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(frame, str(tmp_path / "a"))
+    got = {r["page_id"]: r for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1]["url"] == "u" * 100_000
+    assert {i: r["payload_bytes"] for i, r in got.items()} == {1: 1, 2: 2000, 3: 300_000, 4: 1}
+    plain = b"".join(warc.make_record(i, u, h.encode(), None, False, "d") for i, u, h in rows)
+    assert found(plain) == ([f"<urn:page:{i}>" for i in (1, 2, 3, 4)], [])
+    began = time.monotonic()
+    assert found(b"WARC/1.1\r\n" * 100_000)[0] == [] and time.monotonic() - began < 5
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "u", "".join(rng.choices("abcdefghij", k=5000))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(frame, str(tmp_path / "a"), warc.ArchiveSettings(bytes_per_file=20_000))
+    sizes = [p.stat().st_size for p in (tmp_path / "a").rglob("part-*")]
+    assert len(sizes) > 5 and max(sizes) < 26_000
+    got = warc.read_archives(spark, str(tmp_path / "a"), payloads=True).collect()
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in got} == {i: h for i, _, h in rows}
+
+
 def test_archives_round_trip(spark, tmp_path):
     long = "é<p>" * 400
     rows = [(1, "u1", long), (2, None, long), (5, "u\r\n5", long), (3, "u3", "short"), (4, "u4", "short"), (6, "u6", None), (7, "", ""),
