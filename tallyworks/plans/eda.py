@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.functions.expr import growth_pct, mean, money, pct, ratio, round_half_up
-from tallyworks.operators.ranking import amount_of_top, from_the_top, percentiles_of, value_histogram
+from tallyworks.operators.ranking import amount_of_top, from_the_top, select_quantiles, value_histogram
 from tallyworks.sources.schema import MONEY
 
 RATE = 4  # digits kept in printed rates
@@ -329,36 +329,29 @@ OUTLIER_COLUMNS = ["sales", "quantity", "discount", "profit"]
 def iqr_outliers(lines: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Values outside 1.5 interquartile ranges. Quartiles are exact and interpolated.
 
-    Both the quartiles and the counts come from the histogram of distinct values, so the lines are
-    read once.
+    They are selected by a few passes of counts over the columns; the outliers take one more.
     """
-    histogram = value_histogram(lines, columns or OUTLIER_COLUMNS, MONEY)
-    quartiles = percentiles_of(histogram, {"q1": 0.25, "q3": 0.75})
-    fences = quartiles.select(
-        "column",
-        (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower"),
-        (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper"),
-    )
-    value = F.col("value").cast("double")
-    # One fence per column name.
-    return (
-        histogram.join(F.broadcast(fences), "column")
-        .groupBy("column", "lower", "upper")
-        .agg(
-            F.coalesce(
-                F.sum(F.when((value < F.col("lower")) | (value > F.col("upper")), F.col("rows"))), F.lit(0)
-            ).alias("outliers"),
-            F.min(value).alias("min_value"),
-            F.max(value).alias("max_value"),
-        )
-        .select(
-            F.col("column").alias("column_name"),
-            "outliers",
-            round_half_up("lower", 2).alias("lower_bound"),
-            round_half_up("upper", 2).alias("upper_bound"),
-            round_half_up("min_value", 2).alias("min_value"),
-            round_half_up("max_value", 2).alias("max_value"),
-        )
+    found = select_quantiles(lines, columns or OUTLIER_COLUMNS, {"q1": 0.25, "q3": 0.75}, MONEY)
+    rows = []
+    for number, row in enumerate(found):
+        reach = 1.5 * (row["q3"] - row["q1"])
+        rows.append((number, row["column"], row["q1"] - reach, row["q3"] + reach, row["min"], row["max"]))
+    bounds = lines.sparkSession.createDataFrame(rows, "number int, column string, lower double, upper double, min double, max double")
+
+    def outside(row: tuple) -> Column:
+        value = F.col(row[1]).cast(MONEY).cast("double")
+        return F.coalesce(F.count_if((value < row[2]) | (value > row[3])), F.lit(0))
+
+    counts = lines.agg(F.array(*[outside(row) for row in rows]).cast("array<bigint>").alias("n"))
+    counts = counts.select(F.posexplode("n").alias("number", "outliers"))
+    # One row per column name.
+    return bounds.join(F.broadcast(counts), "number").select(
+        F.col("column").alias("column_name"),
+        "outliers",
+        round_half_up("lower", 2).alias("lower_bound"),
+        round_half_up("upper", 2).alias("upper_bound"),
+        round_half_up("min", 2).alias("min_value"),
+        round_half_up("max", 2).alias("max_value"),
     )
 
 

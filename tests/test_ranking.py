@@ -61,6 +61,34 @@ def test_percentiles_and_histogram(spark, n):
         assert ordered[row.best - 1] == ordered[row.worst - 1] == float(row.value)
 
 
+@pytest.mark.parametrize("buckets", [60, 1 << 16])
+def test_selected_quantiles(spark, monkeypatch, buckets):
+    monkeypatch.setattr(ranking, "BUCKETS", buckets)
+    rng = random.Random(buckets)
+    for n in (1, 400):
+        rows = [(Decimal(rng.choice([3, 3, 3, rng.randrange(-500, 500)])) / 4, rng.randrange(5), None) for _ in range(n)]
+        rows += [(None, 7, None), (Decimal("99999999999999.9999") if n == 400 else Decimal(0), None, None)]
+        df = spark.createDataFrame(rows, "a decimal(18,4), b int, c int").repartition(5)
+        found = {r["column"]: r for r in ranking.select_quantiles(df, ["a", "b", "c"], {"q0": 0.0, "q1": 0.25, "mid": 0.5, "q9": 0.9, "q10": 1.0})}
+        assert set(found) == {"a", "b"}
+        for place, name in enumerate(["a", "b"]):
+            values = np.array([float(r[place]) for r in rows if r[place] is not None])
+            assert (found[name]["total"], found[name]["min"], found[name]["max"]) == (len(values), values.min(), values.max())
+            for key, p in (("q0", 0), ("q1", 0.25), ("mid", 0.5), ("q9", 0.9), ("q10", 1)):
+                assert found[name][key] == pytest.approx(np.quantile(values, p), abs=1e-9)
+    assert ranking.select_quantiles(df.limit(0), ["a"], {"mid": 0.5}) == []
+
+
+def test_ties_stay_where_they_are(spark):
+    """No window over the rows themselves, and null values are a value."""
+    df = spark.createDataFrame([(1, 5), (2, 5), (3, None), (4, 1), (5, None)], "id int, v int")
+    assert {(r.id, r.place) for r in ranking.top_by_dense_rank(df, "v", 3, "place").collect()} == {(1, 1), (2, 1), (4, 2), (3, 3), (5, 3)}
+    assert {(r.id, r.place) for r in ranking.top_by_rank(df, "v", 4, "place").collect()} == {(1, 1), (2, 1), (4, 3), (3, 4), (5, 4)}
+    assert ranking.top_by_rank(df, "v", 4, "place").columns == ["id", "v", "place"]
+    plan = ranking.top_by_rank(df, "v", 2000, "place")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=2000" in plan
+
+
 def test_amount_of_top(spark):
     values = [5, 9, 9, 9, 1, 2]
     df = spark.createDataFrame([(v,) for v in values], "v int")
