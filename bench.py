@@ -49,6 +49,9 @@ HEADLINE = [
     "dq_report",
     "dq_report_cleaned",
     "load_and_audit",
+    "load_twice",
+    "late_returns",
+    "stream_event_windows",
     "m_sales_yoy_pct",
     "m_on_time_rate",
 ]
