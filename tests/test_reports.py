@@ -131,6 +131,14 @@ def test_pages_are_slices_of_the_whole_order(spark):
     assert rows_of(service.order_ledger_page(lines, page=6, page_size=20)) == []
 
 
+def test_late_pages_equal_early_ones(spark, monkeypatch):
+    lines = make_lines(spark, [{"order_id": f"O{i:02d}", "sales": i % 7, "ship_mode": None if i % 3 else "First Class"} for i in range(90)])
+    pages = [dict(page=page, page_size=size, sort_by=by) for page, size, by in ((1, 20, "sales"), (2, 30, "profit"), (5, 20, "order_date"), (9, 20, "sales"))]
+    early = [rows_of(service.order_ledger_page(lines, **page)) for page in pages]
+    monkeypatch.setattr(service, "EARLY_ROWS", 0)
+    assert [rows_of(service.order_ledger_page(lines, **page)) for page in pages] == early
+
+
 def reference_forecast(y, horizon, positive):
     """The method on plain arrays."""
     n = len(y)
