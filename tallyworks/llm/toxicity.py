@@ -2,7 +2,8 @@
 
 Multiple-instance learning: a document is a bag of sentences, each sentence has a probability
 ``sigmoid(b + sum of its features' weights)``, and the document's probability is their noisy-or,
-``1 - prod(1 - p)``. Weights are fitted to document labels through the noisy-or; the fitted sentence
+``1 - prod(1 - p)``. Sentences without any feature are one background together, the same in every document, so that a
+score does not grow with plain length. Weights are fitted to document labels through the noisy-or; the fitted sentence
 probabilities then point at the sentences. Features are words and beginnings of words, as insults are
 inflected.
 """
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.llm.shared import prepare
@@ -38,6 +39,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 class ToxicitySettings:
     threshold: float = 0.3
     sample_per_label: int = 4000  # labelled documents of each label that the model is fitted to, at most
+    sample_bytes: int = 1 << 25  # of their texts, for each label, at most
     least_documents: int = 5  # a word needs to occur in so many of them
     least_gain: float = 15.0  # and its likelihood ratio statistic to be so high
     most_features: int = 3000  # of which the highest are kept
@@ -109,19 +111,15 @@ def fit(bags: list[tuple[int, bytes]], weight: dict[int, float], settings: Toxic
     names.sort()
     index = {word: i for i, word in enumerate(names)}
 
-    # Sentences without a chosen word all score the bias: they are counted per document, not listed.
-    bag_of, word_of, instance_of, empty = [], [], [], np.zeros(len(bags))
+    # Sentences without a chosen word are the background, which scores the bias once a document.
+    bag_of, word_of, instance_of = [], [], []
     for bag, (_, text) in enumerate(bags):
-        parts = sentences(text)
-        empty[bag] = not parts
-        for _, _, words in parts:
+        for _, _, words in sentences(text):
             hits = {index[w] for w in features(words) & index.keys()}
             if hits:
                 word_of.extend(hits)
                 instance_of.extend([len(bag_of)] * len(hits))
                 bag_of.append(bag)
-            else:
-                empty[bag] += 1
     bag_of, word_of, instance_of = (np.array(x, np.int64) for x in (bag_of, word_of, instance_of))
     scale = np.array([weight[y] for y in labels])
     scale /= scale.sum()
@@ -131,12 +129,12 @@ def fit(bags: list[tuple[int, bytes]], weight: dict[int, float], settings: Toxic
     for step in range(1, settings.steps + 1):
         bias = theta[-1]
         z = bias + np.bincount(instance_of, theta[word_of], len(bag_of))
-        total = empty * _softplus(bias) + np.bincount(bag_of, _softplus(z), len(bags))
+        total = _softplus(bias) + np.bincount(bag_of, _softplus(z), len(bags))
         pull = np.where(labels == 1, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) * scale  # d loss / d total
         by_instance = pull[bag_of] / (1 + np.exp(-z))
         slope = settings.penalty * theta / max(1, len(names))
         slope[:-1] += np.bincount(word_of, by_instance[instance_of], len(names))
-        slope[-1] += by_instance.sum() + (pull * empty).sum() / (1 + np.exp(-bias))
+        slope[-1] += by_instance.sum() + pull.sum() / (1 + np.exp(-bias))
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
         theta -= settings.rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-10)
@@ -148,19 +146,24 @@ def _logistic(z: float) -> float:
 
 
 def judge(text: bytes, model: ToxicityModel, threshold: float) -> tuple[float, list[tuple[int, int, float]]]:
-    """The document's probability, and (start, end, probability) in characters of sentences at the threshold."""
+    """The document's probability, and (start, end, probability) in characters of sentences at the threshold.
+
+    It is the noisy-or of the background and of the sentences more suspicious than it, each by what it exceeds the
+    background; so sentences that are not don't add up, however many there are.
+    """
     weights = model.weights
     plain = text.translate(_PLAIN)
     base = float(_softplus(np.float64(model.bias)))
+    total, spans = base, []
     if weights.keys().isdisjoint(features(plain.split())):
-        count = sum(1 for part in plain.split(b"\n") if part and not part.isspace())
-        return float(-np.expm1(-base * max(1, count))), []
-    total, spans = 0.0, []
+        return float(-np.expm1(-total)), []
     for start, end, words in sentences(text):
         hits = weights.keys() & features(words)
+        if not hits:
+            continue
         z = model.bias + sum(weights[w] for w in sorted(hits))
-        total += float(_softplus(np.float64(z))) if hits else base
-        if hits and _logistic(z) >= threshold:
+        total += max(0.0, float(_softplus(np.float64(z))) - base)
+        if _logistic(z) >= threshold:
             first = len(text[:start].decode("utf-8", "replace"))
             spans.append((first, first + len(text[start:end].decode("utf-8", "replace")), _logistic(z)))
     return float(-np.expm1(-total)), spans
@@ -194,7 +197,9 @@ def learn(documents: DataFrame, labels: DataFrame, settings: ToxicitySettings =
     """A model from the labelled documents outside the held-out fold.
 
     The sample is the first ``sample_per_label`` ids of each label by hash: a bound on what is fitted, and
-    a proof that the id list fits a broadcast. Its labels are weighted back to their share of all labels.
+    a proof that the id list fits a broadcast. Of an id's texts the one with the least hash is taken, and ids as long
+    as their texts have no more than ``sample_bytes``; only these texts come to the driver. Its labels are weighted
+    back to their share of all labels.
     An id with several label rows counts as toxic if any says so; other label values and ids without a
     document are passed over. Without both labels the model is the share of toxic rows.
     """
@@ -211,14 +216,15 @@ def learn(documents: DataFrame, labels: DataFrame, settings: ToxicitySettings =
         for y in (0, 1)
     ]
     sample = chosen[0].unionAll(chosen[1])
-    texts = (
-        documents.select("doc_id", F.col("text").cast("binary").alias("text"))
-        .join(F.broadcast(sample), "doc_id")
-        .select("doc_id", "toxic", "text")
-        .toArrow()
-    )
+    texts = documents.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("hash", F.xxhash64("text"))
+    sizes = texts.select("doc_id", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    sizes = sizes.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("size", "hash").alias("size"), F.min("hash").alias("hash"))
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # a row per sampled id
+    taken_ids = sizes.withColumn("upto", so_far).where(F.col("upto") <= settings.sample_bytes).select("doc_id", "hash", "toxic")
+    found = texts.join(F.broadcast(taken_ids), ["doc_id", "hash"]).groupBy("doc_id", "toxic").agg(F.first("text").alias("text"))
+    table = found.toArrow()
     rows = sorted(
-        zip(texts["doc_id"].to_pylist(), texts["toxic"].to_pylist(), texts["text"].to_pylist()),
+        zip(table["doc_id"].to_pylist(), table["toxic"].to_pylist(), table["text"].to_pylist()),
         key=lambda row: (row[0], row[2] or b""),
     )
     bags = list({text_bytes(text): (y, text_bytes(text)) for _, y, text in rows}.values())  # copies count once

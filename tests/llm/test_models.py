@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -9,11 +10,12 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from tallyworks.llm import toxicity
 from tallyworks.llm.embedding_lsh import LshSettings, near_vectors
 from tallyworks.llm.language_model import ModelSettings, log_probabilities, score_texts
 from tallyworks.llm.mixing import mixed, mixture
 from tallyworks.llm.queries import QUERIES
-from tallyworks.llm.toxicity import ToxicitySettings, learn, score_documents, toxic_documents, without_toxic
+from tallyworks.llm.toxicity import ToxicitySettings, features, fit, judge, learn, score_documents, toxic_documents, without_toxic
 
 DOCS = "doc_id long, text string, source string, score double, row long, place int, size string"
 
@@ -219,3 +221,47 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_queries_are_registered():
     assert [name.split("_")[0] for name in QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_scores_do_not_grow_with_plain_length():
+    rng = random.Random(8)
+    plain = ["the day was long", "we went home", "rain fell on hills", "they read books", "he met her there"]
+    bags = []
+    for i in range(300):
+        toxic = i % 3 == 0
+        parts = [rng.choice(plain) for _ in range(rng.randint(1, 30))] + ["you are a stupid fool"] * toxic
+        rng.shuffle(parts)
+        bags.append((int(toxic), ". ".join(parts).encode()))
+    model = fit(bags, {0: 1.0, 1: 1.0}, ToxicitySettings())
+    clean, bad = ". ".join(plain * 4000), "You are a stupid fool."
+    assert judge(clean.encode(), model, 0.3)[0] < 0.3 <= judge(f"{clean}. {bad}".encode(), model, 0.3)[0]
+    assert sum((judge(text, model, 0.3)[0] >= 0.3) == bool(y) for y, text in bags) == len(bags)
+
+    def slow(text):
+        """The noisy-or, sentence by sentence."""
+        back, left = 1 / (1 + math.exp(-model.bias)), 1.0
+        for sentence in re.split("[.!?\n\r]", text.lower()):
+            hits = [w for w in features(sentence.encode().split()) if w in model.weights]
+            p = 1 / (1 + math.exp(-model.bias - sum(model.weights[w] for w in hits))) if hits else back
+            left *= (1 - max(p, back)) / (1 - back)
+        return 1 - left * (1 - back)
+
+    for text in ["", "the fool", bad, bad * 3, "stupid. you are. fool", *(t.decode() for _, t in bags[:40])]:
+        assert judge(text.encode(), model, 0.3)[0] == pytest.approx(slow(text), abs=1e-9)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Repeated rows and ids cost one text, and texts stop at the bytes."""
+    docs = [(i, f"fool {i}" if i % 2 else f"nice {i}") for i in range(40)] + [(1, "x" * 5000)] * 50 + [(3, None), (None, "y")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1)] * 3, "doc_id long, toxic int")
+    frame = spark.createDataFrame([(*d, "own") for d in docs], "doc_id long, text string, hash string")
+    seen = []
+    learned = toxicity.fit
+    for size in (1 << 25, 60):
+        toxicity.fit = lambda bags, *rest: seen.append(bags) or learned(bags, *rest)
+        try:
+            toxicity.learn(frame, labels, ToxicitySettings(sample_bytes=size))
+        finally:
+            toxicity.fit = learned
+    assert len(seen[0]) <= 40 and 0 < len(seen[1]) < len(seen[0])
+    assert all(sum(len(t) for y, t in seen[1] if y == label) <= 60 for label in (0, 1))
