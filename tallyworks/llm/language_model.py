@@ -2,11 +2,15 @@
 
 The model predicts the class of the next token from the classes of the two before it: the vectors of the
 context words, each through a matrix of its place, add up to a prediction, whose product with a class's
-output vector plus its bias is the class's score. Frequent words are classes of their own; the others share
-a class per kind of ending and then get their add-one share of it. Training tells tokens from noise drawn
-from the class frequencies, with a batch's noise shared so that all is matrix products. Every task
-trains on its own texts from the same start, and the parameters are averaged by tokens; nothing but
-parameters of fixed size leaves a task. Scores are normalised over all classes, once per distinct context.
+output vector plus its bias is the class's score. Frequent words are classes of their own, as many as the
+distinct words ask for; the others share a class per kind of ending and then get their add-one share of it.
+Training tells tokens from noise drawn from the class frequencies, with a batch's noise shared so that all is
+matrix products. Scores are normalised over all classes, once per distinct context.
+
+All training texts are read, in pieces of classes. A piece's hash says in which round and shard it is learned
+from, and the number of shards follows from the tokens: so the files' splits and the machines have no say in
+the model. The shards of a round start from the last round's average, weighted by tokens; nothing but
+parameters leaves a task, some 50 numbers per class.
 
 Word counts are exact over all training texts. Counts of at most ``table_words`` words, the most frequent
 ones, are broadcast; the other words of a text meet their counts in a shuffled join.
@@ -14,6 +18,9 @@ ones, are broadcast; the other words of a text meet their counts in a shuffled j
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyworks.llm.shared import prepare, stored
+from tallyworks.llm.shared import discard, prepare, stored
 from tallyworks.llm.toxicity import held_out
 from tallyworks.llm.words import text_bytes, word_hashes_and_tails
 
@@ -34,36 +41,41 @@ ENDINGS = 64  # classes of words without a class of their own
 class ModelSettings:
     folds: int = 7
     fold: int = 2  # held out
-    words: int = 400  # words with a class of their own
+    words: int | None = None  # words with a class of their own; by default as many as own_words says
     table_words: int = 1 << 18  # words whose counts are broadcast, at most: 16 bytes each
     size: int = 24  # of the vectors
     noise: int = 64  # samples per batch
     batch: int = 2048
     rate: float = 0.1
+    rounds: int = 4  # parts of the texts, each learned from the average after the part before
+    passes: int = 2  # over all parts
+    shard_tokens: int = 1_000_000  # of a task in a round
     seed: int = 3
 
-    @property
-    def classes(self) -> int:
-        return self.words + ENDINGS + 1
-
-    @property
-    def end(self) -> int:
-        return self.words + ENDINGS
+    def own_words(self, distinct: int) -> int:
+        """Words with a class of their own: these grow by half for three times the distinct words."""
+        return math.ceil(6 * distinct ** (1 / 3)) if self.words is None else self.words
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """What tasks need to know of the counts: all of fixed size."""
+    """What tasks need to know of the counts: a table of bounded size, and numbers per class."""
 
     keys: np.ndarray  # sorted, of the words in the table
     counts: np.ndarray
     classes: np.ndarray  # of the same words
+    words: int  # with a class of their own
     tokens: int  # all training tokens, ends among them
     distinct: int
     texts: int  # training texts, so the end's count
     ending_mass: np.ndarray  # tokens + words + 1 of the words that share a class
     class_counts: np.ndarray
 
+    @property
+    def end(self) -> int:
+        """The class of the end of a text, which is the last one."""
+        return self.words + ENDINGS
+
 
 def word_keys(data: bytes) -> np.ndarray:
     """Hashes of a text's words, with the kind of the word's ending in the lowest bits."""
@@ -112,9 +124,6 @@ def learn_vocabulary(texts: DataFrame, settings: ModelSettings) -> tuple[Vocabul
     keys, c = table["key"].to_numpy().view(np.uint64), table["c"].to_numpy()
     order = np.argsort(keys)
     keys, c = keys[order], c[order]
-    own = np.lexsort((keys, -c))[: settings.words]
-    classes = settings.words + (keys & np.uint64(ENDINGS - 1)).astype(np.int64)
-    classes[own] = np.arange(len(own))
     kinds = counts.groupBy(F.col("key").bitwiseAND(ENDINGS - 1).alias("kind")).agg(
         F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("words")
     ).collect()
@@ -125,18 +134,24 @@ def learn_vocabulary(texts: DataFrame, settings: ModelSettings) -> tuple[Vocabul
         mass[row["kind"]] = row["tokens"] + row["words"]
         tokens += row["tokens"]
         distinct += row["words"]
+    words = settings.own_words(distinct)
+    own = np.lexsort((keys, -c))[:words]
+    classes = words + (keys & np.uint64(ENDINGS - 1)).astype(np.int64)
+    classes[own] = np.arange(len(own))
     np.subtract.at(mass, (keys[own] & np.uint64(ENDINGS - 1)).astype(np.int64), c[own] + 1)
-    class_counts = np.zeros(settings.classes)
+    class_counts = np.zeros(words + ENDINGS + 1)
     class_counts[: len(own)] = c[own]
-    class_counts[settings.words : settings.end] = mass
-    class_counts[settings.end] = n_texts
-    found = Vocabulary(keys, c, classes, tokens, distinct + (n_texts > 0), n_texts, mass + 1, class_counts)
+    class_counts[words : words + ENDINGS] = mass
+    class_counts[words + ENDINGS] = n_texts
+    found = Vocabulary(
+        keys, c, classes, words, tokens, distinct + (n_texts > 0), n_texts, mass + 1, class_counts
+    )
     return found, counts.where(~often)
 
 
-def class_of(keys: np.ndarray, vocabulary: Vocabulary, settings: ModelSettings) -> tuple[np.ndarray, np.ndarray]:
+def class_of(keys: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(class, count) per word; the count is -1 for words outside the table."""
-    classes = settings.words + (keys & np.uint64(ENDINGS - 1)).astype(np.int64)
+    classes = vocabulary.words + (keys & np.uint64(ENDINGS - 1)).astype(np.int64)
     counts = np.full(len(keys), -1, np.int64)
     if len(vocabulary.keys):
         at = np.minimum(np.searchsorted(vocabulary.keys, keys), len(vocabulary.keys) - 1)
@@ -149,7 +164,7 @@ def class_of(keys: np.ndarray, vocabulary: Vocabulary, settings: ModelSettings)
 def start(vocabulary: Vocabulary, settings: ModelSettings) -> dict[str, np.ndarray]:
     """Where all tasks begin: small random vectors, and class frequencies as biases."""
     rng = np.random.Generator(np.random.PCG64(settings.seed))
-    n, d = settings.classes, settings.size
+    n, d = len(vocabulary.class_counts), settings.size
     share = (vocabulary.class_counts + 1) / (vocabulary.class_counts + 1).sum()
     return {
         "inputs": rng.normal(0, 0.3, (n, d)).astype(np.float32),
@@ -160,17 +175,31 @@ def start(vocabulary: Vocabulary, settings: ModelSettings) -> dict[str, np.ndarr
     }
 
 
+@dataclass
+class State:
+    """Parameters, the sums of squared slopes behind their rates, and the log of the noise distribution."""
+
+    values: dict[str, np.ndarray]
+    squares: dict[str, np.ndarray]
+    log_noise: np.ndarray
+
+    @classmethod
+    def first(cls, vocabulary: Vocabulary, settings: ModelSettings) -> State:
+        values = start(vocabulary, settings)
+        return cls(values, {k: np.full_like(v, 1e-4) for k, v in values.items()}, values["bias"].copy())
+
+
 class Trainer:
-    """Noise-contrastive steps with per-parameter rates."""
+    """Noise-contrastive steps with per-parameter rates, on a copy of a state."""
 
-    def __init__(self, vocabulary: Vocabulary, settings: ModelSettings, seed: int):
+    def __init__(self, state: State, settings: ModelSettings, seed: tuple[int, ...]):
         self.settings = settings
-        self.values = start(vocabulary, settings)
-        self.squares = {k: np.full_like(v, 1e-4) for k, v in self.values.items()}
-        self.log_noise = self.values["bias"].copy()  # log of the noise distribution
+        self.values = {k: v.copy() for k, v in state.values.items()}
+        self.squares = {k: v.copy() for k, v in state.squares.items()}
+        self.log_noise = state.log_noise
         share = np.exp(self.log_noise.astype(np.float64))
         self.edges = np.cumsum(share / share.sum())
-        self.rng = np.random.Generator(np.random.PCG64([settings.seed, seed]))
+        self.rng = np.random.Generator(np.random.PCG64([settings.seed, *seed]))
         self.tokens = 0
 
     def step(self, far: np.ndarray, near: np.ndarray, target: np.ndarray) -> None:
@@ -185,20 +214,29 @@ class Trainer:
         margin = np.float32(np.log(k))
         hit = _sigmoid((guess * own).sum(1) + v["bias"][target] - self.log_noise[target] - margin) - 1
         miss = _sigmoid(guess @ others.T + v["bias"][noise] - self.log_noise[noise] - margin)
-        slope = {key: np.zeros_like(value) for key, value in v.items()}
         back = hit[:, None] * own + miss @ others
-        np.add.at(slope["outputs"], target, hit[:, None] * guess)
-        np.add.at(slope["outputs"], noise, miss.T @ guess)
-        np.add.at(slope["bias"], target, hit)
-        np.add.at(slope["bias"], noise, miss.sum(0))
-        slope["near"] = x.T @ back
-        slope["far"] = y.T @ back
-        np.add.at(slope["inputs"], near, back @ v["near"].T)
-        np.add.at(slope["inputs"], far, back @ v["far"].T)
-        for key, value in v.items():
-            g = slope[key] / np.float32(n)
-            self.squares[key] += g * g
-            value -= np.float32(self.settings.rate) * g / np.sqrt(self.squares[key])
+        met = _summed(np.concatenate([target, noise]))
+        context = _summed(np.concatenate([near, far]))
+        slopes = {
+            "outputs": met(np.concatenate([hit[:, None] * guess, miss.T @ guess])),
+            "bias": met(np.concatenate([hit, miss.sum(0)])),
+            "inputs": context(np.concatenate([back @ v["near"].T, back @ v["far"].T])),
+            "near": (slice(None), x.T @ back),
+            "far": (slice(None), y.T @ back),
+        }
+        for key, (rows, slope) in slopes.items():
+            g = slope / np.float32(n)
+            squares = self.squares[key][rows] + g * g
+            self.squares[key][rows] = squares
+            v[key][rows] -= np.float32(self.settings.rate) * g / np.sqrt(squares)
+
+
+def _summed(index: np.ndarray):
+    """A function that adds up rows of equal index: (the distinct indexes, their sums)."""
+    order = np.argsort(index, kind="stable")
+    ordered = index[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    return lambda rows: (ordered[first], np.add.reduceat(rows[order], first, axis=0))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -216,36 +254,77 @@ def _contexts(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray
     return joined[:-2][own], joined[1:-1][own], joined[2:][own]
 
 
-def _train(settings: ModelSettings, vocabulary):
-    """One pass over the task's texts; (name, part, values, tokens) of its parameters."""
+_PIECE = 1 << 14  # tokens
+_PIECES = "round int, key long, classes binary"
+
+
+def _pieces(settings: ModelSettings, vocabulary):
+    """The classes of texts in pieces, each led by the two classes before it, with the round and key it is learned by.
+
+    The key is a hash of the row's id, text and the piece's place. Rows that are equal in both get different
+    keys within a batch, so that copies are spread too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary.value
+        pad = np.full(2, vocab.end, np.int32)
+        for batch in batches:
+            rounds, keys, pieces, seen, held = [], [], [], Counter(), 0
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                data = text_bytes(text.as_py())
+                name = hashlib.blake2b(data, digest_size=16, key=str(doc_id).encode()).digest()
+                classes = np.concatenate([pad, class_of(word_keys(data), vocab)[0].astype(np.int32), pad[:1]])
+                for i in range(0, len(classes) - 2, _PIECE):
+                    place = hashlib.blake2b(b"%s %d %d" % (name, i, seen[name]), digest_size=8).digest()
+                    key = int.from_bytes(place, "little", signed=True)
+                    keys.append(key)
+                    rounds.append((key >> 32) % settings.rounds)
+                    pieces.append(classes[i : i + _PIECE + 2].tobytes())
+                    held += len(pieces[-1])
+                    if held > 1 << 24:
+                        yield _piece_rows(rounds, keys, pieces)
+                        rounds, keys, pieces, held = [], [], [], 0
+                seen[name] += 1
+            yield _piece_rows(rounds, keys, pieces)
+
+    return run
+
+
+def _piece_rows(rounds: list[int], keys: list[int], pieces: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(rounds, pa.int32()), pa.array(keys, pa.int64()), pa.array(pieces, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["round", "key", "classes"])
+
+
+def _train(settings: ModelSettings, state, turn: int):
+    """One pass over a shard's pieces; (name, vals, tokens) of its parameters and their squares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(vocabulary.value, settings, TaskContext.get().partitionId())
+        trainer = Trainer(state.value, settings, (turn, TaskContext.get().partitionId()))
         held, size = [], 0
 
         def learn() -> None:
-            far, near, target = _contexts(held, settings.end)
+            far, near, target = (np.concatenate([p[i : len(p) - 2 + i] for p in held]) for i in range(3))
             order = trainer.rng.permutation(len(target))
             for i in range(0, len(order), settings.batch):
                 part = order[i : i + settings.batch]
                 trainer.step(far[part], near[part], target[part])
 
         for batch in batches:
-            for text in batch["text"]:
-                held.append(class_of(word_keys(text_bytes(text.as_py())), vocabulary.value, settings)[0])
-                size += len(held[-1]) + 1
+            for piece in batch["classes"]:
+                held.append(np.frombuffer(piece.as_py(), np.int32))
+                size += len(held[-1]) - 2
                 if size > 250_000:
                     learn()
                     held, size = [], 0
         if held:
             learn()
         if trainer.tokens:
-            names = sorted(trainer.values)
+            found = {f"{kind} {k}": v for kind in _KINDS for k, v in getattr(trainer, kind).items()}
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(names),
-                    pa.array([trainer.values[k].reshape(-1).astype(float).tolist() for k in names], pa.list_(pa.float64())),
-                    pa.array([trainer.tokens] * len(names), pa.int64()),
+                    pa.array(list(found)),
+                    pa.array([v.reshape(-1).astype(float) for v in found.values()], pa.list_(pa.float64())),
+                    pa.array([trainer.tokens] * len(found), pa.int64()),
                 ],
                 ["name", "vals", "tokens"],
             )
@@ -253,22 +332,41 @@ def _train(settings: ModelSettings, vocabulary):
     return run
 
 
+_KINDS = ("values", "squares")
+
+
 def train(texts: DataFrame, vocabulary: Vocabulary, settings: ModelSettings) -> dict[str, np.ndarray]:
-    """Parameters averaged over tasks, weighted by tokens; the start if there is nothing to learn from."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    local = texts.select("text").mapInArrow(_train(settings, shared), "name string, vals array<double>, tokens long")
-    spread = local.select("name", "tokens", F.posexplode("vals").alias("place", "value"))
+    """Parameters after all rounds, from (doc_id, text); the start if there is nothing to learn from.
+
+    Pieces are written once. A round's task takes the pieces of a shard in the order of their keys, so a task
+    that is run again finds the same parameters.
+    """
+    spark = texts.sparkSession
+    context = spark.sparkContext
+    state = State.first(vocabulary, settings)
+    if not vocabulary.tokens:
+        return state.values
+    shared = context.broadcast(vocabulary)
+    pieces = stored(texts.select("doc_id", "text").mapInArrow(_pieces(settings, shared), _PIECES), "pieces", "round")
+    shared.unpersist()
+    shards = math.ceil(vocabulary.tokens / settings.rounds / settings.shard_tokens)
     mean = F.sum(F.col("value") * F.col("tokens")) / F.sum("tokens")
-    rows = spread.groupBy("name", "place").agg(mean.alias("value")).toArrow()
-    values = start(vocabulary, settings)
-    names, places = np.array(rows["name"].to_pylist()), rows["place"].to_numpy()
-    numbers = rows["value"].to_numpy()
-    for name, value in values.items():
-        own = names == name
-        if own.any():
-            flat = value.reshape(-1)
-            flat[places[own]] = numbers[own]
-    return values
+    for turn in range(settings.rounds * settings.passes):
+        last = context.broadcast(state)
+        own = pieces.where(F.col("round") == turn % settings.rounds).select("key", "classes")
+        dealt = own.repartition(shards, "key").sortWithinPartitions("key", "classes").select("classes")
+        local = dealt.mapInArrow(_train(settings, last, turn), "name string, vals array<double>, tokens long")
+        spread = local.select("name", "tokens", F.posexplode("vals").alias("place", "value"))
+        rows = spread.groupBy("name", "place").agg(mean.alias("value")).toArrow()
+        names, places = rows["name"].to_numpy(zero_copy_only=False), rows["place"].to_numpy()
+        numbers = rows["value"].to_numpy()
+        for kind in _KINDS:
+            for key, value in getattr(state, kind).items():
+                met = names == f"{kind} {key}"
+                value.reshape(-1)[places[met]] = numbers[met]
+        last.unpersist()
+    discard(pieces)
+    return state.values
 
 
 def log_probabilities(
@@ -279,10 +377,13 @@ def log_probabilities(
     contexts, place = np.unique(far * n + near, return_inverse=True)
     guess = (values["inputs"] @ values["near"])[contexts % n] + (values["inputs"] @ values["far"])[contexts // n]
     norm = np.empty(len(contexts), np.float32)
-    for i in range(0, len(contexts), 4096):
-        scores = guess[i : i + 4096] @ values["outputs"].T + values["bias"]
+    for i in range(0, len(contexts), 256):  # so that the scores stay in the cache
+        scores = guess[i : i + 256] @ values["outputs"].T
+        scores += values["bias"]
         top = scores.max(1)
-        norm[i : i + 4096] = top + np.log(np.exp(scores - top[:, None]).sum(1))
+        scores -= top[:, None]
+        np.exp(scores, out=scores)
+        norm[i : i + 256] = top + np.log(scores.sum(1))
     out = np.empty(len(target))
     for i in range(0, len(target), 1 << 17):
         part = slice(i, i + (1 << 17))
@@ -296,7 +397,7 @@ _SCORED = (
 )
 
 
-def _score(settings: ModelSettings, vocabulary, values):
+def _score(vocabulary, values):
     """A row per text with what the table tells, and a row (row, key, n) per word outside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,15 +408,15 @@ def _score(settings: ModelSettings, vocabulary, values):
 
         def rows(ids: list, held: list, classes: list[np.ndarray], counts: list[np.ndarray], rare: list) -> Iterator[pa.RecordBatch]:
             n = np.array([len(c) for c in classes])
-            logs = log_probabilities(values.value, *_contexts(classes, settings.end)) / np.log(10)
+            logs = log_probabilities(values.value, *_contexts(classes, vocab.end)) / np.log(10)
             ends = np.cumsum(n + 1)
             model, base, known = [], [], []
             for i, (c, count) in enumerate(zip(classes, counts)):
-                shared = c >= settings.words
+                shared = c >= vocab.words
                 seen = count >= 0
                 own = np.log10(count[seen] + 1.0)
                 base.append(own.sum() + np.log10(vocab.texts + 1.0) - (n[i] + 1) * total)
-                inside = np.log10(count[shared & seen] + 1.0).sum() - mass[c[shared] - settings.words].sum()
+                inside = np.log10(count[shared & seen] + 1.0).sum() - mass[c[shared] - vocab.words].sum()
                 model.append(logs[ends[i] - n[i] - 1 : ends[i]].sum() + inside)
                 known.append(int(seen.sum()) + (vocab.texts > 0))
             size = len(ids)
@@ -332,7 +433,7 @@ def _score(settings: ModelSettings, vocabulary, values):
         for batch in batches:
             for doc_id, out, text in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["text"]):
                 keys = word_keys(text_bytes(text.as_py()))
-                c, count = class_of(keys, vocab, settings)
+                c, count = class_of(keys, vocab)
                 ids.append(doc_id)
                 held.append(out)
                 classes.append(c)
@@ -374,7 +475,7 @@ def score_texts(documents: DataFrame, settings: ModelSettings = ModelSettings())
     values = train(training, vocabulary, settings)
     context = spark.sparkContext
     scored = stored(
-        rows.mapInArrow(_score(settings, context.broadcast(vocabulary), context.broadcast(values)), _SCORED), "scored"
+        rows.mapInArrow(_score(context.broadcast(vocabulary), context.broadcast(values)), _SCORED), "scored"
     )
     met = scored.where("key is not null").select("row", "key", "n").join(others, "key")
     more = met.groupBy("row").agg(

@@ -31,8 +31,8 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def stored(frame: DataFrame, kind: str) -> DataFrame:
-    """The frame written to the shared folder and read back.
+def stored(frame: DataFrame, kind: str, *folders: str) -> DataFrame:
+    """The frame written to the shared folder, in a folder per value of some columns if asked for, and read back.
 
     This cuts the lineage; a lost executor costs a read of the files, not the work behind them. Spark
     deletes the shuffle files behind the frame once the driver's JVM has collected their handles, so that
@@ -40,7 +40,7 @@ def stored(frame: DataFrame, kind: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = scratch_path(spark, kind)
-    frame.write.parquet(path)
+    frame.write.partitionBy(*folders).parquet(path)
     spark.sparkContext._jvm.System.gc()
     read = spark.read.schema(frame.schema).parquet(path)
     read._scratch = [path]

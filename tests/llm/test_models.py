@@ -8,11 +8,20 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyworks.llm import toxicity
 from tallyworks.llm.embedding_lsh import LshSettings, near_vectors
-from tallyworks.llm.language_model import ModelSettings, log_probabilities, score_texts
+from tallyworks.llm.language_model import (
+    ModelSettings,
+    class_of,
+    learn_vocabulary,
+    log_probabilities,
+    score_texts,
+    train,
+    word_keys,
+)
 from tallyworks.llm.mixing import mixed, mixture
 from tallyworks.llm.queries import QUERIES
 from tallyworks.llm.toxicity import ToxicitySettings, features, fit, judge, learn, score_documents, toxic_documents, without_toxic
@@ -117,6 +126,71 @@ def test_language_model_without_training_texts(spark):
     assert (row["train_tokens"], row["n_known"], row["n_tokens"]) == (0, 0, 3) and math.isfinite(row["score"])
 
 
+def small_corpus():
+    rng = random.Random(9)
+    after = {w: rng.sample("abcdefgh", 2) for w in "abcdefgh"}
+    rows = []
+    for i in range(400):
+        words = [rng.choice("abcdefgh")]
+        while len(words) < 40:
+            words.append(rng.choice(after[words[-1]]))
+        if i % 5 == 0:
+            words[rng.randrange(40)] = f"rare{rng.randint(0, 30)}"
+        rows.append((i, " ".join(words), "s"))
+    return rows + [(1, rows[1][1], "s")] * 100  # copies with the same id
+
+
+def test_language_model_does_not_depend_on_splits(spark):
+    frame = documents(spark, small_corpus())
+    settings = ModelSettings(batch=256, shard_tokens=700)
+    found = []
+    for splits in (1, 3, 40):
+        rows = score_texts(frame.repartition(splits), settings).select("doc_id", "base_score", "score").collect()
+        assert len(rows) == 500
+        found.append((sum(r["score"] for r in rows), sum(r["base_score"] for r in rows)))
+    assert all(abs(s - found[0][0]) < 0.01 * abs(found[0][0]) for s, _ in found)
+    assert all(abs(b - found[0][1]) < 1e-6 * abs(b) for _, b in found)
+    assert all(s > b * 0.85 for s, b in found)  # two followers a word: far above single counts
+
+
+def test_language_model_own_words_grow_with_the_corpus():
+    sizes = [ModelSettings().own_words(n) for n in (0, 1, 1_000, 1_000_000, 1_000_000_000)]
+    assert sizes == sorted(set(sizes)) and sizes[0] == 0 and sizes[-1] > 50 * sizes[2]
+    assert ModelSettings(words=7).own_words(1_000_000) == 7
+
+
+def test_language_model_score_against_a_plain_softmax(spark):
+    rows = small_corpus()[:60] + [(900, "zz never a b", "s"), (901, "", "s"), (902, None, "s")]
+    settings = ModelSettings(words=5, table_words=6, batch=64, size=4)
+    frame = documents(spark, rows)
+    rest = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    texts = documents(spark, rest).select("doc_id", F.col("text").cast("binary").alias("text"))
+    vocabulary, _ = learn_vocabulary(texts, settings)
+    values = train(texts, vocabulary, settings)
+    counts = Counter(w for _, t, _ in rest for w in (t or "").lower().split())
+    classes = {w: int(class_of(word_keys(w.encode()), vocabulary)[0][0]) for _, t, _ in rows for w in (t or "").lower().split()}
+    n_classes = len(vocabulary.class_counts)
+    mass = Counter()
+    for w, c in counts.items():
+        if classes[w] >= vocabulary.words:
+            mass[classes[w]] += c + 1
+    want = {}
+    for i, text, _ in rows:
+        words = (text or "").lower().split()
+        total, far, near = 0.0, vocabulary.end, vocabulary.end
+        for w in [*words, None]:
+            c = vocabulary.end if w is None else classes[w]
+            guess = values["near"].T @ values["inputs"][near] + values["far"].T @ values["inputs"][far]
+            scores = [math.exp(float(guess @ values["outputs"][k] + values["bias"][k])) for k in range(n_classes)]
+            total += math.log10(scores[c] / sum(scores))
+            if w is not None and c >= vocabulary.words:
+                total += math.log10((counts[w] + 1) / (mass[c] + 1))
+            far, near = near, c
+        want[i] = total
+    for row in score_texts(frame, settings).collect():
+        assert abs(row["score"] - want[row["doc_id"]]) < 2e-3 * max(1, abs(want[row["doc_id"]])), row
+
+
 def targets_of(sizes):
     """Water-filling over (source, words), by code point, null last."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
