@@ -45,16 +45,16 @@ class ModelSettings:
     table_words: int = 1 << 18  # words whose counts are broadcast, at most: 16 bytes each
     size: int = 24  # of the vectors
     noise: int = 64  # samples per batch
-    batch: int = 2048
+    batch: int = 1024
     rate: float = 0.1
     rounds: int = 4  # parts of the texts, each learned from the average after the part before
-    passes: int = 2  # over all parts
+    passes: int = 1  # over all parts
     shard_tokens: int = 1_000_000  # of a task in a round
     seed: int = 3
 
     def own_words(self, distinct: int) -> int:
         """Words with a class of their own: these grow by half for three times the distinct words."""
-        return math.ceil(6 * distinct ** (1 / 3)) if self.words is None else self.words
+        return math.ceil(4 * distinct ** (1 / 3)) if self.words is None else self.words
 
 
 @dataclass(frozen=True)
@@ -215,28 +215,25 @@ class Trainer:
         hit = _sigmoid((guess * own).sum(1) + v["bias"][target] - self.log_noise[target] - margin) - 1
         miss = _sigmoid(guess @ others.T + v["bias"][noise] - self.log_noise[noise] - margin)
         back = hit[:, None] * own + miss @ others
-        met = _summed(np.concatenate([target, noise]))
-        context = _summed(np.concatenate([near, far]))
         slopes = {
-            "outputs": met(np.concatenate([hit[:, None] * guess, miss.T @ guess])),
-            "bias": met(np.concatenate([hit, miss.sum(0)])),
-            "inputs": context(np.concatenate([back @ v["near"].T, back @ v["far"].T])),
-            "near": (slice(None), x.T @ back),
-            "far": (slice(None), y.T @ back),
+            "outputs": _summed([target, noise], [hit[:, None] * guess, miss.T @ guess], v["outputs"]),
+            "bias": _summed([target, noise], [hit[:, None], miss.sum(0)[:, None]], v["bias"]),
+            "inputs": _summed([near, far], [back @ v["near"].T, back @ v["far"].T], v["inputs"]),
+            "near": x.T @ back,
+            "far": y.T @ back,
         }
-        for key, (rows, slope) in slopes.items():
-            g = slope / np.float32(n)
-            squares = self.squares[key][rows] + g * g
-            self.squares[key][rows] = squares
-            v[key][rows] -= np.float32(self.settings.rate) * g / np.sqrt(squares)
+        for key, value in v.items():
+            g = slopes[key] / np.float32(n)
+            self.squares[key] += g * g
+            value -= np.float32(self.settings.rate) * g / np.sqrt(self.squares[key])
 
 
-def _summed(index: np.ndarray):
-    """A function that adds up rows of equal index: (the distinct indexes, their sums)."""
-    order = np.argsort(index, kind="stable")
-    ordered = index[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    return lambda rows: (ordered[first], np.add.reduceat(rows[order], first, axis=0))
+def _summed(indexes: list[np.ndarray], parts: list[np.ndarray], like: np.ndarray) -> np.ndarray:
+    """Rows added up by their index, in the shape of ``like``."""
+    rows = np.concatenate(parts)
+    width = rows.shape[1]
+    cells = np.concatenate(indexes)[:, None] * width + np.arange(width)
+    return np.bincount(cells.ravel(), rows.ravel(), like.size).reshape(like.shape).astype(np.float32)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -440,7 +437,7 @@ def _score(vocabulary, values):
                 counts.append(count)
                 rare.append(keys[count < 0])
                 size += len(keys) + 1
-                if size > 500_000:
+                if size > 1_000_000:
                     yield from rows(ids, held, classes, counts, rare)
                     place += len(ids)
                     ids, held, classes, counts, rare, size = [], [], [], [], [], 0
