@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyworks.llm.shared import stored
+from tallyworks.operators.ranking import with_position
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -163,8 +164,18 @@ def mixed(documents: DataFrame, settings: MixSettings = MixSettings()) -> DataFr
 
 
 def mixture(documents: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, first_time) per row of ``documents``."""
-    return mix_plan(documents, settings).select(
-        "doc_id", "size", "source_size", "target", F.col("taken").cast("bigint").alias("taken"),
-        F.get("times", F.lit(0)).alias("first_time"),
+    """(doc_id, size, source_size, target, taken, first_time, first_step) per row of ``documents``, read off the mix.
+
+    Every copy is a row of the training order, without its text: range-sorted by time as in ``mixed`` and numbered
+    from 1 over the cluster. What a document gives is counted there; one that the mix doesn't take gives 0 words.
+    """
+    plan = stored(mix_plan(documents, settings).withColumn("_row", F.monotonically_increasing_id()), "plan")
+    copies = plan.select("_row", "doc_id", "place", "size", F.explode("times").alias("mix_time"))
+    order = [F.col(name) for name in ("mix_time", "doc_id", "place", "size", "_row")]
+    given = with_position(copies, order, "step").groupBy(F.col("_row").alias("_given")).agg(
+        F.sum("size").alias("words"), F.min("mix_time").alias("first_time"), F.min("step").alias("first_step")
+    )
+    return plan.join(given, F.col("_row") == F.col("_given"), "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("bigint").alias("taken"),
+        "first_time", "first_step",
     )

@@ -240,6 +240,20 @@ def test_mixture_meets_targets(spark):
     assert sum(t < 0.5 for t in heavy) > 1.2 * sum(t >= 0.5 for t in heavy)
 
 
+def test_mixture_is_read_off_the_training_order(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1 + i * 7 % 40)), "abc"[i % 3]) for i in range(300)]
+    frame = documents(spark, [*rows, (900, None, "a"), (901, "", None)])
+    order = [(r["doc_id"], r["mix_time"]) for r in mixed(frame).collect()]
+    got = {r["doc_id"]: r for r in mixture(frame).collect()}
+    assert len(got) == 302 and 0 < len(order)
+    sizes, seen = Counter(), {}
+    for step, (doc_id, time) in enumerate(order, 1):
+        sizes[doc_id] += got[doc_id]["size"]
+        seen.setdefault(doc_id, (time, step))
+    assert {d: r["taken"] for d, r in got.items()} == {d: sizes[d] for d in got}
+    assert {d: (r["first_time"], r["first_step"]) for d, r in got.items()} == {d: seen.get(d, (None, None)) for d in got}
+
+
 def test_mixture_of_nothing(spark):
     assert mixture(documents(spark, [])).count() == 0
     assert mixed(documents(spark, [])).count() == 0
