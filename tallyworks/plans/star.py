@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyworks.functions.expr import money
+from tallyworks.sources.schema import COMPRESSION
 
 # Shipping modes and their service targets.
 SHIPPING_MODES = [
@@ -130,17 +131,19 @@ def build_star(lines: DataFrame, rfm: DataFrame | None = None) -> StarTables:
 
 
 def write_star(star: StarTables, path: str) -> dict[str, StructType]:
-    """One Parquet table per dimension, and the fact by order year. Returns the stored schemas."""
+    """One Parquet table per dimension, and the fact by order year. Returns the stored schemas.
+
+    Stored lines lie by year already, so a task that reads them has few years, and the fact is written as it is read.
+    """
     schemas = {}
     for field in dataclasses.fields(star):
         table = getattr(star, field.name)
         if field.name == "fact":
             table = table.withColumn("order_year", F.year("order_date"))
-            table.hint("rebalance", "order_year").write.mode("overwrite").partitionBy("order_year").parquet(
-                f"{path}/fact"
-            )
+            writer = table.write.partitionBy("order_year")
         else:
-            table.write.mode("overwrite").parquet(f"{path}/{field.name}")
+            writer = table.write
+        writer.mode("overwrite").option("compression", COMPRESSION).parquet(f"{path}/{field.name}")
         schemas[field.name] = table.schema
     return schemas
 
