@@ -13,7 +13,7 @@ from tallyworks.plans.rfm import rfm_quintiles
 from tallyworks.plans.star import StarTables, build_star, read_star, write_star
 from tallyworks.session import shared_folder
 from tallyworks.sources.loads import KEPT, REJECTED, read_loads
-from tallyworks.sources.schema import REJECT_COLUMNS
+from tallyworks.sources.schema import COMPRESSION, REJECT_COLUMNS
 from tallyworks.sources.tables import TABLES, derive_order_lines
 
 _stored: dict[tuple[str, str, str], tuple[str, dict[str, StructType]]] = {}
@@ -24,11 +24,11 @@ _lock = threading.Lock()
 def write_flat(lines: DataFrame, path: str, mode: str = "overwrite", laid_out: bool = False) -> None:
     """Parquet by year. The rebalance splits a hot year and merges small pieces into full files.
 
-    Lines that are already laid out by year are written as they are.
+    Lines that are laid out already are written as they are: every task writes a file for each of its years.
     """
     if not laid_out:
         lines = lines.hint("rebalance", "year")
-    lines.write.mode(mode).partitionBy("year").parquet(path)
+    lines.write.mode(mode).option("compression", COMPRESSION).partitionBy("year").parquet(path)
 
 
 def read_flat(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalogue.queries import EDA, FLAT, SERVICE, STAR, all_queries
 from tallyworks.operators.filters import FilterContext
 from tallyworks.plans import flat_suite, service
-from tallyworks.sources.flat import order_lines
+from tallyworks.sources.flat import order_lines, star_tables
 from tallyworks.sources.tables import derive_order_lines
 
 FOLDER = "/root/testdata/sf0.001"
@@ -76,3 +76,28 @@ def test_hot_join_keys_are_split(spark):
     finally:
         for name, value in before.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_lines_are_moved_only_for_their_joins(spark):
+    """Lines meet their parts first, narrow, then their orders; nothing is laid out again after that."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        plan = plan_of(derive_order_lines(spark, FOLDER))
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert "REBALANCE" not in plan
+    joins = [line for line in plan.split("\n") if "SortMergeJoin" in line]
+    assert "l_orderkey" in joins[0] and "l_partkey" in joins[1]  # the last join comes first
+
+
+def test_stored_tables_are_small(spark):
+    """Order lines and facts: whole, by year, zstd."""
+    lines, star = order_lines(spark, FOLDER), star_tables(spark, FOLDER)
+    count = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    for table, year in ((lines, "year"), (star.fact, "order_year")):
+        assert table.count() == count
+        assert all(name.endswith(".zstd.parquet") and f"/{year}=" in name for name in table.inputFiles())
