@@ -32,7 +32,7 @@ def main() -> None:
     options.add_argument("--star", help="also write the star schema there")
     chosen = options.parse_args()
 
-    # Large tables want large files: the rebalance before the write aims at this size.
+    # Large tables want large files: tasks after a shuffle aim at this size.
     spark = build_session("load_orders", **{"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m"})
     returned = files.read_returns_csv(spark, chosen.returns) if chosen.returns else None
     result = sinks.load_order_lines(

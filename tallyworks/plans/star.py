@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyworks.functions.expr import money
+from tallyworks.session import open_writers
 from tallyworks.sources.schema import COMPRESSION
 
 # Shipping modes and their service targets.
@@ -143,7 +144,8 @@ def write_star(star: StarTables, path: str) -> dict[str, StructType]:
             writer = table.write.partitionBy("order_year")
         else:
             writer = table.write
-        writer.mode("overwrite").option("compression", COMPRESSION).parquet(f"{path}/{field.name}")
+        with open_writers(table.sparkSession):
+            writer.mode("overwrite").option("compression", COMPRESSION).parquet(f"{path}/{field.name}")
         schemas[field.name] = table.schema
     return schemas
 

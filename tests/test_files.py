@@ -294,6 +294,32 @@ def test_dates_of_repeating_and_of_distinct_texts(spark):
     assert cleaning.prepare_lines(many).where("_ordered is null").count() == 0
 
 
+def test_a_load_is_written_where_its_rows_are(spark, folder):
+    """Two tasks of rows leave two files a year, in one stage without a sort; nothing is moved for the layout."""
+    rows = [(f"o{i}", f"201{i % 3}-01-03" if i % 10 else "bad", "5") for i in range(60)]
+    raw = spark.createDataFrame(rows, "order_id string, order_date string, sales string")
+    raw = raw.withColumns({name: F.col("order_id") for name in cleaning.schema.RUNNING_DEFAULTS}).coalesce(2)
+    told = sinks.load_order_lines(raw, f"{folder}/t", f"{folder}/a", "o.csv", load_id="1")
+    assert (told["total_rows"], told["valid_rows"], told["rejected"]) == (60, 54, {cleaning.NO_DATE: 6})
+    kept, left = read_flat(spark, f"{folder}/t"), read_rejected(spark, f"{folder}/t")
+    assert {r.order_id for r in kept.collect()} == {o for o, d, _ in rows if d != "bad"} and left.count() == 6
+    written = [p for p in files_of(f"{folder}/t") if "outcome=kept" in p and not p.endswith(".crc")]
+    assert len(written) == 6 and all(p.endswith(".zstd.parquet") for p in written)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_sessions_of_others_get_methods_that_are_compiled(spark):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    other, raw = spark.newSession(), [("o", "2011-01-03", "5")]
+    try:
+        for given, want in ((None, "8000"), ("9000", "9000")):
+            other.conf.unset(name) if given is None else other.conf.set(name, given)
+            cleaning.clean(other.createDataFrame(raw, "order_id string, order_date string, sales string"))
+            assert other.conf.get(name) == want
+    finally:
+        other.conf.set(name, "8000")
+
+
 def files_of(path):
     return {str(p): p.stat().st_mtime_ns for p in pathlib.Path(path).rglob("part-*")}
 
