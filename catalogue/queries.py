@@ -281,7 +281,7 @@ def _stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Raw files arrive in a folder, a stream cleans and appends them; totals of what it stored."""
     lines, place = order_lines(spark, folder), _scratch(spark, "stream")
     raw = raw_order_lines(lines)
-    sinks.write_csv(raw, f"{place}/inbox")
+    sinks.write_csv(raw, f"{place}/inbox", compression="gzip")
     arriving = ingest.stream_order_files(spark, f"{place}/inbox", raw.schema)
     ingest.start_ingest(
         arriving, f"{place}/table", f"{place}/audit", f"{place}/progress", returns_ledger(lines)
