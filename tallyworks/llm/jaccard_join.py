@@ -4,8 +4,9 @@ A text is the set of its distinct n-grams. Under any total order of all tokens,
 similarity t or more share a token within the first ``n - ceil(t*n) + 1`` tokens of both. The join asks
 this under two orders and verifies only pairs that pass both:
 
-1. One pass over the texts gives each set's size and signature, and counts tokens in a count-min sketch
-   of fixed size over all rows. Rows with equal sets are one class from here on.
+1. One pass over the texts gives each set's size and signature, and the first 30 bits of each token, its slot, sorted
+   and packed into about a byte. Slots are counted over the cluster. Only frequent ones go into a sketch of fixed size,
+   so that the many rare tokens of a large corpus don't fill it. Rows with equal sets are one class from here on.
 2. Order A sorts by (how frequent the sketch says the token is, hash). Rare tokens come first, so passages
    that many documents share are not in prefixes. Classes that share a rare prefix token, have sizes
    within t of each other and tokens early enough to still reach t are candidates.
@@ -16,10 +17,10 @@ this under two orders and verifies only pairs that pass both:
    component is compared with all of the cloud, in blocks of bounded size, so no link is missed and no
    list of all pairs is made.
 
-The sketch only chooses the order: a poor estimate costs time, never a link. Its counters are exact sums,
-so they never fall below a token's count, and postings of a rare token are at most as many as its threshold.
-That grows with the corpus, so a rare token with more than ``longest`` postings is no list of pairs either:
-under both orders its sets are a cloud as in 4. Postings of a frequent token are dealt out by salt.
+The sketch only chooses the order: a poor estimate costs time, never a link. Counts of slots are exact sums,
+so they never fall below a token's count, and postings of a rare token are at most as many as the threshold, ``RARE`` and
+twice the tokens a slot. A rare token with more than ``longest`` postings, as in a corpus of many billions of tokens, is
+no list of pairs either: under both orders its sets are a cloud as in 4. Postings of a frequent token are dealt out by salt.
 """
 
 from __future__ import annotations
@@ -39,7 +40,11 @@ from tallyworks.llm.graph import components
 from tallyworks.llm.shared import built_on, discard, prepare, stored
 from tallyworks.llm.words import distinct, mix, run_hashes, text_bytes, word_hashes
 
-CHUNKS = 32  # of the sketch
+SLOT_BITS = 30  # of a token, by which it is counted
+CHUNKS = 32  # of the slots and of the sketch
+PIECES = 32  # of a chunk, counted one by one
+RARE = 8  # times that a token occurs, from which on it is frequent
+HELD_TOKENS = 1 << 22  # that a task collects before it packs them
 SALTS = 64  # of a frequent token
 SIZE_BASE = math.log(1.02)  # sizes are posted on a log scale
 BLOCK = 512  # members of a cloud compared at once
@@ -49,7 +54,7 @@ BLOCK = 512  # members of a cloud compared at once
 class JoinSettings:
     words: int = 5
     percent: int = 75  # Jaccard similarity, in whole percent
-    sketch_bits: int = 24  # counters of the sketch: raise with the corpus, one byte each is broadcast
+    sketch_bits: int = 24  # entries of the sketch, 5 to 30: raise with the frequent tokens, one byte each is broadcast
     longest: int = 64  # postings of a rare token that are paired up; more are a cloud
     wanted_bits: int = 23  # bits of the filter that picks documents for the later passes
 
@@ -66,56 +71,103 @@ def _signature(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _packed(slots: np.ndarray, sketch_bits: int) -> Iterator[tuple[int, bytes]]:
+    """(chunk, blob) of sorted slots, ``PIECES`` blobs a chunk.
+
+    A blob begins with its piece, so that sorting by it brings the blobs of a piece together, and the bits of the sketch.
+    Then come the gaps between slots, byte by byte of their place value, deflated.
+    """
+    size = (1 << SLOT_BITS) // (CHUNKS * PIECES)
+    ends = np.searchsorted(slots, np.arange(1, CHUNKS * PIECES + 1, dtype=np.int64) * size)
+    for i, (start, stop) in enumerate(zip([0, *ends[:-1]], ends)):
+        if start < stop:
+            chunk, piece = divmod(i, PIECES)
+            gaps = np.diff(slots[start:stop], prepend=np.uint32(i * size))
+            yield chunk, bytes([piece, sketch_bits]) + zlib.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    """Slots within their piece."""
+    planes = np.frombuffer(zlib.decompress(blob[2:]), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def _profile(settings: JoinSettings):
-    """(doc_id, n, sig) per row, then the task's part of the sketch as (chunk, counts)."""
-    shift = np.uint64(64 - settings.sketch_bits)
+    """(doc_id, n, sig) per row, and the slots of the task's tokens as (chunk, counts): a slot occurs as often as its tokens."""
+    shift = np.uint64(64 - SLOT_BITS)
+    names = ["doc_id", "n", "sig", "chunk", "counts"]
+
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
+        slots = np.concatenate(found)
+        slots.sort()
+        chunks, blobs = zip(*_packed(slots, settings.sketch_bits))
+        none = pa.nulls(len(chunks), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(chunks, pa.int32()), pa.array(blobs, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << settings.sketch_bits, np.uint32)
+        found, held = [], 0
         for batch in batches:
             ids, sizes, signs = [], [], []
             for doc_id, tokens in _sets(batch, settings):
-                np.add.at(counts, (tokens >> shift).astype(np.intp), np.uint32(1))
                 ids.append(doc_id)
                 sizes.append(len(tokens))
                 signs.append(_signature(tokens))
+                if len(tokens):
+                    found.append((tokens >> shift).astype(np.uint32))
+                    held += len(tokens)
+                if held >= HELD_TOKENS:
+                    yield counted(found)
+                    found, held = [], 0
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.int64()),
-                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n", "sig", "chunk", "counts"],
+                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names,
             )
-        if counts.any():
-            blobs = []
-            for part in counts.reshape(CHUNKS, -1):
-                kind = np.min_scalar_type(part.max())  # as narrow as the largest count allows
-                blobs.append(bytes([kind.itemsize]) + zlib.compress(part.astype(kind).tobytes(), 1))
-            none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(blobs, pa.binary())],
-                ["doc_id", "n", "sig", "chunk", "counts"],
-            )
+        if found:
+            yield counted(found)
 
     return run
 
 
 def _merge(threshold: int):
-    """Sum the tasks' parts of each chunk; a level per counter: 0 for rare, then one per doubling."""
+    """A level per entry of the sketch, that of its most frequent slot: 0 for rare, then one per doubling.
+
+    Rows come by chunk and piece, and one piece is counted at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        now, parts, found = None, [], {}
         for batch in batches:
             for chunk, blob in zip(batch["chunk"].to_pylist(), batch["counts"]):
                 blob = blob.as_py()
-                part = np.frombuffer(zlib.decompress(blob[1:]), f"u{blob[0]}")
-                if chunk not in sums:
-                    sums[chunk] = np.zeros(len(part), np.int64)
-                sums[chunk] += part
-        for chunk, total in sums.items():
-            level = np.where(total < threshold, 0, 1 + np.log2(np.maximum(total, 1) / threshold)).astype(np.int64)
-            blob = np.clip(level, 0, 15).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "levels"]
-            )
+                if now != (chunk, blob[0], blob[1]):
+                    count(now, parts, found)
+                    if now and now[0] != chunk:
+                        yield levels(found)
+                    now, parts = (chunk, blob[0], blob[1]), []
+                parts.append(_unpacked(blob))
+        count(now, parts, found)
+        if found:
+            yield levels(found)
+
+    def count(place: tuple[int, int, int] | None, parts: list[np.ndarray], found: dict[int, np.ndarray]) -> None:
+        if place is None:
+            return
+        chunk, piece, bits = place
+        slots = np.concatenate(parts)
+        slots.sort()
+        starts, counts = _runs(slots)
+        often = counts >= threshold
+        level = np.minimum(1 + np.log2(counts[often] / threshold), 15).astype(np.uint8)
+        slots = slots[starts[often]] + np.uint32(piece * ((1 << SLOT_BITS) // (CHUNKS * PIECES)))
+        entry = found.setdefault(chunk, np.zeros((1 << bits) // CHUNKS, np.uint8))
+        np.maximum.at(entry, (slots >> np.uint32(SLOT_BITS - bits)).astype(np.intp), level)
+
+    def levels(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+        chunk, entry = found.popitem()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int32()), pa.array([entry.tobytes()], pa.binary())], ["chunk", "levels"]
+        )
 
     return run
 
@@ -417,13 +469,15 @@ def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettin
         ),
         "profile",
     )
-    rows = profile.where("chunk is null").select("doc_id", "n", "sig")
+    rows = stored(profile.where("chunk is null").select("doc_id", "n", "sig"), "rows")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    threshold = 8 + 2 * (total >> settings.sketch_bits)
-    parts = profile.where("chunk is not null").select("chunk", "counts").repartition("chunk")
+    threshold = RARE + 2 * (total >> SLOT_BITS)
+    parts = profile.where("chunk is not null").select("chunk", "counts")
     levels = np.zeros((CHUNKS, (1 << settings.sketch_bits) // CHUNKS), np.uint8)
+    parts = parts.repartition("chunk").sortWithinPartitions("chunk", "counts")
     for row in parts.mapInArrow(_merge(threshold), "chunk int, levels binary").toLocalIterator():
         levels[row["chunk"]] = np.frombuffer(row["levels"], np.uint8)
+    discard(profile)
     levels = spark.sparkContext.broadcast(levels.reshape(-1))
 
     def candidates(salt: int, wanted) -> DataFrame:
@@ -475,7 +529,7 @@ def jaccard_components(documents: DataFrame, settings: JoinSettings = JoinSettin
     result = rows.join(named, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
-    return built_on(result, profile, groups)
+    return built_on(result, rows, groups)
 
 
 def one_of_each_group(documents: DataFrame, settings: JoinSettings = JoinSettings()) -> DataFrame:

@@ -110,6 +110,26 @@ def test_sketch_counts_beyond_a_byte_and_lists_stay_linear():
     assert {(k, a) for b in met for k, a in zip(b["kind"].to_pylist(), b["a"].to_pylist())} == {(1, 0)}
 
 
+def test_sketch_knows_a_frequent_token_among_many_rare_ones():
+    """Ten times as many tokens as the sketch has entries: only what is frequent is in it."""
+    same = "one two three four five"
+    texts = [" ".join([same, *(f"w{i}_{k}" for k in range(400))]).encode() for i in range(100)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": [text]}) for i, text in enumerate(texts)]
+    found = {chunk: blob for chunk, blob in _levels(batches)}
+    slot = int(run_hashes(word_hashes(same.encode()), 5)[0] >> np.uint64(64 - SMALL.sketch_bits))
+    size = (1 << SMALL.sketch_bits) // CHUNKS
+    assert found[slot // size][slot % size] > 0
+    assert sum(np.count_nonzero(np.frombuffer(blob, np.uint8)) for blob in found.values()) <= 5
+
+
+def _levels(batches):
+    """Profiles of several tasks, merged as Spark sorts them."""
+    parts = [b.select(["chunk", "counts"]) for k in range(3) for b in _profile(SMALL)(iter(batches[k::3])) if not b["chunk"].null_count]
+    rows = pa.Table.from_batches(parts).sort_by([("chunk", "ascending"), ("counts", "ascending")])
+    for b in _merge(8)(iter(rows.to_batches(max_chunksize=7))):
+        yield b["chunk"][0].as_py(), b["levels"][0].as_py()
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     a, b = "a b c d e f g h i j", "k l m n o p q r s t"
     rows = [(4, a), (4, b), (9, a), (2, b), (None, a), (None, None), (11, "z"), (11, "z")]
