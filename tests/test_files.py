@@ -415,3 +415,50 @@ def test_event_windows_of_nothing(spark, folder):
     for query in events.start_event_windows(events.stream_events(spark, f"{folder}/inbox"), f"{folder}/t", f"{folder}/m"):
         query.awaitTermination()
     assert events.read_event_windows(spark, f"{folder}/t").count() == 0
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    """As where nothing is small enough for Spark to broadcast it by itself."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def written_plans(monkeypatch):
+    """Plans of the frames that loads write."""
+    plans, write = [], sinks._write_by_year
+
+    def noted(rows, path):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        write(rows, path)
+
+    monkeypatch.setattr(sinks, "_write_by_year", noted)
+    return plans
+
+
+ODD_IDS = [*"abcdefghij", "", "é", "a b"]
+
+
+def odd_orders(spark):
+    rows = [(i, f"2011-01-{n + 1:02d}", "5") for n, i in enumerate([*ODD_IDS, None, "a", "zz"])]
+    return spark.createDataFrame(rows, "`Order ID` string, `Order Date` string, Sales string")
+
+
+def odd_ledger(spark):
+    return spark.createDataFrame([(i,) for i in [*ODD_IDS[::2], None, "a", "not sold"]], "order_id string")
+
+
+@pytest.mark.parametrize("most", [cleaning.LEDGER_BYTES, 0])
+def test_a_load_moves_no_lines_for_its_ledger(spark, folder, monkeypatch, no_broadcasts, most):
+    """Up to a size the ledger goes to the lines; beyond it the flags are the same."""
+    monkeypatch.setattr(cleaning, "LEDGER_BYTES", most)
+    plans, table = written_plans(monkeypatch), f"{folder}/table"
+    sinks.load_order_lines(odd_orders(spark), table, f"{folder}/audit", "x.csv", returned_orders=odd_ledger(spark), load_id="1")
+    flags = {(r.order_id, r.is_returned, r.order_status) for r in read_flat(spark, table).collect()}
+    returned = {i or "Standard" for i in ODD_IDS[::2]} & {r[0] for r in flags}
+    assert {r[0] for r in flags if r[1]} == returned - {"Standard", "N/A"}
+    assert all((status == "Returned") == flag for _, flag, status in flags) and read_flat(spark, table).count() == 16
+    assert ("SortMergeJoin" in plans[0]) == (most == 0)
