@@ -140,22 +140,23 @@ def apply_returns(
     A load that is committed meanwhile makes it start over.
     """
     name = loads.load_name(f"returns\n{filename}\n{load_id or fingerprint(returned_orders)}")
-    ids = returned_orders.select(F.col("order_id").cast("string").alias("order_id")).where("order_id is not null").distinct()
+    ledger = None
     while True:
         held = loads.all_loads(spark, table_path)
         known = next((load for load in held if load.name == name), None)
         if known is None:
+            ledger = ledger or cleaning.read_ledger(returned_orders)
             lines = read_flat(spark, table_path)
-            late = lines.where("not is_returned").join(ids, "order_id", "left_semi")
+            late = cleaning.in_ledger(lines.where("not is_returned").select("order_id", "year"), ledger, "_late").where("_late")
             years = {row[0]: row[1] for row in late.groupBy("year").agg(F.count(F.lit(1))).collect()}
             before = lines.where(F.col("year").isin(list(years)))
-            flagged = cleaning.flag_returned(before.withColumn("_was", F.col("is_returned")), ids)
-            flagged = flagged.withColumn("is_returned", F.col("is_returned") | F.col("_was")).drop("_was")
+            flagged = cleaning.in_ledger(before, ledger, "_late")
+            flagged = flagged.withColumn("is_returned", F.col("is_returned") | F.col("_late")).drop("_late")
             rows = flagged.withColumns(line_flags()).select(*lines.columns).withColumn("outcome", F.lit(loads.KEPT))
             path = f"{table_path}/load={name}"
             _write_by_year(rows, path)
             flips = sum(years.values())
-            new = Load(name, filename, 0, flips, flips, {}, {}, [], ids.columns, rows.schema.json(), revises=sorted(years))
+            new = Load(name, filename, 0, flips, flips, {}, {}, [], ["order_id"], rows.schema.json(), revises=sorted(years))
             try:
                 known = loads.commit(spark, table_path, new, after=max((load.number for load in held), default=0))
             except loads.NewerLoad:

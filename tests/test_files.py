@@ -462,3 +462,14 @@ def test_a_load_moves_no_lines_for_its_ledger(spark, folder, monkeypatch, no_bro
     assert {r[0] for r in flags if r[1]} == returned - {"Standard", "N/A"}
     assert all((status == "Returned") == flag for _, flag, status in flags) and read_flat(spark, table).count() == 16
     assert ("SortMergeJoin" in plans[0]) == (most == 0)
+
+
+@pytest.mark.parametrize("most", [cleaning.LEDGER_BYTES, 0])
+def test_a_late_ledger_moves_no_lines(spark, folder, monkeypatch, no_broadcasts, most):
+    monkeypatch.setattr(cleaning, "LEDGER_BYTES", most)
+    plans, table = written_plans(monkeypatch), f"{folder}/table"
+    sinks.load_order_lines(odd_orders(spark), table, f"{folder}/audit", "x.csv", load_id="1")
+    told = sinks.apply_returns(spark, table, f"{folder}/audit", odd_ledger(spark), "returns.csv")
+    found = [r.order_id for r in read_flat(spark, table).where("is_returned").collect()]
+    assert sorted(found) == sorted(["a", "a", *"cegi", "a b"]) and told["flagged_lines"] == len(found)
+    assert ("SortMergeJoin" in plans[1]) == (most == 0)
