@@ -47,6 +47,7 @@ RARE = 8  # times that a token occurs, from which on it is frequent
 HELD_TOKENS = 1 << 22  # that a task collects before it packs them
 SALTS = 64  # of a frequent token
 SIZE_BASE = math.log(1.02)  # sizes are posted on a log scale
+KNOWN_IDS = 1_000_000  # of documents to drop that are broadcast, some 60 MB
 BLOCK = 512  # members of a cloud compared at once
 
 
@@ -544,8 +545,14 @@ def one_of_each_group(documents: DataFrame, settings: JoinSettings = JoinSetting
     again = named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     own = F.col("doc_id").cast("bigint")
     rows = documents.withColumn("_id", own)
-    drop = gone.unionAll(again).distinct().withColumnRenamed("doc_id", "_gone")
+    drop = _near(stored(gone.unionAll(again).distinct().withColumnRenamed("doc_id", "_gone"), "gone"))
     kept = rows.join(drop, F.col("_id") == F.col("_gone"), "left_anti")
-    once = again.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "_once")
+    once = _near(stored(again.join(gone, "doc_id", "left_anti").withColumnRenamed("doc_id", "_once"), "once"))
     single = rows.join(once, F.col("_id") == F.col("_once"), "left_semi").dropDuplicates(["_id"])
+    discard(named)
     return kept.unionByName(single).drop("_id")
+
+
+def _near(ids: DataFrame) -> DataFrame:
+    """Stored ids on their way to whole texts: up to ``KNOWN_IDS`` of them are broadcast, so that the texts stay where they are."""
+    return F.broadcast(ids) if ids.count() <= KNOWN_IDS else ids

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tallyworks.llm import jaccard_join
 from tallyworks.llm.decontaminate import LOWER, UPPER, Settings, contamination, without_contaminated
 from tallyworks.llm.graph import components
 from tallyworks.llm.jaccard_join import CHUNKS, JoinSettings, _meet, _merge, _profile, jaccard_components, one_of_each_group
@@ -141,6 +142,24 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 11, None, None], key=str)
 
 
+@pytest.mark.parametrize("most", [jaccard_join.KNOWN_IDS, 0])
+def test_one_of_each_group_moves_no_texts(spark, monkeypatch, most):
+    """Where Spark broadcasts nothing by itself; beyond the bound the rows are the same."""
+    monkeypatch.setattr(jaccard_join, "KNOWN_IDS", most)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+        rows = [(4, a), (9, a), (4, b), (2, b), (None, a), (11, "z"), (11, "z"), (12, "y")]
+        kept = one_of_each_group(odd_frame(spark, rows), SMALL)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 11, 12, None], key=str)
+    finally:
+        spark.conf.set(name, before)
+    assert ("SortMergeJoin" in plan) == (most == 0)
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_components(odd_frame(spark, []), SMALL).count() == 0
 
